@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators.skew import hot_keys, salted_join
+from kerbline.session import durable
 
 # Above this many distinct target points in one cell the search goes through boxes.
 CELL_CAP = 2048
@@ -124,8 +125,11 @@ def nearest_places(
 
     Ties go to the smallest id. ``targets`` has ``id_col, lat, lon``.
     """
-    points = distinct_points(targets, id_col).withColumn(
-        "cell", geo.cell_of(F.col("lat"), F.col("lon"), radius_m)
+    points = durable(
+        distinct_points(targets, id_col).withColumn(
+            "cell", geo.cell_of(F.col("lat"), F.col("lon"), radius_m)
+        ),
+        "target_points",
     )
     crowded = not points.groupBy("cell").count().where(F.col("count") > cell_cap).isEmpty()
     if crowded:

@@ -146,7 +146,8 @@ def assemble(
     segments = durable(segments, "segments")
     attrs = durable(road_attributes(segments, roads), "road_attributes")
     hits = durable(incident_counts(segments, incidents), "incident_counts")
-    weighted = durable(edge_weights(adjacency_proximity(segments, tol_m), segments), "edges")
+    linked = durable(adjacency_proximity(segments, tol_m), "adjacency")
+    weighted = durable(edge_weights(linked, segments), "edges")
     nodes = segments.select(F.col("segment_id").alias("node"))
     reach = nearest_facility_distance(nodes, weighted, facility_segments(segments, stations))
 

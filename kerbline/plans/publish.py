@@ -129,7 +129,7 @@ def explanation_confidence(
 
 
 def top_of_fit(
-    matrix: DataFrame, features: DataFrame, edges: DataFrame, fit: model.PoissonFit, wanted: DataFrame, k: int
+    matrix: DataFrame, features: DataFrame, edges: DataFrame, fit: model.PoissonFit, wanted: DataFrame, k: int = 6
 ) -> DataFrame:
     """Top features under a fit; its weights are moved back to the raw columns."""
     raw = [

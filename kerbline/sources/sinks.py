@@ -19,14 +19,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Missing values are written as this mark, so that empty text stays empty text.
+CSV_NULL = "\\N"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Quotes and line breaks inside values survive; empty text stays apart from null."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", emptyValue='""')
+    """Quotes and line breaks inside values survive."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue=CSV_NULL)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).csv(
-        path, header=True, escape='"', multiLine=True, nullValue="", emptyValue='""'
+        path, header=True, escape='"', multiLine=True, nullValue=CSV_NULL
     )
 
 
