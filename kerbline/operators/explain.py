@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators.graph import SELF_WEIGHT, return_weight
@@ -35,7 +35,7 @@ RULES = (
 NO_RULE = ("Engineering study recommended (no rule matched)", "FHWA Systemic Safety Project Selection Tool", "This segment's top risk drivers did not match an existing rule — flagged for manual review rather than a guessed countermeasure.")
 
 
-def attribution(
+def attribution_arrays(
     matrix: DataFrame,
     nodes: DataFrame,
     edges: DataFrame,
@@ -43,65 +43,84 @@ def attribution(
     base: dict[str, float] | None = None,
     self_weight: float = SELF_WEIGHT,
 ) -> DataFrame:
-    """``segment_id, feature_name, modality, value, contribution, importance``.
+    """``segment_id, parts``: per feature its contribution and importance.
 
     The share of the linear predictor that comes from the segment's own value of
     a feature, other segments left as they are. Own values return through the
     graph with the diagonals of the adjacency powers. ``matrix`` may hold any
     subset of the segments; ``base`` is the value a feature is compared with (0).
     """
-    groups = dict((c, g) for g, c in present_features(matrix))
+    groups = {c: g for g, c in present_features(matrix)}
     back = return_weight(nodes, edges, self_weight).withColumnRenamed("node", "segment_id")
     passed = {0: F.lit(1.0), 1: F.col("back_1"), 2: F.col("back_2")}
-    by_feature: dict[str, list[Coefficient]] = {}
+    gains: dict[str, Column] = {}
     for c in coefs:
-        by_feature.setdefault(c.feature, []).append(c)
-    parts = []
-    for feature, cs in by_feature.items():
-        own = sum((F.lit(float(c.w)) * passed[c.hop] for c in cs[1:]), F.lit(float(cs[0].w)) * passed[cs[0].hop])
-        shift = F.col(feature) - F.lit(float((base or {}).get(feature, 0.0)))
-        parts.append(
-            F.struct(
-                F.lit(feature).alias("feature_name"),
-                F.lit(groups[feature]).alias("modality"),
-                F.col(feature).alias("value"),
-                (own * shift).alias("contribution"),
-            )
+        gain = F.lit(float(c.w)) * passed[c.hop]
+        gains[c.feature] = gains[c.feature] + gain if c.feature in gains else gain
+    parts = [
+        F.struct(
+            F.lit(feature).alias("feature_name"),
+            F.lit(groups[feature]).alias("modality"),
+            F.col(feature).alias("value"),
+            (gain * (F.col(feature) - F.lit(float((base or {}).get(feature, 0.0))))).alias("contribution"),
         )
-    rows = matrix.join(back, "segment_id").select("segment_id", F.array(*parts).alias("parts"))
+        for feature, gain in gains.items()
+    ]
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.abs(p["contribution"]))
-    return rows.select("segment_id", total.alias("total"), F.inline("parts")).select(
-        "segment_id",
-        "feature_name",
-        "modality",
-        "value",
-        "contribution",
-        F.when(F.col("total") > 0, F.abs("contribution") / F.col("total")).otherwise(F.lit(0.0)).alias("importance"),
+
+    def with_share(p: Column) -> Column:
+        share = F.when(F.col("total") > 0, F.abs(p["contribution"]) / F.col("total")).otherwise(F.lit(0.0))
+        return p.withField("importance", share)
+
+    return (
+        matrix.join(back, "segment_id")
+        .select("segment_id", F.array(*parts).alias("parts"))
+        .withColumn("total", total)
+        .select("segment_id", F.transform("parts", with_share).alias("parts"))
     )
 
 
-def topk_features(attributed: DataFrame, k: int = 6) -> DataFrame:
-    """The ``k`` most important features of each segment; values rounded for reporting."""
+def attribution(
+    matrix: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    coefs: Sequence[Coefficient],
+    base: dict[str, float] | None = None,
+    self_weight: float = SELF_WEIGHT,
+) -> DataFrame:
+    """``segment_id, feature_name, modality, value, contribution, importance``, long form."""
+    arrays = attribution_arrays(matrix, nodes, edges, coefs, base, self_weight)
+    return arrays.select("segment_id", F.inline("parts"))
+
+
+def topk_nested(arrays: DataFrame, k: int = 6) -> DataFrame:
+    """``segment_id, top_features``: the ``k`` most important features, best first.
+
+    Sorted inside the row, without a shuffle. Numbers are rounded for reporting.
+    """
     # Importances are compared after rounding to 12 digits: ties go by name.
-    w = Window.partitionBy("segment_id").orderBy(F.round("importance", 12).desc(), "feature_name")
-    return (
-        attributed.withColumn("feature_rank", F.row_number().over(w))
-        .where(F.col("feature_rank") <= k)
-        .select(
-            "segment_id",
-            "feature_rank",
-            "feature_name",
-            F.round("importance", 4).alias("importance"),
-            F.round("value", 4).alias("value"),
-            "modality",
-        )
+    ordered = F.transform(
+        "parts",
+        lambda p: F.struct((-F.round(p["importance"], 12)).alias("o"), p["feature_name"].alias("n"), p.alias("p")),
     )
+    best = F.slice(F.array_sort(ordered), 1, k)
+
+    def report(e: Column, i: Column) -> Column:
+        p = e["p"]
+        return F.struct(
+            (i + 1).alias("feature_rank"),
+            p["feature_name"].alias("feature_name"),
+            F.round(p["importance"], 4).alias("importance"),
+            F.round(p["value"], 4).alias("value"),
+            p["modality"].alias("modality"),
+        )
+
+    return arrays.select("segment_id", F.transform(best, report).alias("top_features"))
 
 
-def nested_features(top: DataFrame) -> DataFrame:
-    """``segment_id, top_features``: at most k entries per segment, best first."""
-    entry = F.struct("feature_rank", "feature_name", "importance", "value", "modality")
-    return top.groupBy("segment_id").agg(F.array_sort(F.collect_list(entry)).alias("top_features"))
+def topk_features(arrays: DataFrame, k: int = 6) -> DataFrame:
+    """The top features, one row each."""
+    return topk_nested(arrays, k).select("segment_id", F.inline("top_features"))
 
 
 def _rule_table(rules: Sequence[Rule]) -> Column:
@@ -164,14 +183,13 @@ def countermeasure_rows(suggested: DataFrame) -> DataFrame:
 
 
 def topk_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``segment_id, jaccard`` of two top-k feature sets; two empty sets give 0."""
+    """``segment_id, jaccard`` of two ``top_features`` sets; two empty sets give 0."""
 
-    def sets(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("segment_id").agg(F.collect_set("feature_name").alias(name))
+    def names(df: DataFrame, out: str) -> DataFrame:
+        return df.select("segment_id", F.col("top_features.feature_name").alias(out))
 
-    none = F.array().cast("array<string>")
-    both = sets(a, "a").join(sets(b, "b"), "segment_id", "left")
-    x, y = F.col("a"), F.coalesce("b", none)
+    both = names(a, "a").join(names(b, "b"), "segment_id", "left")
+    x, y = F.col("a"), F.coalesce("b", F.array().cast("array<string>"))
     union = F.size(F.array_union(x, y))
     return both.select(
         "segment_id",

@@ -6,6 +6,7 @@ A graph is an edge list ``src, dst`` that holds both directions and no self rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,39 +20,37 @@ from kerbline.session import durable
 SELF_WEIGHT = 2.0
 
 
-def adjacency_exact(segments: DataFrame) -> DataFrame:
-    """Edges between segments that share an intersection id.
+class Places(NamedTuple):
+    """A graph without its edges: segments are adjacent iff one reaches a place where
+    the other ends.
 
-    ``segments`` has ``segment_id, from_id, to_id``; missing ids connect nothing.
+    ``at`` and ``reach`` have ``node, place``. The tables grow with the number of
+    segments however many of them meet at one place, while the edge list grows
+    with the square of that number.
     """
-    ends = (
-        segments.select("segment_id", F.explode(F.array("from_id", "to_id")).alias("junction"))
-        .where(F.col("junction").isNotNull())
-        .distinct()
-    )
-    return _pairs_at(ends, ["junction"])
 
+    at: DataFrame
+    reach: DataFrame
 
-def _pairs_at(ends: DataFrame, place: Sequence[str]) -> DataFrame:
-    left = ends.withColumnRenamed("segment_id", "src")
-    right = ends.withColumnRenamed("segment_id", "dst")
-    hot = hot_keys(left, place)
-    return (
-        salted_join(left, right, place, hot=hot)
-        .where(F.col("src") != F.col("dst"))
-        .select("src", "dst")
+
+def places_exact(segments: DataFrame) -> Places:
+    """Places are intersection ids; ``segments`` has ``segment_id, from_id, to_id``."""
+    ends = (
+        segments.select(F.col("segment_id").alias("node"), F.explode(F.array("from_id", "to_id")).alias("place"))
+        .where(F.col("place").isNotNull())
         .distinct()
     )
+    return Places(ends, ends)
 
 
-def adjacency_proximity(segments: DataFrame, tol_m: float = 15.0) -> DataFrame:
-    """Edges between segments that have endpoints at most ``tol_m`` apart.
+def places_proximity(segments: DataFrame, tol_m: float = 15.0) -> Places:
+    """Places are distinct endpoint coordinates; a segment reaches those within ``tol_m``
+    of its own ends.
 
-    Distances are checked between distinct coordinates, so a place where very
-    many segments end costs one check, not one per pair of segments.
+    Distances are checked between coordinates, not between segments.
     """
     ends = segments.select(
-        "segment_id",
+        F.col("segment_id").alias("node"),
         F.inline(
             F.array(
                 F.struct(F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")),
@@ -59,24 +58,42 @@ def adjacency_proximity(segments: DataFrame, tol_m: float = 15.0) -> DataFrame:
             )
         ),
     ).distinct()
-    close = point_pairs_within(ends.select("lat", "lon").distinct(), tol_m)
-    here = ends.select(
-        F.col("segment_id").alias("src"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")
+    spot = F.struct("lat", "lon")
+    at = durable(ends.select("node", spot.alias("place")), "ends")
+    close = point_pairs_within(durable(ends.select("lat", "lon").distinct(), "spots"), tol_m).select(
+        F.struct(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).alias("place"),
+        F.struct(F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon")).alias("near"),
     )
-    there = ends.select(
-        F.col("segment_id").alias("dst"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")
+    reach = (
+        salted_join(at, close, ["place"], hot=hot_keys(at, ["place"]))
+        .select("node", F.col("near").alias("place"))
+        .distinct()
     )
-    hot = hot_keys(here, ["a_lat", "a_lon"])
-    reach = salted_join(here, close, ["a_lat", "a_lon"], hot=hot).select("src", "b_lat", "b_lon")
+    return Places(at, reach)
+
+
+def edges_of(places: Places) -> DataFrame:
+    """The edge list ``src, dst``: both directions, each pair once, no self rows."""
+    left = places.reach.withColumnRenamed("node", "src")
+    right = places.at.withColumnRenamed("node", "dst")
     return (
-        # The same coordinates are hot on both sides: the hash does not see column names.
-        salted_join(reach, there, ["b_lat", "b_lon"], hot=hot)
+        salted_join(left, right, ["place"], hot=hot_keys(left, ["place"]))
         .where(F.col("src") != F.col("dst"))
         .select("src", "dst")
         .distinct()
     )
 
 
+def adjacency_exact(segments: DataFrame) -> DataFrame:
+    """Edges between segments that share an intersection id; missing ids connect nothing."""
+    return edges_of(places_exact(segments))
+
+
+def adjacency_proximity(segments: DataFrame, tol_m: float = 15.0) -> DataFrame:
+    """Edges between segments that have endpoints at most ``tol_m`` apart."""
+    return edges_of(places_proximity(segments, tol_m))
+
+
 def edge_weights(edges: DataFrame, segments: DataFrame) -> DataFrame:
     """``weight_m``: distance between the midpoints of adjacent segments."""
     mids = segments.select("segment_id", "mid_lat", "mid_lon")
@@ -212,6 +229,38 @@ def diffuse(
     return out
 
 
+def diffuse_at_places(
+    values: DataFrame, places: Places, cols: Sequence[str], self_weight: float = SELF_WEIGHT
+) -> DataFrame:
+    """``A x`` without the edge list, for graphs with very large intersections.
+
+    The neighbours' sum is the sum over the places a segment reaches, less what was
+    counted at two of them (segments with both ends there) and less its own value.
+    Sums are taken per place and per pair of ends, never per pair of segments.
+    """
+    x = values.select("node", *cols, F.lit(1.0).alias("_one"))
+    totals = [*cols, "_one"]
+    at = places.at.join(x, "node")
+    per_place = at.groupBy("place").agg(*[F.sum(c).alias(c) for c in totals])
+    both = (
+        places.at.groupBy("node")
+        .agg(F.min("place").alias("p"), F.max("place").alias("q"))
+        .where(F.col("p") < F.col("q"))
+        .join(x, "node")
+        .groupBy("p", "q")
+        .agg(*[F.sum(-F.col(c)).alias(c) for c in totals])
+    )
+    reach = places.reach.join(values.select("node"), "node", "left_semi")
+    once = salted_join(reach, per_place, ["place"], hot=hot_keys(reach, ["place"])).select("node", *totals)
+    # Pairs among the few places one segment reaches, looked up in the pairs that exist.
+    p, q = reach.select("node", F.col("place").alias("p")), reach.select("node", F.col("place").alias("q"))
+    pairs = p.join(q, "node").where(F.col("p") < F.col("q"))
+    twice = salted_join(pairs, both, ["p", "q"], hot=hot_keys(pairs, ["p", "q"])).select("node", *totals)
+    own = x.select("node", *[(F.col(c) * F.lit(self_weight - 1.0)).alias(c) for c in totals])
+    summed = once.unionByName(twice).unionByName(own).groupBy("node").agg(*[F.sum(c).alias(c) for c in totals])
+    return summed.select("node", *[(F.col(c) / F.col("_one")).alias(c) for c in cols])
+
+
 def diffusion_features(
     values: DataFrame,
     edges: DataFrame,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.session import durable
+
 # Rank error of the first-pass sketch is at most rows / ACCURACY.
 ACCURACY = 50_000
 # Groups up to this size skip the narrowing.
@@ -72,7 +74,8 @@ def exact_quantiles(
         ).alias("_b"),
     )
     if keys:
-        paired = rows.alias("r").join(brackets.alias("b"), _same(keys, "r", "b"))
+        # One row per group, written first so that its real size decides on a broadcast.
+        paired = rows.alias("r").join(durable(brackets, "brackets").alias("b"), _same(keys, "r", "b"))
     else:
         paired = rows.alias("r").withColumn("_b", brackets.select("_b").scalar())
     # Values below the bracket share one null row, values above it are not needed.

@@ -23,7 +23,7 @@ def hot_keys(
     df: DataFrame,
     keys: Sequence[str],
     share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    min_rows: int | None = None,
 ) -> list[int]:
     """Hashes of the keys that hold more than ``share`` of the rows.
 
@@ -43,7 +43,7 @@ def hot_keys(
     )
     if not row["n"]:
         return []
-    floor = max(row["n"] * share, min_rows)
+    floor = max(row["n"] * share, HOT_MIN_ROWS if min_rows is None else min_rows)
     return [item["item"] for item in row["top"] if item["count"] > floor]
 
 

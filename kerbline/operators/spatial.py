@@ -15,9 +15,9 @@ from kerbline.session import durable
 
 # Above this many distinct target points in one cell the search goes through boxes.
 CELL_CAP = 2048
-# A cell side is cut three times by eight.
-SPLITS = 512
-LEVEL_SHIFTS = (6, 3, 0)
+# A cell side is cut by eight up to six times: 5 km cells end at 2 cm.
+SPLITS = 8**6
+LEVEL_SHIFTS = (15, 12, 9, 6, 3, 0)
 
 
 def distinct_points(df: DataFrame, id_col: str) -> DataFrame:
@@ -68,6 +68,7 @@ def _box_table(points: DataFrame, shift: int) -> DataFrame:
             F.min("lon").alias("lon_lo"),
             F.max("lon").alias("lon_hi"),
             F.min(F.struct("lat", "lon")).alias("rep"),
+            F.count("*").alias("held"),
         )
     )
 
@@ -87,12 +88,17 @@ def _prune(pairs: DataFrame, radius_m: float) -> DataFrame:
     return (
         pairs.withColumn("reach", reach)
         .where((lower <= F.col("reach")) & (lower <= radius_m))
-        .select("q_lat", "q_lon", "cell", "by", "bx")
+        .select("q_lat", "q_lon", "cell", "by", "bx", "held")
     )
 
 
-def _nearest_through_boxes(places: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
-    """Exact nearest point when cells are crowded: descend level by level."""
+def _nearest_through_boxes(
+    places: DataFrame, points: DataFrame, radius_m: float, cell_cap: int
+) -> DataFrame:
+    """Exact nearest point when cells are crowded: descend level by level.
+
+    The descent ends when no box in play holds more than ``cell_cap`` points.
+    """
     iy, ix = geo.subcell_xy(F.col("lat"), F.col("lon"), radius_m, SPLITS)
     points = points.withColumn("iy", iy).withColumn("ix", ix)
     alive = None
@@ -102,15 +108,24 @@ def _nearest_through_boxes(places: DataFrame, points: DataFrame, radius_m: float
             probes = _probe_cells(places, radius_m)
             pairs = salted_join(probes, boxes, ["cell"], hot=hot_keys(probes, ["cell"]))
         else:
-            parents = alive.withColumnsRenamed({"by": "py", "bx": "px"})
+            parents = alive.drop("held").withColumnsRenamed({"by": "py", "bx": "px"})
             children = boxes.withColumn("py", F.shiftright("by", 3)).withColumn(
                 "px", F.shiftright("bx", 3)
             )
             keys = ["cell", "py", "px"]
             pairs = salted_join(parents, children, keys, hot=hot_keys(parents, keys))
-        alive = _prune(pairs, radius_m)
+        alive = durable(_prune(pairs, radius_m), f"boxes_{shift}")
+        if alive.where(F.col("held") > cell_cap).isEmpty():
+            break
     keys = ["cell", "by", "bx"]
-    leaves = points.select("target_id", "lat", "lon", "cell", F.col("iy").alias("by"), F.col("ix").alias("bx"))
+    leaves = points.select(
+        "target_id",
+        "lat",
+        "lon",
+        "cell",
+        F.shiftright("iy", shift).alias("by"),
+        F.shiftright("ix", shift).alias("bx"),
+    )
     return _pick_nearest(salted_join(alive, leaves, keys, hot=hot_keys(alive, keys)), radius_m)
 
 
@@ -133,7 +148,7 @@ def nearest_places(
     )
     crowded = not points.groupBy("cell").count().where(F.col("count") > cell_cap).isEmpty()
     if crowded:
-        return _nearest_through_boxes(places, points, radius_m)
+        return _nearest_through_boxes(places, points, radius_m, cell_cap)
     probes = _probe_cells(places, radius_m)
     return _pick_nearest(
         salted_join(probes, points, ["cell"], hot=hot_keys(probes, ["cell"])), radius_m
@@ -151,10 +166,11 @@ def nearest_join(
 
     The search runs once per distinct coordinate and is joined back.
     """
-    places = (
+    places = durable(
         rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .select(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-        .distinct()
+        .distinct(),
+        "places",
     )
     found = nearest_places(places, targets, radius_m, id_col, cell_cap).withColumnsRenamed(
         {"q_lat": "lat", "q_lon": "lon"}
@@ -166,10 +182,11 @@ def count_nearest(
     rows: DataFrame, targets: DataFrame, radius_m: float, id_col: str
 ) -> DataFrame:
     """``target_id, n``: how many rows have each target as their nearest one."""
-    places = (
+    places = durable(
         rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .groupBy(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-        .agg(F.count("*").alias("rows_here"))
+        .agg(F.count("*").alias("rows_here")),
+        "places",
     )
     found = nearest_places(places.select("q_lat", "q_lon"), targets, radius_m, id_col)
     return (

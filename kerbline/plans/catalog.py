@@ -339,6 +339,17 @@ def graph_diffusion_k2(spark, sf):
     return _diffused(spark, sf, 2)
 
 
+@query
+def graph_diffusion_places(spark, sf):
+    """One hop as in ``graph_diffusion_k1``, from shared places instead of edges."""
+    st = demo.Stages.of(spark, sf)
+    cols = [c for _, c in model.present_features(st.features)]
+    x = durable(model.model_matrix(st.features).withColumnRenamed("segment_id", "node"), "matrix")
+    places = graph.places_proximity(st.features, assemble.ADJACENCY_TOL_M)
+    hop = graph.diffuse_at_places(x, places, cols)
+    return hop.select(F.col("node").alias("segment_id"), *[_r(c) for c in cols])
+
+
 @query
 def khop_neighbors(spark, sf):
     st = demo.Stages.of(spark, sf)
@@ -557,12 +568,12 @@ def priority_topn(spark, sf):
 def _attributed(spark, sf, base=None) -> DataFrame:
     st = demo.Stages.of(spark, sf)
     matrix = model.model_matrix(st.features)
-    return explain.attribution(matrix, _nodes(st.features), st.edges, demo.COEFFICIENTS, base)
+    return explain.attribution_arrays(matrix, _nodes(st.features), st.edges, demo.COEFFICIENTS, base)
 
 
 @query
 def attribution(spark, sf):
-    return _attributed(spark, sf).select(
+    return _attributed(spark, sf).select("segment_id", F.inline("parts")).select(
         "segment_id", "feature_name", "modality", _r("value"), _r("contribution"), _r("importance")
     )
 
@@ -579,14 +590,14 @@ def topk_jaccard(spark, sf):
     cols = [c for _, c in model.present_features(features)]
     means = stats.fit_zscore(model.model_matrix(features), cols, F.lit(True))
     base = {c: means[f"mean_{c}"] for c in cols}
-    a = explain.topk_features(_attributed(spark, sf), 4)
-    b = explain.topk_features(_attributed(spark, sf, base), 4)
+    a = explain.topk_nested(_attributed(spark, sf), 4)
+    b = explain.topk_nested(_attributed(spark, sf, base), 4)
     return explain.topk_jaccard(a, b).select("segment_id", _r("jaccard"))
 
 
 @query
 def countermeasures(spark, sf):
-    nested = explain.nested_features(explain.topk_features(_attributed(spark, sf)))
+    nested = explain.topk_nested(_attributed(spark, sf))
     return explain.countermeasure_rows(explain.countermeasures(nested))
 
 

@@ -41,10 +41,10 @@ def explained(
     coefs: Sequence[Coefficient],
     k: int = 6,
 ) -> DataFrame:
-    """Top features of the given segments only; gaps are filled from the whole table."""
+    """``segment_id, top_features`` of the given segments; gaps are filled from the whole table."""
     matrix = model.model_matrix(features).join(segment_ids.select("segment_id"), "segment_id", "left_semi")
     nodes = features.select(F.col("segment_id").alias("node"))
-    return explain.topk_features(explain.attribution(matrix, nodes, edges, coefs), k)
+    return explain.topk_nested(explain.attribution_arrays(matrix, nodes, edges, coefs), k)
 
 
 def priority_list(
@@ -60,7 +60,7 @@ def priority_list(
     The limit comes first: only ``n`` segments are explained.
     """
     top = durable(risk.priority_topn(scores, n), "top")
-    nested = explain.nested_features(explained(top, features, edges, coefs))
+    nested = explained(top, features, edges, coefs)
     suggested = explain.countermeasures(nested)
     rows = top.join(nested, "segment_id").join(suggested, "segment_id")
     sure = F.lit(None).cast("double")
@@ -138,4 +138,4 @@ def top_of_fit(
     ]
     own = matrix.join(wanted.select("segment_id").distinct(), "segment_id", "left_semi")
     nodes = features.select(F.col("segment_id").alias("node"))
-    return explain.topk_features(explain.attribution(own, nodes, edges, raw), k)
+    return explain.topk_nested(explain.attribution_arrays(own, nodes, edges, raw), k)

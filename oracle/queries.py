@@ -248,6 +248,7 @@ _BODIES: dict[str, str] = {
     "row_norm_adj": "SELECT l.src, l.dst, round(l.raw / (d.degree + 2), 6) AS weight FROM looped l JOIN degrees d ON d.segment_id = l.src",
     "graph_diffusion_k1": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h1",
     "graph_diffusion_k2": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h2",
+    "graph_diffusion_places": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h1",
     "khop_neighbors": """
       WITH two AS (SELECT DISTINCT a.src AS target, b.dst AS node FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src <> b.dst)
       SELECT src AS target, dst AS node, 1 AS hop FROM edges
