@@ -127,21 +127,14 @@ def disparity_pivot(scores: DataFrame) -> DataFrame:
 
 
 def quantile_stops(scores: DataFrame, col: str = "risk_exposure") -> DataFrame:
-    """Colour stops ``stop, position, value``: elements of the sorted column at the
+    """Colour stops ``position, stop, value``: elements of the sorted column at the
     fixed shares, then the maximum. An empty input gives 0 and 1.
     """
-    picked = exact_quantiles(scores, [], col, STOPS, interpolate=False)
-    top = scores.agg(F.max(F.when(~F.isnan(col), F.col(col))).alias("m")).scalar()
-    steps = [
-        F.struct(F.lit(i).alias("position"), F.lit(name).alias("stop"), F.col(name).alias("value"))
-        for i, name in enumerate(STOPS)
-    ]
-    found = picked.select(
-        F.inline(F.array(*steps, F.struct(F.lit(len(STOPS)).alias("position"), F.lit("max").alias("stop"), top.alias("value"))))
-    )
-    spark = scores.sparkSession
-    blank = spark.createDataFrame(
-        [(0, "p0", 0.0), (1, "max", 1.0)], "position int, stop string, value double"
-    )
-    none_left = scores.agg(F.count(F.when(~F.isnan(col), F.col(col))).alias("n")).scalar() == 0
-    return found.unionByName(blank.where(none_left))
+    picked = exact_quantiles(scores, [], col, {**STOPS, "max": 1.0}, interpolate=False)
+
+    def step(i: int, name: str, value: Column) -> Column:
+        return F.struct(F.lit(i).alias("position"), F.lit(name).alias("stop"), value.alias("value"))
+
+    blank = F.array(step(0, "p0", F.lit(0.0)), step(1, "max", F.lit(1.0)))
+    steps = F.array(*[step(i, name, F.col(name)) for i, name in enumerate([*STOPS, "max"])])
+    return picked.select(F.when(F.col("max").isNull(), blank).otherwise(steps).alias("s")).select(F.inline("s"))

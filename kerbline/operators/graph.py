@@ -69,7 +69,7 @@ def places_proximity(segments: DataFrame, tol_m: float = 15.0) -> Places:
         .select("node", F.col("near").alias("place"))
         .distinct()
     )
-    return Places(at, reach)
+    return Places(at, durable(reach, "reach"))
 
 
 def edges_of(places: Places) -> DataFrame:
