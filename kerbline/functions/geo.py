@@ -27,12 +27,14 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(root, F.lit(1.0))))
 
 
+def within_bbox(lat: Column, lon: Column, bbox: dict) -> Column:
+    """Plain range predicate for filters: null for missing coordinates, pushed to the scan."""
+    return lat.between(bbox["min_lat"], bbox["max_lat"]) & lon.between(bbox["min_lon"], bbox["max_lon"])
+
+
 def in_bbox(lat: Column, lon: Column, bbox: dict) -> Column:
     """True inside the box; false, not null, for missing coordinates."""
-    inside = lat.between(bbox["min_lat"], bbox["max_lat"]) & lon.between(
-        bbox["min_lon"], bbox["max_lon"]
-    )
-    return F.coalesce(inside, F.lit(False))
+    return F.coalesce(within_bbox(lat, lon, bbox), F.lit(False))
 
 
 def _mean_of(points: Column, axis: int) -> Column:

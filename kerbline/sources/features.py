@@ -36,7 +36,8 @@ def record_schema(attributes: str | T.StructType) -> T.StructType:
 def read_pages(spark: SparkSession, path: str, attributes: str | T.StructType) -> DataFrame:
     """One landed file is a JSON array of records; files are read in parallel.
 
-    The schema is explicit: nothing is inferred and unread attributes are skipped.
+    The schema is explicit: nothing is inferred, attributes left out of it are not
+    parsed, and the geometry is parsed only when it is used.
     """
     return spark.read.schema(record_schema(attributes)).json(path, multiLine=True)
 
@@ -108,7 +109,7 @@ def source_filter(
 
 def bbox_filter(df: DataFrame, bbox: Mapping[str, float], lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Keep rows inside the box; missing coordinates are outside."""
-    return df.where(geo.in_bbox(F.col(lat), F.col(lon), bbox))
+    return df.where(geo.within_bbox(F.col(lat), F.col(lon), bbox))
 
 
 def drop_without_coordinates(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -93,8 +93,12 @@ def _countermeasures() -> str:
 def _counterfactual() -> str:
     speed = [c for c in COEFFICIENTS if c.feature == "speed_limit_mph"]
     gain = " + ".join(f"{c.w!r}::DOUBLE * u{c.hop}" for c in speed)
-    chosen = ", ".join(
-        f"({_lit(i.key)}, {_lit(i.label)}, {i.set_value}::DOUBLE)" for i in INTERVENTIONS if i.feature_contains == "speed_limit"
+    effects = " UNION ALL ".join(
+        f"SELECT {_lit(i.key)} AS intervention, {_lit(i.label)} AS label, m.target, m.node, m.hop, s.eta, "
+        f"s.eta + ({i.set_value}::DOUBLE - x.speed_limit_mph) * ({gain}) AS eta2 "
+        "FROM moved m JOIN x ON x.segment_id = m.target JOIN scored s ON s.segment_id = m.node"
+        for i in INTERVENTIONS
+        if i.feature_contains == "speed_limit"
     )
     return f"""
       WITH a AS (SELECT l.src, l.dst, l.raw / (d.degree + 2) AS w FROM looped l JOIN degrees d ON d.segment_id = l.dst),
@@ -104,12 +108,8 @@ def _counterfactual() -> str:
         SELECT c2.target, c2.node, (c2.target = c2.node)::INTEGER::DOUBLE AS u0, coalesce(c1.u, 0.0) AS u1, c2.u AS u2,
           CASE WHEN c2.target = c2.node THEN 0 WHEN c1.u IS NOT NULL THEN 1 ELSE 2 END AS hop
         FROM c2 LEFT JOIN c1 USING (target, node)),
-      interventions(intervention, label, set_value) AS (VALUES {chosen}),
-      result AS (
-        SELECT m.target AS segment_id, i.intervention, i.label, m.node AS affected_id, m.hop, s.eta,
-          s.eta + (i.set_value - x.speed_limit_mph) * ({gain}) AS eta2
-        FROM moved m JOIN x ON x.segment_id = m.target JOIN scored s ON s.segment_id = m.node, interventions i)
-      SELECT segment_id, intervention, label, affected_id, hop, round(exp(eta), 4) AS baseline_risk_score,
+      result AS ({effects})
+      SELECT target AS segment_id, intervention, label, node AS affected_id, hop, round(exp(eta), 4) AS baseline_risk_score,
         round(exp(eta2), 4) AS updated_risk_score, round(exp(eta2) - exp(eta), 4) + 0.0 AS delta
       FROM result"""
 
