@@ -36,79 +36,97 @@ TOP_FEATURE = {
 
 def _type_of(v: Column) -> Column:
     """JSON type name; null where the key is absent. ``true`` is never a number."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .when(name.isNotNull(), "number")
-    )
+    # "OBJECT<..>", "ARRAY<..>" and "DECIMAL(..)" lose what follows the first word.
+    name = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    known = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    pairs = [F.lit(x) for kv in known.items() for x in kv]
+    mapped = F.try_element_at(F.create_map(*pairs), name)
+    return F.when(v.isNotNull(), F.coalesce(mapped, F.lit("number")))
 
 
-def _at(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
+def _at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "variant")
 
 
-def _check(where: Column, v: Column, key: str, want: str, required: bool = True, bool_is_number: bool = False) -> Column:
-    got = _type_of(_at(v, key))
+def _check(where: Column, got: Column, key: str, want: str, required: bool = True, bool_is_number: bool = False) -> Column:
     wrong = got != want
     if bool_is_number:
         wrong = wrong & (got != "boolean")
     path = F.concat(where, F.lit(f".{key}"))
-    missing = F.when(got.isNull(), F.concat(path, F.lit(": missing"))) if required else F.when(F.lit(False), "")
-    return missing.when(wrong, F.concat(path, F.lit(f": expected {want}, got "), got))
+    absent = F.concat(path, F.lit(": missing")) if required else F.lit(None).cast("string")
+    return F.when(got.isNull(), absent).when(wrong, F.concat(path, F.lit(f": expected {want}, got "), got))
 
 
-def _checks(where: Column, v: Column, spec: dict[str, str]) -> list[Column]:
-    return [_check(where, v, k, t) for k, t in spec.items()]
+def _present(checks: list[Column]) -> Column:
+    return F.array_compact(F.array(*checks))
 
 
-def _present(checks: list[Column]) -> Column:
-    return F.filter(F.array(*checks), lambda p: p.isNotNull())
+# Every typed path outside the feature list: (prefix, key, wanted type, required).
+_PATHS = (
+    [("top-level", k, t, True) for k, t in TOP_LEVEL.items()]
+    + [("meta", k, t, True) for k, t in META.items()]
+    + [("meta", k, t, False) for k, t in META_OPTIONAL.items()]
+    + [("segment", k, t, True) for k, t in SEGMENT.items()]
+)
 
 
-def problems(text: Column) -> Column:
-    """``array<string>`` of problems; empty when the record is valid.
+def contract_check(records: DataFrame, text: str = "record") -> DataFrame:
+    """Adds ``problems`` (``array<string>``, empty when valid) and ``is_valid``.
 
     Top-level problems hide the nested ones. A boolean passes for the top-level
-    number but not for a nested one.
+    number but not for a nested one. The record is parsed once, then its types
+    are taken once; the checks only compare type names.
     """
-    v = F.try_parse_json(text)
-    top = _present(
-        [
-            _check(F.lit("top-level"), v, k, t, bool_is_number=(t == "number"))
-            for k, t in TOP_LEVEL.items()
+    v = F.col("_v")
+    types = F.struct(
+        *[
+            _type_of(_at(v, k if where == "top-level" else f"{where}.{k}")).alias(f"t{i}")
+            for i, (where, k, _, _) in enumerate(_PATHS)
         ]
     )
-    meta, segment = _at(v, "meta"), _at(v, "segment")
-    nested = _present(
-        _checks(F.lit("meta"), meta, META)
-        + [_check(F.lit("meta"), meta, k, t, required=False) for k, t in META_OPTIONAL.items()]
-        + _checks(F.lit("segment"), segment, SEGMENT)
+
+    def feature_types(f: Column) -> Column:
+        return F.struct(
+            _type_of(f).alias("kind"), *[_type_of(_at(f, k)).alias(k) for k in TOP_FEATURE]
+        )
+
+    typed = (
+        records.withColumn("_v", F.try_parse_json(text))
+        .withColumn("_types", types)
+        .withColumn(
+            "_features", F.transform(F.try_variant_get(v, "$.top_features", "array<variant>"), feature_types)
+        )
     )
 
-    def entry(feat: Column, i: Column) -> Column:
+    checks: dict[bool, list[Column]] = {True: [], False: []}
+    for i, (where, k, want, required) in enumerate(_PATHS):
+        outer = where == "top-level"
+        checks[outer].append(
+            _check(F.lit(where), F.col(f"_types.t{i}"), k, want, required, outer and want == "number")
+        )
+
+    def entry(f: Column, i: Column) -> Column:
         where = F.concat(F.lit("top_features["), i.cast("string"), F.lit("]"))
-        kind = _type_of(feat)
+        inner = _present([_check(where, f[k], k, t) for k, t in TOP_FEATURE.items()])
         return F.when(
-            kind != "object", F.array(F.concat(where, F.lit(": expected object, got "), kind))
-        ).otherwise(_present(_checks(where, feat, TOP_FEATURE)))
+            f["kind"] != "object", F.array(F.concat(where, F.lit(": expected object, got "), f["kind"]))
+        ).otherwise(inner)
 
-    feats = F.try_variant_get(v, "$.top_features", "array<variant>")
-    nested = F.concat(nested, F.coalesce(F.flatten(F.transform(feats, entry)), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
     return (
-        F.when(v.isNull(), F.array(F.lit("record: not JSON")))
-        .when(F.size(top) > 0, top)
-        .otherwise(nested)
-    )
-
-
-def contract_check(records: DataFrame, text: str = "record") -> DataFrame:
-    """Adds ``problems`` and ``is_valid``."""
-    return records.withColumn("problems", problems(F.col(text))).withColumn(
-        "is_valid", F.size("problems") == 0
+        typed.withColumn("_top", _present(checks[True]))
+        .withColumn(
+            "problems",
+            F.when(v.isNull(), F.array(F.lit("record: not JSON")))
+            .when(F.size("_top") > 0, F.col("_top"))
+            .otherwise(
+                F.concat(
+                    _present(checks[False]), F.coalesce(F.flatten(F.transform("_features", entry)), none)
+                )
+            ),
+        )
+        .withColumn("is_valid", F.size("problems") == 0)
+        .drop("_v", "_types", "_features", "_top")
     )
 
 

@@ -90,7 +90,9 @@ def attribution(
 ) -> DataFrame:
     """``segment_id, feature_name, modality, value, contribution, importance``, long form."""
     arrays = attribution_arrays(matrix, nodes, edges, coefs, base, self_weight)
-    return arrays.select("segment_id", F.inline("parts"))
+    # Never empty. The outer form keeps the optimizer from adding a not-empty filter
+    # that would compute the array once more.
+    return arrays.select("segment_id", F.inline_outer("parts"))
 
 
 def topk_nested(arrays: DataFrame, k: int = 6) -> DataFrame:
@@ -120,7 +122,7 @@ def topk_nested(arrays: DataFrame, k: int = 6) -> DataFrame:
 
 def topk_features(arrays: DataFrame, k: int = 6) -> DataFrame:
     """The top features, one row each."""
-    return topk_nested(arrays, k).select("segment_id", F.inline("top_features"))
+    return topk_nested(arrays, k).select("segment_id", F.inline_outer("top_features"))
 
 
 def _rule_table(rules: Sequence[Rule]) -> Column:
@@ -177,7 +179,7 @@ def countermeasures(
 
 
 def countermeasure_rows(suggested: DataFrame) -> DataFrame:
-    return suggested.select("segment_id", F.posexplode("suggestions").alias("p", "s")).select(
+    return suggested.select("segment_id", F.posexplode_outer("suggestions").alias("p", "s")).select(
         "segment_id", (F.col("p") + 1).alias("suggestion_rank"), "s.*"
     )
 

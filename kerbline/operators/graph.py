@@ -65,7 +65,7 @@ def places_proximity(segments: DataFrame, tol_m: float = 15.0) -> Places:
         F.struct(F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon")).alias("near"),
     )
     reach = (
-        salted_join(at, close, ["place"], hot=hot_keys(at, ["place"]))
+        salted_join(at, close, ["place"], hot=hot_keys(at, ["place"], base=at))
         .select("node", F.col("near").alias("place"))
         .distinct()
     )
@@ -77,7 +77,7 @@ def edges_of(places: Places) -> DataFrame:
     left = places.reach.withColumnRenamed("node", "src")
     right = places.at.withColumnRenamed("node", "dst")
     return (
-        salted_join(left, right, ["place"], hot=hot_keys(left, ["place"]))
+        salted_join(left, right, ["place"], hot=hot_keys(left, ["place"], base=left))
         .where(F.col("src") != F.col("dst"))
         .select("src", "dst")
         .distinct()
@@ -97,7 +97,7 @@ def adjacency_proximity(segments: DataFrame, tol_m: float = 15.0) -> DataFrame:
 def edge_weights(edges: DataFrame, segments: DataFrame) -> DataFrame:
     """``weight_m``: distance between the midpoints of adjacent segments."""
     mids = segments.select("segment_id", "mid_lat", "mid_lon")
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     with_src = salted_join(
         edges,
         mids.select(F.col("segment_id").alias("src"), F.col("mid_lat").alias("lat1"), F.col("mid_lon").alias("lon1")),
@@ -162,7 +162,7 @@ def nearest_facility_distance(
     ``hops_per_table`` hops; the loop ends when a hop improves nothing and raises
     rather than return distances that have not settled.
     """
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     looped = edges.select("src", "dst", "weight_m").unionByName(
         nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight_m"))
     )
@@ -191,7 +191,7 @@ def row_norm_adjacency(nodes: DataFrame, edges: DataFrame, self_weight: float =
         F.col("node").alias("src"), (F.col("degree") + self_weight).alias("total")
     )
     looped = with_self(nodes, edges, self_weight)
-    return salted_join(looped, total, ["src"], hot=hot_keys(edges, ["src"]), salt_by=["dst"]).select(
+    return salted_join(looped, total, ["src"], hot=hot_keys(edges, ["src"], base=edges), salt_by=["dst"]).select(
         "src", "dst", (F.col("raw") / F.col("total")).alias("weight")
     )
 
@@ -215,7 +215,7 @@ def diffuse(
     ``values`` has ``node`` and ``cols``. A hop is one join and one aggregation
     for all columns; the row sum comes out of the same aggregation.
     """
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     looped = with_self(values, edges, self_weight)
     current = values.select("node", *cols)
     sums = [(F.sum(F.col("raw") * F.col(c)) / F.sum("raw")).alias(c) for c in cols]
@@ -251,7 +251,7 @@ def diffuse_at_places(
         .agg(*[F.sum(-F.col(c)).alias(c) for c in totals])
     )
     reach = places.reach.join(values.select("node"), "node", "left_semi")
-    once = salted_join(reach, per_place, ["place"], hot=hot_keys(reach, ["place"])).select("node", *totals)
+    once = salted_join(reach, per_place, ["place"], hot=hot_keys(reach, ["place"], base=places.reach)).select("node", *totals)
     # Pairs among the few places one segment reaches, looked up in the pairs that exist.
     p, q = reach.select("node", F.col("place").alias("p")), reach.select("node", F.col("place").alias("q"))
     pairs = p.join(q, "node").where(F.col("p") < F.col("q"))
@@ -280,7 +280,7 @@ def khop_neighbors(targets: DataFrame, edges: DataFrame, hops: int = 2) -> DataF
 
     ``targets`` has ``target``. The target itself is left out.
     """
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     start = targets.select("target").distinct()
     seen = start.select("target", F.col("target").alias("node"), F.lit(0).alias("hop"))
     frontier = start.select("target", F.col("target").alias("src"))
@@ -300,7 +300,7 @@ def khop_neighbors(targets: DataFrame, edges: DataFrame, hops: int = 2) -> DataF
 
 def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes``."""
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     kept = salted_join(edges, nodes.select(F.col("node").alias("src")), ["src"], "left_semi", hot)
     return salted_join(kept, nodes.select(F.col("node").alias("dst")), ["dst"], "left_semi", hot)
 
@@ -312,7 +312,7 @@ def return_weight(nodes: DataFrame, edges: DataFrame, self_weight: float = SELF_
     """
     totals = degree(nodes, edges).select("node", (F.col("degree") + self_weight).alias("total"))
     other = totals.select(F.col("node").alias("src"), (1 / F.col("total")).alias("inv"))
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     around = (
         salted_join(edges, other, ["src"], hot=hot, salt_by=["dst"])
         .groupBy(F.col("dst").alias("node"))

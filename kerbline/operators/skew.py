@@ -24,13 +24,20 @@ def hot_keys(
     keys: Sequence[str],
     share: float = HOT_SHARE,
     min_rows: int | None = None,
+    base: DataFrame | None = None,
 ) -> list[int]:
     """Hashes of the keys that hold more than ``share`` of the rows.
 
     One pass with a mergeable frequent-items sketch; at most ``1 / share``
     numbers reach the driver. The list only steers row placement: a key that is
     missing from it is joined just as correctly, without being split.
+
+    ``base`` is a written table whose row count bounds the rows of any one key;
+    when it is small the sketch is not needed.
     """
+    least = HOT_MIN_ROWS if min_rows is None else min_rows
+    if base is not None and base.count() <= least:
+        return []
     top = int(1 / share)
     row = (
         df.where(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 0)
@@ -43,7 +50,7 @@ def hot_keys(
     )
     if not row["n"]:
         return []
-    floor = max(row["n"] * share, HOT_MIN_ROWS if min_rows is None else min_rows)
+    floor = max(row["n"] * share, least)
     return [item["item"] for item in row["top"] if item["count"] > floor]
 
 

@@ -106,14 +106,14 @@ def _nearest_through_boxes(
         boxes = _box_table(points, shift)
         if alive is None:
             probes = _probe_cells(places, radius_m)
-            pairs = salted_join(probes, boxes, ["cell"], hot=hot_keys(probes, ["cell"]))
+            pairs = salted_join(probes, boxes, ["cell"], hot=hot_keys(probes, ["cell"], base=places))
         else:
             parents = alive.drop("held").withColumnsRenamed({"by": "py", "bx": "px"})
             children = boxes.withColumn("py", F.shiftright("by", 3)).withColumn(
                 "px", F.shiftright("bx", 3)
             )
             keys = ["cell", "py", "px"]
-            pairs = salted_join(parents, children, keys, hot=hot_keys(parents, keys))
+            pairs = salted_join(parents, children, keys, hot=hot_keys(parents, keys, base=parents))
         alive = durable(_prune(pairs, radius_m), f"boxes_{shift}")
         if alive.where(F.col("held") > cell_cap).isEmpty():
             break
@@ -126,7 +126,7 @@ def _nearest_through_boxes(
         F.shiftright("iy", shift).alias("by"),
         F.shiftright("ix", shift).alias("bx"),
     )
-    return _pick_nearest(salted_join(alive, leaves, keys, hot=hot_keys(alive, keys)), radius_m)
+    return _pick_nearest(salted_join(alive, leaves, keys, hot=hot_keys(alive, keys, base=alive)), radius_m)
 
 
 def nearest_places(
@@ -151,7 +151,7 @@ def nearest_places(
         return _nearest_through_boxes(places, points, radius_m, cell_cap)
     probes = _probe_cells(places, radius_m)
     return _pick_nearest(
-        salted_join(probes, points, ["cell"], hot=hot_keys(probes, ["cell"])), radius_m
+        salted_join(probes, points, ["cell"], hot=hot_keys(probes, ["cell"], base=places)), radius_m
     )
 
 
@@ -216,7 +216,7 @@ def point_pairs_within(points: DataFrame, tol_m: float) -> DataFrame:
         (F.col("b_lat") == F.col("a_lat")) & (F.col("b_lon") > F.col("a_lon"))
     )
     close = (
-        salted_join(a, b, ["cell"], hot=hot_keys(a, ["cell"]))
+        salted_join(a, b, ["cell"], hot=hot_keys(a, ["cell"], base=points))
         .where(later)
         .where(
             geo.haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= tol_m

@@ -41,7 +41,7 @@ def _spread(targets: DataFrame, nodes: DataFrame, edges: DataFrame, order: int,
     Starts at the targets and follows edges outwards, so only rows within
     ``order`` hops are ever made.
     """
-    hot = hot_keys(edges, ["src"])
+    hot = hot_keys(edges, ["src"], base=edges)
     looped = with_self(nodes, edges, self_weight)
     inv = degree(nodes, edges).select("node", (1 / (F.col("degree") + self_weight)).alias("inv"))
     step = targets.select("target", F.col("target").alias("node"), F.lit(1.0).alias("u"))

@@ -76,7 +76,7 @@ def road_attributes(segments: DataFrame, roads: DataFrame) -> DataFrame:
         return F.when(near, c.cast("double"))
 
     # One road point may be the nearest of very many segments.
-    joined = salted_join(matched, attrs, ["target_id"], "left", hot_keys(matched, ["target_id"]))
+    joined = salted_join(matched, attrs, ["target_id"], "left", hot_keys(matched, ["target_id"], base=matched))
     return joined.select(
         "segment_id",
         "county",

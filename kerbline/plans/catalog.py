@@ -573,7 +573,7 @@ def _attributed(spark, sf, base=None) -> DataFrame:
 
 @query
 def attribution(spark, sf):
-    return _attributed(spark, sf).select("segment_id", F.inline("parts")).select(
+    return _attributed(spark, sf).select("segment_id", F.inline_outer("parts")).select(
         "segment_id", "feature_name", "modality", _r("value"), _r("contribution"), _r("importance")
     )
 
@@ -643,7 +643,7 @@ def priority_list_rows(spark, sf):
         "risk_exposure_score",
         "data_density_flag",
         F.concat_ws(",", F.col("top_features.feature_name")).alias("feature_names"),
-        F.posexplode("suggested_countermeasures").alias("p", "s"),
+        F.posexplode_outer("suggested_countermeasures").alias("p", "s"),
     )
     return rows.select(
         "rank", "segment_id", "risk_score", "risk_exposure_score", "data_density_flag", "feature_names",

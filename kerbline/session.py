@@ -26,6 +26,10 @@ def local_session(cpus: str = "8", app: str = "kerbline") -> SparkSession:
     return spark
 
 
+# Folders made for local sessions that name none, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, taken from ``spark.checkpoint.dir``.
 
@@ -34,15 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        chosen = tempfile.mkdtemp(prefix="kerbline-")
-        spark.conf.set("spark.checkpoint.dir", chosen)
-        return chosen
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    app = context.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="kerbline-")
+    return _LOCAL_DIRS[app]
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kerbline/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kerbline/{uuid.uuid4().hex}/{name}"
+    return f"{_run_dir(spark)}/{uuid.uuid4().hex[:12]}-{name}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application wrote. Call when it is done with them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -163,3 +163,27 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Cluster())
+
+
+def test_local_session_without_a_named_folder_gets_one(spark, monkeypatch):
+    from kerbline import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Local:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    first = session.shared_dir(Local())
+    assert first == session.shared_dir(Local()) != ""
+
+
+def test_intermediates_can_be_dropped(spark, monkeypatch, tmp_path):
+    from kerbline import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    table = session.durable(spark.range(5), "five")
+    assert table.count() == 5 and list(tmp_path.rglob("*.parquet"))
+    session.drop_intermediates(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
