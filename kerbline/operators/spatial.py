@@ -146,8 +146,8 @@ def nearest_places(
         ),
         "target_points",
     )
-    crowded = not points.groupBy("cell").count().where(F.col("count") > cell_cap).isEmpty()
-    if crowded:
+    crowded = F.col("count") > cell_cap
+    if points.count() > cell_cap and not points.groupBy("cell").count().where(crowded).isEmpty():
         return _nearest_through_boxes(places, points, radius_m, cell_cap)
     probes = _probe_cells(places, radius_m)
     return _pick_nearest(

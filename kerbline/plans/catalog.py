@@ -688,7 +688,7 @@ def explanation_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def contract_check(spark, sf):
-    checked = contract.contract_check(explanation_records(spark, sf))
+    checked = contract.contract_check(durable(explanation_records(spark, sf), "landed_records"))
     return checked.select("segment_id", "is_valid", F.concat_ws("; ", "problems").alias("problems"))
 
 
