@@ -77,7 +77,14 @@ def exact_quantiles(
         # One row per group, written first so that its real size decides on a broadcast.
         paired = rows.alias("r").join(durable(brackets, "brackets").alias("b"), _same(keys, "r", "b"))
     else:
-        paired = rows.alias("r").withColumn("_b", brackets.select("_b").scalar())
+        # A single row of brackets becomes part of the plan.
+        known = brackets.first()["_b"]
+        fields = ("name", "lo", "hi", "rank")
+        types = ("string", "double", "double", "double")
+        constants = F.array(
+            *[F.struct(*[F.lit(b[f]).cast(t).alias(f) for f, t in zip(fields, types)]) for b in known]
+        )
+        paired = rows.alias("r").withColumn("_b", constants)
     # Values below the bracket share one null row, values above it are not needed.
     inside = (
         paired.select(*[F.col(f"r.{k}") for k in keys], "_x", F.inline("_b"))

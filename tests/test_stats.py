@@ -104,3 +104,9 @@ def test_profiles(spark):
     assert {tuple(r) for r in profile.crosstab(df, "k", "t", ["fire", "ems"]).collect()} == {("a", 1, 1), (None, 1, 0)}
     check = profile.source_crosscheck(df.where("k is not null"), df.where("v = 1"), "k").collect()
     assert [tuple(r) for r in check] == [("a", 2, 1, 100.0)]
+
+
+def test_numeric_range(spark):
+    df = spark.createDataFrame([(v,) for v in (4.0, 10.0, None, 1.0, 7.0)], "x double")
+    assert tuple(profile.numeric_range(df, "x").first()) == (1.0, 5.5, 10.0)
+    assert tuple(profile.numeric_range(df.limit(0), "x").first()) == (None, None, None)
