@@ -42,16 +42,18 @@ def attribution_arrays(
     coefs: Sequence[Coefficient],
     base: dict[str, float] | None = None,
     self_weight: float = SELF_WEIGHT,
+    partial: bool = False,
 ) -> DataFrame:
     """``segment_id, parts``: per feature its contribution and importance.
 
     The share of the linear predictor that comes from the segment's own value of
     a feature, other segments left as they are. Own values return through the
     graph with the diagonals of the adjacency powers. ``matrix`` may hold any
-    subset of the segments; ``base`` is the value a feature is compared with (0).
+    subset of the segments and ``nodes`` names them; ``partial`` says that they are a
+    small part of the graph. ``base`` is the value a feature is compared with (0).
     """
     groups = {c: g for g, c in present_features(matrix)}
-    back = return_weight(nodes, edges, self_weight).withColumnRenamed("node", "segment_id")
+    back = return_weight(nodes, edges, self_weight, partial).withColumnRenamed("node", "segment_id")
     passed = {0: F.lit(1.0), 1: F.col("back_1"), 2: F.col("back_2")}
     gains: dict[str, Column] = {}
     for c in coefs:

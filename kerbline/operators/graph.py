@@ -196,8 +196,14 @@ def row_norm_adjacency(nodes: DataFrame, edges: DataFrame, self_weight: float =
     )
 
 
-def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, degree`` for every node, isolated ones with 0."""
+def degree(nodes: DataFrame, edges: DataFrame, partial: bool = False) -> DataFrame:
+    """``node, degree`` for every row of ``nodes``, isolated ones with 0.
+
+    With ``partial``, ``nodes`` is a small part of the graph: other nodes' edges are
+    filtered out before anything is shuffled.
+    """
+    if partial:
+        edges = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
     ones = edges.select(F.col("src").alias("node"), F.lit(1).alias("d"))
     zeros = nodes.select("node", F.lit(0).alias("d"))
     return ones.unionByName(zeros).groupBy("node").agg(F.sum("d").alias("degree"))
@@ -305,21 +311,33 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return salted_join(kept, nodes.select(F.col("node").alias("dst")), ["dst"], "left_semi", hot)
 
 
-def return_weight(nodes: DataFrame, edges: DataFrame, self_weight: float = SELF_WEIGHT) -> DataFrame:
-    """``node, back_1, back_2``: diagonals of ``A`` and ``A^2``.
+def return_weight(
+    nodes: DataFrame, edges: DataFrame, self_weight: float = SELF_WEIGHT, partial: bool = False
+) -> DataFrame:
+    """``node, back_1, back_2``: diagonals of ``A`` and ``A^2`` for ``nodes``.
 
-    What share of its own value a segment gets back after one and two hops.
+    What share of its own value a segment gets back after one and two hops. With
+    ``partial``, ``nodes`` is a small part of the graph and only the edges next to
+    it are followed.
     """
-    totals = degree(nodes, edges).select("node", (F.col("degree") + self_weight).alias("total"))
+    counted = nodes.select("node")
+    if partial:
+        edges_in = durable(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges_in")
+        counted = durable(
+            counted.unionByName(edges_in.select(F.col("src").alias("node"))).distinct(), "around"
+        )
+    else:
+        edges_in = edges
+    totals = degree(counted, edges, partial).select("node", (F.col("degree") + self_weight).alias("total"))
     other = totals.select(F.col("node").alias("src"), (1 / F.col("total")).alias("inv"))
-    hot = hot_keys(edges, ["src"], base=edges)
+    hot = hot_keys(edges_in, ["src"], base=edges_in)
     around = (
-        salted_join(edges, other, ["src"], hot=hot, salt_by=["dst"])
+        salted_join(edges_in, other, ["src"], hot=hot, salt_by=["dst"])
         .groupBy(F.col("dst").alias("node"))
         .agg(F.sum("inv").alias("around"))
     )
     one = self_weight / F.col("total")
-    return totals.join(around, "node", "left").select(
+    return nodes.select("node").join(totals, "node").join(around, "node", "left").select(
         "node",
         one.alias("back_1"),
         (one * one + F.coalesce("around", F.lit(0.0)) / F.col("total")).alias("back_2"),

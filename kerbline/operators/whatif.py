@@ -43,18 +43,21 @@ def _spread(targets: DataFrame, nodes: DataFrame, edges: DataFrame, order: int,
     """
     hot = hot_keys(edges, ["src"], base=edges)
     looped = with_self(nodes, edges, self_weight)
-    inv = degree(nodes, edges).select("node", (1 / (F.col("degree") + self_weight)).alias("inv"))
     step = targets.select("target", F.col("target").alias("node"), F.lit(1.0).alias("u"))
     stacked = step.withColumn("k", F.lit(0))
     for k in range(1, order + 1):
         moved = salted_join(looped, step.withColumnRenamed("node", "src"), ["src"], hot=hot, salt_by=["dst"])
-        step = (
-            moved.groupBy("target", F.col("dst").alias("node"))
-            .agg(F.sum(F.col("u") * F.col("raw")).alias("u"))
-            .join(inv, "node")
-            .select("target", "node", (F.col("u") * F.col("inv")).alias("u"))
+        reached = durable(
+            moved.groupBy("target", F.col("dst").alias("node")).agg(F.sum(F.col("u") * F.col("raw")).alias("u")),
+            f"reached_{k}",
+        )
+        totals = degree(reached.select("node").distinct(), edges, partial=True)
+        step = durable(
+            reached.join(totals, "node").select(
+                "target", "node", (F.col("u") / (F.col("degree") + self_weight)).alias("u")
+            ),
+            f"carried_{k}",
         )
-        step = durable(step, f"carried_{k}")
         stacked = stacked.unionByName(step.withColumn("k", F.lit(k)))
     sums = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("u"))), F.lit(0.0)).alias(f"u{k}") for k in range(order + 1)]
     return stacked.groupBy("target", "node").agg(*sums)

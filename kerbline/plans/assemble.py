@@ -17,7 +17,7 @@ from kerbline.operators.graph import (
 from kerbline.operators.skew import hot_keys, salted_join
 from kerbline.operators.spatial import count_nearest, nearest_join
 from kerbline.operators.stats import minmax
-from kerbline.session import durable
+from kerbline.session import durable, together
 from kerbline.sources.features import vertices
 
 # Search radii in metres.
@@ -144,12 +144,20 @@ def assemble(
     without a county are dropped only afterwards, together with their edges.
     """
     segments = durable(segments, "segments")
-    attrs = durable(road_attributes(segments, roads), "road_attributes")
-    hits = durable(incident_counts(segments, incidents), "incident_counts")
-    linked = durable(adjacency_proximity(segments, tol_m), "adjacency")
-    weighted = durable(edge_weights(linked, segments), "edges")
     nodes = segments.select(F.col("segment_id").alias("node"))
-    reach = nearest_facility_distance(nodes, weighted, facility_segments(segments, stations))
+
+    def weigh() -> DataFrame:
+        linked = durable(adjacency_proximity(segments, tol_m), "adjacency")
+        return durable(edge_weights(linked, segments), "edges")
+
+    attrs, hits, weighted, facilities = together(
+        segments.sparkSession,
+        lambda: durable(road_attributes(segments, roads), "road_attributes"),
+        lambda: durable(incident_counts(segments, incidents), "incident_counts"),
+        weigh,
+        lambda: durable(facility_segments(segments, stations), "facilities"),
+    )
+    reach = nearest_facility_distance(nodes, weighted, facilities)
 
     kept = (
         minmax(segments.drop("vertices"), {"aadt_raw": "aadt_normalized"})

@@ -41,10 +41,10 @@ def explained(
     coefs: Sequence[Coefficient],
     k: int = 6,
 ) -> DataFrame:
-    """``segment_id, top_features`` of the given segments; gaps are filled from the whole table."""
+    """``segment_id, top_features`` of a few segments; gaps are filled from the whole table."""
     matrix = model.model_matrix(features).join(segment_ids.select("segment_id"), "segment_id", "left_semi")
-    nodes = features.select(F.col("segment_id").alias("node"))
-    return explain.topk_nested(explain.attribution_arrays(matrix, nodes, edges, coefs), k)
+    nodes = segment_ids.select(F.col("segment_id").alias("node"))
+    return explain.topk_nested(explain.attribution_arrays(matrix, nodes, edges, coefs, partial=True), k)
 
 
 def priority_list(

@@ -175,6 +175,14 @@ def test_return_weights_are_the_diagonals(spark):
         assert got[n].back_2 == pytest.approx(dense_power(names, und, unit, 2.0, 2)[n])
 
 
+def test_partial_return_weights_equal_the_whole(spark):
+    und = [("A", "B", 1), ("B", "C", 1), ("C", "D", 1), ("A", "D", 1), ("D", "E", 1)]
+    edges = edge_df(spark, und)
+    whole = {r.node: tuple(r) for r in graph.return_weight(node_df(spark, "ABCDEF"), edges).collect()}
+    part = {r.node: tuple(r) for r in graph.return_weight(node_df(spark, "AF"), edges, partial=True).collect()}
+    assert part == {n: whole[n] for n in "AF"}
+
+
 def test_assembled_graph_invariants(spark, sf_dir):
     from kerbline.sources.demo import Stages
 
