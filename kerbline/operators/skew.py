@@ -54,6 +54,15 @@ def hot_keys(
     return [item["item"] for item in row["top"] if item["count"] > floor]
 
 
+def hot_counted(counts: DataFrame, keys: Sequence[str], n: str) -> list[int]:
+    """The same from rows already counted per key, exactly; again at most ``1 / HOT_SHARE``."""
+    total = counts.agg(F.sum(n).alias("n")).first()["n"] or 0
+    floor = max(total * HOT_SHARE, HOT_MIN_ROWS)
+    if total <= floor:
+        return []
+    return [r["h"] for r in counts.where(F.col(n) > floor).select(_key_hash(keys).alias("h")).collect()]
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -6,11 +6,11 @@ equi-join on a cell number plus an exact haversine check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
-from kerbline.operators.skew import hot_keys, salted_join
+from kerbline.operators.skew import hot_counted, hot_keys, salted_join
 from kerbline.session import durable
 
 # Above this many distinct target points in one cell the search goes through boxes.
@@ -73,20 +73,26 @@ def _box_table(points: DataFrame, shift: int) -> DataFrame:
     )
 
 
-def _prune(pairs: DataFrame, radius_m: float) -> DataFrame:
-    """Keep the boxes that may hold a point nearer than the best known one.
+def _prune(
+    parents: DataFrame, boxes: DataFrame, keys: list[str], hot: list[int], radius_m: float
+) -> DataFrame:
+    """The boxes below ``parents`` that may hold a point nearer than the best known one.
 
-    A query meets at most 9 * 64 boxes on a level, so its window stays small.
+    The best known distance is a minimum that is reduced before it is shuffled, so
+    the many box pairs of a query are never moved or sorted, only joined twice.
     """
     q = (F.col("q_lat"), F.col("q_lon"))
-    reach = F.min(geo.haversine_m(*q, F.col("rep.lat"), F.col("rep.lon"))).over(
-        Window.partitionBy("q_lat", "q_lon")
+    known = geo.haversine_m(*q, F.col("rep.lat"), F.col("rep.lon"))
+    reach = (
+        salted_join(parents, boxes, keys, hot=hot)
+        .groupBy("q_lat", "q_lon")
+        .agg(F.min(known).alias("reach"))
     )
     lower = geo.box_lower_bound_m(
         *q, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi")
     )
     return (
-        pairs.withColumn("reach", reach)
+        salted_join(parents.join(reach, ["q_lat", "q_lon"]), boxes, keys, hot=hot)
         .where((lower <= F.col("reach")) & (lower <= radius_m))
         .select("q_lat", "q_lon", "cell", "by", "bx", "held")
     )
@@ -103,18 +109,17 @@ def _nearest_through_boxes(
     points = points.withColumn("iy", iy).withColumn("ix", ix)
     alive = None
     for shift in LEVEL_SHIFTS:
-        boxes = _box_table(points, shift)
+        boxes = durable(_box_table(points, shift), f"boxes_{shift}")
         if alive is None:
-            probes = _probe_cells(places, radius_m)
-            pairs = salted_join(probes, boxes, ["cell"], hot=hot_keys(probes, ["cell"], base=places))
+            parents, keys, base = _probe_cells(places, radius_m), ["cell"], places
         else:
-            parents = alive.drop("held").withColumnsRenamed({"by": "py", "bx": "px"})
-            children = boxes.withColumn("py", F.shiftright("by", 3)).withColumn(
+            parents = base = alive.drop("held").withColumnsRenamed({"by": "py", "bx": "px"})
+            keys = ["cell", "py", "px"]
+            boxes = boxes.withColumn("py", F.shiftright("by", 3)).withColumn(
                 "px", F.shiftright("bx", 3)
             )
-            keys = ["cell", "py", "px"]
-            pairs = salted_join(parents, children, keys, hot=hot_keys(parents, keys, base=parents))
-        alive = durable(_prune(pairs, radius_m), f"boxes_{shift}")
+        hot = hot_keys(parents, keys, base=base)
+        alive = durable(_prune(parents, boxes, keys, hot, radius_m), f"in_play_{shift}")
         if alive.where(F.col("held") > cell_cap).isEmpty():
             break
     keys = ["cell", "by", "bx"]
@@ -155,6 +160,16 @@ def nearest_places(
     )
 
 
+def _counted_places(rows: DataFrame) -> DataFrame:
+    """``q_lat, q_lon, rows_here``: the distinct coordinates of ``rows``."""
+    return durable(
+        rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        .groupBy(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+        .agg(F.count("*").alias("rows_here")),
+        "places",
+    )
+
+
 def nearest_join(
     rows: DataFrame,
     targets: DataFrame,
@@ -164,31 +179,23 @@ def nearest_join(
 ) -> DataFrame:
     """Every row of ``rows`` plus ``target_id, distance_m``; null when nothing is in reach.
 
-    The search runs once per distinct coordinate and is joined back.
+    The search runs once per distinct coordinate and is joined back, with the
+    rows of very frequent coordinates spread out.
     """
-    places = durable(
-        rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .select(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-        .distinct(),
-        "places",
-    )
+    places = _counted_places(rows)
     found = nearest_places(places, targets, radius_m, id_col, cell_cap).withColumnsRenamed(
         {"q_lat": "lat", "q_lon": "lon"}
     )
-    return salted_join(rows, found, ["lat", "lon"], "left", hot=hot_keys(rows, ["lat", "lon"]))
+    hot = hot_counted(places, ["q_lat", "q_lon"], "rows_here")
+    return salted_join(rows, found, ["lat", "lon"], "left", hot=hot)
 
 
 def count_nearest(
     rows: DataFrame, targets: DataFrame, radius_m: float, id_col: str
 ) -> DataFrame:
     """``target_id, n``: how many rows have each target as their nearest one."""
-    places = durable(
-        rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .groupBy(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-        .agg(F.count("*").alias("rows_here")),
-        "places",
-    )
-    found = nearest_places(places.select("q_lat", "q_lon"), targets, radius_m, id_col)
+    places = _counted_places(rows)
+    found = nearest_places(places, targets, radius_m, id_col)
     return (
         found.join(places, ["q_lat", "q_lon"])
         .groupBy("target_id")

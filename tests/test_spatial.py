@@ -79,6 +79,8 @@ def test_hot_keys_are_found_and_salting_changes_nothing(spark, monkeypatch):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("zz", 4)], "k string, v int")
     hot = skew.hot_keys(left, ["k"])
     assert len(hot) == 1
+    counted = left.where("k is not null").groupBy("k").count()
+    assert skew.hot_counted(counted, ["k"], "count") == hot
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = left.join(right, ["k"], how)
         salted = skew.salted_join(left, right, ["k"], how, hot, salts=7)
