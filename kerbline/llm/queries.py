@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.chat import ChatTemplate, dialogue_segments, formatted_dialogues, read_dialogues
 from kerbline.llm.exactdup import exact_duplicates
+from kerbline.llm.packing import pack_reports
 from kerbline.llm.shard import shard_segments
+from kerbline.llm.tokenfile import read_token_files, write_token_files
 
 SHARDS = 8
 
@@ -59,6 +62,19 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = write_token_files(documents, path, end_id=0, key="doc_id", text="text")
+    return read_token_files(manifest, key="doc_id")
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_reports(documents, path, end_id=1, key="doc_id", text="text", sequence=2048)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text", keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -67,5 +83,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_shard": op2_shard,
+    "op3_token_files": op3_token_files,
+    "op4_pack": op4_pack,
     "op10_exact_dedup": op10_exact_dedup,
 }
