@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.chat import ChatTemplate, dialogue_segments, formatted_dialogues, read_dialogues
 from kerbline.llm.exactdup import exact_duplicates
+from kerbline.llm.neardup import near_duplicates
 from kerbline.llm.packing import pack_reports
 from kerbline.llm.shard import shard_segments
 from kerbline.llm.tokenfile import read_token_files, write_token_files
@@ -75,6 +76,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_reports(documents, path, end_id=1, key="doc_id", text="text", sequence=2048)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text", keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -85,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_token_files": op3_token_files,
     "op4_pack": op4_pack,
+    "op6_near_dedup": op6_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
