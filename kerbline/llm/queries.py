@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.chat import ChatTemplate, dialogue_segments, formatted_dialogues, read_dialogues
+from kerbline.llm.decontaminate import decontaminate
 from kerbline.llm.exactdup import exact_duplicates
 from kerbline.llm.neardup import near_duplicates
 from kerbline.llm.packing import pack_reports
@@ -80,6 +81,19 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate(documents, benchmark, key="doc_id", text="text", item="item_id", item_text="text")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text", keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -91,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_pack": op4_pack,
     "op6_near_dedup": op6_near_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
