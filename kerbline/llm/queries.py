@@ -8,16 +8,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.chat import ChatTemplate, dialogue_segments, formatted_dialogues, read_dialogues
 from kerbline.llm.decontaminate import decontaminate
 from kerbline.llm.exactdup import exact_duplicates
+from kerbline.llm.language import identify_languages
 from kerbline.llm.neardup import near_duplicates
 from kerbline.llm.packing import pack_reports
 from kerbline.llm.shard import shard_segments
 from kerbline.llm.tokenfile import read_token_files, write_token_files
+from kerbline.llm.toxicity import score_toxicity
+
 
 SHARDS = 8
 
@@ -94,6 +97,32 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """The rows that nothing may be learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = documents.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id", "toxic"), "doc_id")
+    scored = score_toxicity(documents, labelled, key="doc_id", text="text", label="toxic")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learning = documents.where(~held_out()).select("text", "lang")
+    found = identify_languages(
+        documents, learning, key="doc_id", text="text", learning_text="text", language="lang"
+    )
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("language_found").alias("lang_pred"),
+        F.col("language_score").alias("score"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text", keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -106,5 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack": op4_pack,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
