@@ -20,7 +20,7 @@ from kerbline.llm.packing import pack_reports
 from kerbline.llm.shard import shard_segments
 from kerbline.llm.tokenfile import read_token_files, write_token_files
 from kerbline.llm.toxicity import score_toxicity
-
+from kerbline.llm.urls import UrlRule, judge_services, url_parts
 
 SHARDS = 8
 
@@ -80,6 +80,23 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_reports(documents, path, end_id=1, key="doc_id", text="text", sequence=2048)
 
 
+RULES = (
+    UrlRule("net", "/", "block"),
+    UrlRule("example.net", "/en/", "allow"),
+    UrlRule("example.com", "/de/", "block"),
+    UrlRule("org", "/fr/", "allow"),
+)
+# Words in a host by which addresses are labelled: advertising and junk.
+JUNK_WORDS = "(^|[.-])(ads?|bets?|casino|pills?|spam|track)([.-]|$)"
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = pages.select("url", url_parts(F.col("url"))[0].rlike(JUNK_WORDS).cast("int").alias("blocked"))
+    judged = judge_services(pages, labelled, RULES, key="page_id", url="url", label="blocked")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
@@ -133,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_token_files": op3_token_files,
     "op4_pack": op4_pack,
+    "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
