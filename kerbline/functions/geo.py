@@ -18,13 +18,15 @@ MAX_ABS_LAT = 89.0
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null when a coordinate is missing or NaN."""
     half_dlat = F.radians(lat2 - lat1) / 2
     half_dlon = F.radians(lon2 - lon1) / 2
     s_lat = F.sin(half_dlat)
     s_lon = F.sin(half_dlon)
     root = s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lon * s_lon
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(root, F.lit(1.0))))
+    # Rounding may lift the root a little over 1. ``least`` would also turn null and NaN into 1.
+    root = F.when(F.isnan(root), None).when(root > 1, 1.0).otherwise(root)
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(root))
 
 
 def within_bbox(lat: Column, lon: Column, bbox: dict) -> Column:

@@ -32,6 +32,7 @@ RULES = (
     Rule("lane_count", ">=", 4.0, "Pedestrian refuge island / crossing distance reduction", "FHWA Proven Safety Countermeasures: Pedestrian Refuge Islands", "Wide multi-lane crossing distance on this segment."),
     Rule("crash_history", ">", 0.0, "Targeted enforcement / engineering study", "FHWA Systemic Safety Project Selection Tool", "Documented prior ped/cyclist crash history on this segment."),
 )
+# The suggestion when no rule matches.
 NO_RULE = ("Engineering study recommended (no rule matched)", "FHWA Systemic Safety Project Selection Tool", "This segment's top risk drivers did not match an existing rule — flagged for manual review rather than a guessed countermeasure.")
 
 

@@ -40,7 +40,10 @@ def exact_quantiles(
     Pass one sketches each group and brackets every wanted rank from both sides
     by more than the sketch's error. Pass two counts what lies below the bracket
     and keeps only distinct values inside it, so the ordered step sees about
-    ``8 / accuracy`` of a group.
+    ``8 / accuracy`` of a group. The counts then show whether both neighbours of
+    the rank lie in the bracket; groups where one does not are ordered in full.
+    ``accuracy`` and ``small_group`` (groups that skip the brackets) decide about
+    the work, not about the result.
     """
     names = list(quantiles)
     margin = 4.0 / accuracy
@@ -85,15 +88,33 @@ def exact_quantiles(
             *[F.struct(*[F.lit(b[f]).cast(t).alias(f) for f, t in zip(fields, types)]) for b in known]
         )
         paired = rows.alias("r").withColumn("_b", constants)
+    picked = durable(_picked(paired, keys, "hi", "lo"), "ranks")
+    missed = picked.where("NOT held").select(*keys).distinct()
+    if not missed.isEmpty():
+        full = rows.alias("r").join(missed.alias("m"), _same(keys, "r", "m"), "left_semi") if keys else rows.alias("r")
+        counts = full.groupBy(*keys).agg(F.count("*").alias("_n"))
+        ranks = F.array(*[F.struct(F.lit(n).alias("name"), rank(quantiles[n]).alias("rank")) for n in names])
+        counts = durable(counts.select(*keys, ranks.alias("_b")), "missed")
+        again = rows.alias("r").join(counts.alias("c"), _same(keys, "r", "c"))
+        redone = _picked(again, keys, "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+        sound = picked.alias("p").join(missed.alias("m"), _same(keys, "p", "m"), "left_anti") if keys else picked.limit(0)
+        picked = sound.unionByName(redone)
+    wide = [F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
+    return picked.groupBy(*keys).agg(*wide)
+
+
+def _picked(paired: DataFrame, keys: Sequence[str], hi: str, lo: str) -> DataFrame:
+    """``name, q`` per group, and ``held``: the bracket holds both neighbours of the rank."""
+    high, low_end = F.expr(hi), F.expr(lo)
     # Values below the bracket share one null row, values above it are not needed.
     inside = (
         paired.select(*[F.col(f"r.{k}") for k in keys], "_x", F.inline("_b"))
-        .where(F.col("hi").isNull() | (F.col("_x") <= F.col("hi")))
+        .where(high.isNull() | (F.col("_x") <= high))
         .select(
             *keys,
             "name",
             "rank",
-            F.when(F.col("lo").isNull() | (F.col("_x") >= F.col("lo")), F.col("_x")).alias("v"),
+            F.when(low_end.isNull() | (F.col("_x") >= low_end), F.col("_x")).alias("v"),
         )
         .groupBy(*keys, "name", "rank", "v")
         .agg(F.count("*").alias("c"))
@@ -105,11 +126,15 @@ def exact_quantiles(
     )
     low = F.floor("rank")
     at = lambda r: F.min(F.when(F.col("up_to") > r, F.col("v")))
-    picked = (
+    below = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0))
+    return (
         inside.withColumn("up_to", up_to)
         .groupBy(*keys, "name", "rank")
-        .agg(at(low).alias("a"), at(F.ceil("rank")).alias("b"))
-        .withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low))
+        .agg(at(low).alias("a"), at(F.ceil("rank")).alias("b"), below.alias("below"), F.sum("c").alias("upto"))
+        .select(
+            *keys,
+            "name",
+            (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low)).alias("q"),
+            ((F.col("below") <= low) & (F.col("upto") > F.ceil("rank"))).alias("held"),
+        )
     )
-    wide = [F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
-    return picked.groupBy(*keys).agg(*wide)

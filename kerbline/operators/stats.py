@@ -12,19 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _present(c: str | Column) -> Column:
+    """NaN counts as missing, as null does."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _fit(df: DataFrame, **aggs: Column) -> dict[str, float | None]:
     return df.agg(*[a.cast("double").alias(n) for n, a in aggs.items()]).first().asDict()
 
 
 def fit_minmax(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    aggs = {f"lo_{c}": F.min(c) for c in cols} | {f"hi_{c}": F.max(c) for c in cols}
+    aggs = {f"lo_{c}": F.min(_present(c)) for c in cols} | {f"hi_{c}": F.max(_present(c)) for c in cols}
     return _fit(df, **aggs)
 
 
 def minmax(df: DataFrame, cols: Mapping[str, str], eps: float = 0.0) -> DataFrame:
     """Scale columns to [0, 1] by their range; ``cols`` maps input to output names.
 
-    Missing values stay missing. A column whose range is not above ``eps``, or
+    Missing values, NaN included, become null. A column whose range is not above ``eps``, or
     that has no value at all, becomes 0.0.
     """
     fitted = fit_minmax(df, list(cols))
@@ -32,15 +38,15 @@ def minmax(df: DataFrame, cols: Mapping[str, str], eps: float = 0.0) -> DataFram
     for c, name in cols.items():
         lo, hi = fitted[f"lo_{c}"], fitted[f"hi_{c}"]
         wide_enough = lo is not None and hi - lo > eps
-        out[name] = (F.col(c) - F.lit(lo)) / F.lit(hi - lo) if wide_enough else F.lit(0.0)
+        out[name] = (_present(c) - F.lit(lo)) / F.lit(hi - lo) if wide_enough else F.lit(0.0)
     return df.withColumns(out)
 
 
 def mean_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fill gaps with the column mean, or 0.0 for a column without any value."""
-    means = _fit(df, **{c: F.avg(c) for c in cols})
+    means = _fit(df, **{c: F.avg(_present(c)) for c in cols})
     filled = {
-        c: F.coalesce(F.col(c).cast("double"), F.lit(0.0 if means[c] is None else means[c])) for c in cols
+        c: F.coalesce(_present(c), F.lit(0.0 if means[c] is None else means[c])) for c in cols
     }
     return df.withColumns(filled)
 
@@ -53,7 +59,7 @@ def fit_zscore(df: DataFrame, cols: Sequence[str], train: Column) -> dict[str, f
     """
     aggs: dict[str, Column] = {}
     for c in cols:
-        x = F.when(train, F.col(c))
+        x = F.when(train, _present(c))
         aggs[f"mean_{c}"] = F.coalesce(F.avg(x), F.lit(0.0))
         std = F.stddev_pop(x)
         aggs[f"std_{c}"] = F.when(std >= 1e-6, std).otherwise(F.lit(1.0))

@@ -129,7 +129,11 @@ def records_json(spark, sf):
 
 @query
 def haversine(spark, sf):
-    d = geo.haversine_m(F.col("start_lat"), F.col("start_lon"), F.col("end_lat"), F.col("end_lon"))
+    """Segment lengths; each seventh end and each eleventh start lacks a coordinate."""
+    number = F.col("segment_id").cast("long")
+    end_lat = F.when(F.pmod(number, F.lit(7)) != 0, F.col("end_lat"))
+    start_lon = F.when(F.pmod(number, F.lit(11)) == 0, F.lit(float("nan"))).otherwise(F.col("start_lon"))
+    d = geo.haversine_m(F.col("start_lat"), start_lon, end_lat, F.col("end_lon"))
     return demo.segments(spark, sf).select("segment_id", F.round(d, 3).alias("length_m"))
 
 
@@ -750,3 +754,18 @@ def overlay_stream(spark, sf):
     running = live.start_overlay(stream, root, state, "incident_id", ["ts", "event_id"])
     running.awaitTermination()
     return live.current(spark, root).select("incident_id", "event_id", "event_type", "value", "county")
+
+
+@query
+def overlay_redelivered(spark, sf):
+    """The same snapshot when every third record is delivered twice, in another batch."""
+    landed, root, state = (new_path(spark, n) for n in ("landed", "snapshot", "stream_state"))
+    records = demo.overlay(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    again = records.where(F.pmod(F.col("event_id"), F.lit(3)) == 0)
+    records.unionByName(again).repartition(3).write.parquet(landed)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    running = live.start_overlay(
+        stream, root, state, "incident_id", ["ts", "event_id"], ids=["event_id"], ts="ts", delay="3650 days"
+    )
+    running.awaitTermination()
+    return live.current(spark, root).select("incident_id", "event_id", "event_type", "value", "county")

@@ -28,10 +28,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue=CSV_NULL)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(
-        path, header=True, escape='"', multiLine=True, nullValue=CSV_NULL
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, line_breaks: bool = True) -> DataFrame:
+    """NaN becomes null. Without ``line_breaks`` inside values large files are read by many tasks."""
+    rows = spark.read.schema(schema).csv(
+        path, header=True, escape='"', multiLine=line_breaks, nullValue=CSV_NULL
     )
+    return missing_to_null(rows)
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:

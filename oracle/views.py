@@ -14,9 +14,8 @@ def hav(a: str, b: str, c: str, d: str) -> str:
     """Haversine metres between (a, b) and (c, d), each (lat, lon)."""
     s1 = f"sin(radians({c} - {a}) / 2)"
     s2 = f"sin(radians({d} - {b}) / 2)"
-    return (
-        f"12742000.0::DOUBLE * asin(sqrt(least({s1} * {s1} + cos(radians({a})) * cos(radians({c})) * {s2} * {s2}, 1.0::DOUBLE)))"
-    )
+    root = f"({s1} * {s1} + cos(radians({a})) * cos(radians({c})) * {s2} * {s2})"
+    return f"12742000.0::DOUBLE * CASE WHEN {root} <= 1 THEN asin(sqrt({root})) WHEN {root} > 1 AND NOT isnan({root}) THEN pi() / 2 END"
 
 
 def near(left: str, lat: str, lon: str, right: str, cell: float, metres: float, keep: str, rid: str) -> str:

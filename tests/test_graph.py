@@ -26,35 +26,34 @@ def node_df(spark, names):
 
 
 def test_exact_topology(spark):
-    rows = [("0", "A", "B"), ("1", "B", "C"), ("2", "D", "E"), ("3", None, "E"), ("4", None, "Z")]
-    df = spark.createDataFrame(rows, "segment_id string, from_id string, to_id string")
-    assert pairs(graph.adjacency_exact(df)) == {("0", "1"), ("1", "0"), ("2", "3"), ("3", "2")}
+    rows = [("p", 10, 20), ("q", 20, 30), ("r", 30, 10), ("s", 40, None), ("t", None, None), ("u", 40, 50)]
+    df = spark.createDataFrame(rows, "segment_id string, from_id long, to_id long")
+    ring = {("p", "q"), ("q", "r"), ("p", "r"), ("s", "u")}
+    assert pairs(graph.adjacency_exact(df)) == ring | {(b, a) for a, b in ring}
 
 
 def test_proximity(spark):
+    # One thousandth of a degree of latitude is about 111 m.
     df = seg(
         spark,
         [
-            ("0", 35.0, -80.0, 35.001, -80.0),
-            ("1", 35.001, -80.000045, 35.002, -80.0),
-            ("2", 36.5, -81.5, 36.501, -81.5),
+            ("p", 50.0, 7.0, 50.010, 7.0),
+            ("q", 50.0101, 7.0, 50.020, 7.0),
+            ("r", 50.0203, 7.0, 50.030, 7.0),
+            ("s", -50.0, 7.0, None, None),
         ],
     )
-    assert pairs(graph.adjacency_proximity(df, 15.0)) == {("0", "1"), ("1", "0")}
+    assert pairs(graph.adjacency_proximity(df, 12.0)) == {("p", "q"), ("q", "p")}
+    assert ("q", "r") in pairs(graph.adjacency_proximity(df, 40.0))
 
 
 @pytest.mark.parametrize("min_rows", [100_000, 3])
-def test_line_graph_distances(spark, monkeypatch, min_rows):
+def test_shorter_way_round_wins(spark, monkeypatch, min_rows):
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", min_rows)
-    edges = edge_df(spark, [("A", "B", 100), ("B", "C", 100), ("C", "D", 100), ("D", "E", 100)])
-    dist = graph.nearest_facility_distance(node_df(spark, "ABCDE"), edges, node_df(spark, "AEQ"))
-    assert {r.node: r.dist_m for r in dist.collect()} == {"A": 0, "B": 100, "C": 200, "D": 100, "E": 0}
-
-
-def test_unreachable_nodes_do_not_appear(spark):
-    edges = edge_df(spark, [("A", "B", 50), ("X", "Y", 10)])
-    dist = graph.nearest_facility_distance(node_df(spark, "ABXY"), edges, node_df(spark, "A"))
-    assert {r.node for r in dist.collect()} == {"A", "B"}
+    # A direct long edge, a way round in three short ones, a spur and a part that no station reaches.
+    edges = edge_df(spark, [("a", "z", 90), ("a", "b", 7), ("b", "c", 11), ("c", "z", 13), ("z", "y", 5), ("m", "n", 1)])
+    dist = graph.nearest_facility_distance(node_df(spark, "abcyzmn"), edges, node_df(spark, "aq"))
+    assert {r.node: r.dist_m for r in dist.collect()} == {"a": 0, "b": 7, "c": 18, "z": 31, "y": 36}
 
 
 def test_distances_on_random_graph(spark):

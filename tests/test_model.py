@@ -77,14 +77,18 @@ def categories(spark, feats, **kw):
 
 
 def test_countermeasure_rules(spark):
-    assert categories(spark, [("speed_limit_mph", 55)]) == ["Reduced speed limit / traffic calming"]
-    assert "crosswalk" in categories(spark, [("crosswalk_present", 0)])[0]
-    assert "no rule matched" in categories(spark, [("county_code", 3)])[0]
-    assert len(categories(spark, [("speed_limit_mph", 55), ("Speed_Limit_mph", 50)])) == 1
-    many = [("speed_limit_mph", 55), ("crosswalk_present", 0), ("sidewalk_coverage", 0.1), ("lighting_coverage", 0.1)]
-    assert len(categories(spark, many)) == 3
-    assert categories(spark, many, max_suggestions=2) == [r.category for r in explain.RULES[:2]]
-    assert categories(spark, [("speed_limit_mph", 30), ("lane_count", 4)]) == [explain.RULES[6].category]
+    by_name = {}
+    for rule in explain.RULES:
+        by_name.setdefault(rule.feature_contains, rule)
+    for name, rule in by_name.items():
+        # A value far on the side that the rule asks for.
+        beyond = rule.threshold + (1000 if rule.op.startswith(">") else -1000)
+        assert categories(spark, [(f"own_{name}_x", beyond)])[0] == rule.category
+    unmatched = categories(spark, [("nothing_of_the_kind", 17)])
+    assert unmatched == [explain.NO_RULE[0]]
+    repeated = [(n, r.threshold + (1000 if r.op.startswith(">") else -1000)) for n, r in by_name.items()]
+    assert len(categories(spark, repeated * 2)) == min(3, len({r.category for r in by_name.values()}))
+    assert categories(spark, repeated, max_suggestions=1) == [explain.RULES[0].category]
 
 
 def test_taken_category_falls_through_to_the_next_rule(spark):

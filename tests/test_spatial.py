@@ -136,3 +136,9 @@ def test_bbox_and_haversine(spark):
     assert d == pytest.approx(metres(34.0, -81.0, 35.0, -80.0))
     far = df.limit(1).select(geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))).first()[0]
     assert far == pytest.approx(math.pi * geo.EARTH_M)
+
+
+def test_distance_to_a_missing_place_is_missing(spark):
+    rows = [(35.0, -80.0, None, -80.0), (35.0, float("nan"), 35.0, -80.0), (35.0, -80.0, 35.0, -80.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(geo.haversine_m(*map(F.col, "abcd"))).collect()] == [None, None, 0.0]

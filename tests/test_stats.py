@@ -18,24 +18,36 @@ def interpolated(values, q):
 
 
 @pytest.mark.parametrize("small_group", [200_000, 0])
-def test_quantiles_with_and_without_narrowing(spark, small_group):
+@pytest.mark.parametrize("accuracy", [100, 5_000_000])
+def test_quantiles_do_not_depend_on_the_sketch(spark, small_group, accuracy):
     rng = random.Random(1)
     rows = [("big", rng.choice([rng.gauss(0, 1), 0.25, 1e9])) for _ in range(3000)]
-    rows += [("tiny", float(v)) for v in (3, 1)] + [(None, 7.0), ("one", 5.0), ("big", None), ("big", float("nan"))]
+    rows += [(f"n{n}", float(v)) for n in (1, 2, 3, 10, 1003) for v in range(n)]
+    rows += [(None, 7.0), ("big", None), ("big", float("nan"))]
     df = spark.createDataFrame(rows, "g string, x double").repartition(5)
-    # Narrowing is only safe above the sketch's error, so groups below it stay whole.
-    floor = 1000 if small_group == 0 else small_group
-    got = {
-        r.g: (r.med, r.p90)
-        for r in exact_quantiles(df, ["g"], "x", {"med": 0.5, "p90": 0.9}, accuracy=200, small_group=floor).collect()
-    }
+    wanted = {"q0": 0.0, "q1": 0.1, "med": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
+    got = exact_quantiles(df, ["g"], "x", wanted, accuracy=accuracy, small_group=small_group).collect()
     by = {}
     for g, v in rows:
         if v is not None and v == v:
             by.setdefault(g, []).append(v)
-    assert set(got) == set(by)
-    for g, vals in by.items():
-        assert got[g] == (pytest.approx(interpolated(vals, 0.5)), pytest.approx(interpolated(vals, 0.9)))
+    assert {r.g for r in got} == set(by)
+    for r in got:
+        assert [r[n] for n in wanted] == [pytest.approx(interpolated(by[r.g], q)) for q in wanted.values()]
+
+
+def test_quantiles_of_one_large_column(spark):
+    df = spark.range(300_003).select(F.col("id").cast("double").alias("x"))
+    for small_group, accuracy in ((200_000, 5_000_000), (0, 100)):
+        row = exact_quantiles(df, [], "x", {"p90": 0.9}, accuracy=accuracy, small_group=small_group).first()
+        assert row.p90 == pytest.approx(270_001.8)
+
+
+def test_nan_is_missing_in_fits(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "a double")
+    assert [r.n for r in stats.minmax(df, {"a": "n"}).collect()] == [0.0, None, 1.0, None]
+    assert [r.a for r in stats.mean_impute(df, ["a"]).collect()] == [1.0, 2.0, 3.0, 2.0]
+    assert stats.fit_zscore(df, ["a"], F.lit(True)) == {"mean_a": 2.0, "std_a": 1.0}
 
 
 def test_nearest_rank_quantiles(spark):

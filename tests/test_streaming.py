@@ -34,7 +34,7 @@ def test_replay_in_batches_equals_batch_result(spark, tmp_path):
     assert run() == want
 
 
-def test_repeated_batch_gives_the_same_version(spark, tmp_path):
+def test_repeated_batch_changes_nothing(spark, tmp_path):
     df, root = records(spark), str(tmp_path / "v")
     write = overlay.merge_batches(root, "incident_id", ["ts", "event_id"])
     write(df.where("event_id < 100"), 0)
@@ -42,6 +42,30 @@ def test_repeated_batch_gives_the_same_version(spark, tmp_path):
     once = {tuple(r) for r in overlay.current(spark, root).collect()}
     write(df.where("event_id >= 100"), 1)
     assert {tuple(r) for r in overlay.current(spark, root).collect()} == once
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["v=1", "v=2"]
+
+
+def test_half_written_version_is_not_served(spark, tmp_path):
+    df, root = records(spark), str(tmp_path / "v")
+    write = overlay.merge_batches(root, "incident_id", ["ts", "event_id"])
+    write(df, 0)
+    want = {tuple(r) for r in overlay.current(spark, root).collect()}
+    df.limit(1).coalesce(1).write.parquet(f"{root}/v=1")
+    (tmp_path / "v" / "v=1" / "_SUCCESS").unlink()
+    assert {tuple(r) for r in overlay.current(spark, root).collect()} == want
+    write(df.where("event_id < 3"), 1)
+    assert {tuple(r) for r in overlay.current(spark, root).collect()} == want
+
+
+def test_fresh_checkpoint_goes_on_from_the_stored_snapshot(spark, tmp_path):
+    df, root = records(spark), str(tmp_path / "v")
+    for part, condition in enumerate(("event_id < 100", "event_id >= 100")):
+        landed = str(tmp_path / f"in{part}")
+        df.where(condition).coalesce(1).write.parquet(landed)
+        stream = spark.readStream.schema(df.schema).parquet(landed)
+        overlay.start_overlay(stream, root, str(tmp_path / f"state{part}"), "incident_id", ["ts", "event_id"]).awaitTermination()
+    want = {tuple(r) for r in overlay.latest_per_key(df, "incident_id", ["ts", "event_id"]).collect()}
+    assert {tuple(r) for r in overlay.current(spark, root).select(df.columns).collect()} == want
 
 
 def test_redelivered_records_are_dropped(spark, tmp_path):
