@@ -127,6 +127,8 @@ class TokenFileReader:
 
     def document(self, place: int) -> bytes:
         """The identifiers of the document at ``place``; decompresses its frame only."""
+        if not self.counts[place]:
+            return b""
         number = int(np.searchsorted(self._frame_starts, self.starts[place], side="right")) - 1
         begin = 4 * int(self.starts[place] - self._frame_starts[number])
         return self.frame(number)[begin : begin + 4 * int(self.counts[place])]
@@ -140,6 +142,8 @@ class TokenFileReader:
                 begin = 4 * (int(self.starts[place]) - base)
                 yield int(self.keys[place]), base + begin // 4, content[begin : begin + 4 * int(self.counts[place])]
                 place += 1
+        for rest in range(place, len(self.keys)):  # empty documents at the end belong to no frame
+            yield int(self.keys[rest]), int(self.starts[rest]), b""
 
 
 def write_token_files(
