@@ -67,7 +67,7 @@ class TokenFileWriter:
             self._close_frame()
 
     def _close_frame(self) -> None:
-        if not self._open:
+        if not self._held:
             return
         content = b"".join(self._open)
         frame = self._zstd.compress(content)
