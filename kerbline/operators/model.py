@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.scalar import log_exposure, softplus
@@ -162,3 +162,64 @@ def fit_poisson(
 
 def score_fit(matrix: DataFrame, fit: PoissonFit) -> DataFrame:
     return score(apply_zscore(matrix, fit.columns, fit.scaler), fit.intercept, fit.coefs)
+
+
+def raw_coefficients(fit: PoissonFit) -> tuple[float, list[Coefficient]]:
+    """Intercept and weights for the columns as they are, not standardised."""
+    intercept, coefs = fit.intercept, []
+    for c in fit.coefs:
+        w = c.w / fit.scaler[f"std_{_column(c)}"]
+        intercept -= w * fit.scaler[f"mean_{_column(c)}"]
+        coefs.append(Coefficient(c.hop, c.feature, w))
+    return intercept, coefs
+
+
+def save_fit(spark: SparkSession, fit: PoissonFit, path: str) -> None:
+    """The fit as a small table: one row per coefficient, the intercept without a feature."""
+    rows = [(-1, None, None, fit.intercept, None, None)]
+    for place, c in enumerate(fit.coefs):
+        name = _column(c)
+        rows.append((place, c.hop, c.feature, c.w, fit.scaler[f"mean_{name}"], fit.scaler[f"std_{name}"]))
+    schema = "place int, hop int, feature string, w double, mean double, std double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_fit(spark: SparkSession, path: str) -> PoissonFit:
+    rows = spark.read.parquet(path).orderBy("place").collect()
+    coefs = [Coefficient(r.hop, r.feature, r.w) for r in rows[1:]]
+    scaler = {}
+    for r, c in zip(rows[1:], coefs, strict=True):
+        scaler |= {f"mean_{_column(c)}": r.mean, f"std_{_column(c)}": r.std}
+    return PoissonFit(rows[0].w, coefs, scaler, [_column(c) for c in coefs])
+
+
+def score_equations(matrix: DataFrame, segments: DataFrame, fit: PoissonFit) -> DataFrame:
+    """``feature, observed, imbalance``: what a fit without penalty must balance in each column.
+
+    ``imbalance`` is ``sum(x (k - mu)) / sum(|x| k)`` over the given rows of the
+    standardised columns, 0 at the optimum; the intercept has x = 1.
+    """
+    scaled = apply_zscore(matrix, fit.columns, fit.scaler)
+    rows = scaled.withColumn("_mu", rate(linear_predictor(fit.intercept, fit.coefs))).join(
+        segments.select(
+            "segment_id",
+            F.coalesce(F.col(TARGET), F.lit(0)).cast("double").alias("_k"),
+            F.exp(log_exposure(F.col("aadt_raw"))).alias("_exposure"),
+        ),
+        "segment_id",
+    )
+    gap = F.col("_k") - F.col("_mu") * F.col("_exposure")
+    columns = {"(intercept)": F.lit(1.0)} | {c: F.col(c) for c in fit.columns}
+    sums = rows.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("feature"),
+                    F.sum("_k").alias("observed"),
+                    (F.sum(x * gap) / F.greatest(F.sum(F.abs(x) * F.col("_k")), F.lit(1.0))).alias("imbalance"),
+                )
+                for name, x in columns.items()
+            ]
+        ).alias("rows")
+    )
+    return sums.select(F.inline("rows"))

@@ -489,6 +489,36 @@ def poisson_fit_balance(spark, sf):
     )
 
 
+@query
+def poisson_score_equations(spark, sf):
+    """One row per column of the unpenalised fit: its score equation holds."""
+    st, matrix, _, fit = _fitted_all(spark, sf)
+    rows = model.score_equations(matrix, st.features, fit)
+    return rows.select("feature", "observed", (F.abs("imbalance") < 1e-4).alias("balanced"))
+
+
+def _fitted_run(spark, sf):
+    st = demo.Stages.of(spark, sf)
+    path = new_path(spark, "model")
+    return publish.fit_and_publish(st.features, st.edges, stats.hash_split(F.col("segment_id")), path)
+
+
+@query
+def priority_list_fitted(spark, sf):
+    """The list of a run from the fit on, by the facts that do not depend on the fit."""
+    listed = _fitted_run(spark, sf).priority
+    facts = demo.Stages.of(spark, sf).features.select("segment_id", F.col("county").alias("known_county"))
+    rows = listed.join(facts, "segment_id")
+    return rows.select(
+        "rank",
+        "tier",
+        F.col("county").eqNullSafe(F.col("known_county")).alias("county_is_known"),
+        F.size("top_features").alias("n_features"),
+        F.size("suggested_countermeasures").between(1, 3).alias("has_measures"),
+        F.col("explanation_confidence").between(0.0, 1.0).alias("has_confidence"),
+    )
+
+
 def _fitted_all(spark, sf):
     st = demo.Stages.of(spark, sf)
     matrix = durable(model.design(st.features, st.edges, 2, include_target_history=False), "design")
@@ -696,6 +726,38 @@ def contract_check(spark, sf):
     return checked.select("segment_id", "is_valid", F.concat_ws("; ", "problems").alias("problems"))
 
 
+def _own_records(spark, sf) -> DataFrame:
+    """The engine's own explanation record of every segment."""
+    st = demo.Stages.of(spark, sf)
+    nested = explain.topk_nested(_attributed(spark, sf))
+    return publish.explanation_records(st.scores, nested, "D1", "2030-01-01T00:00:00Z", "coefficients")
+
+
+@query
+def explanation_records_own(spark, sf):
+    """The records read back from their JSON text."""
+    shape = (
+        "meta STRUCT<district: STRING>, segment STRUCT<segment_id: STRING, segment_name: STRING, rural_flag: BOOLEAN, "
+        "risk_score: DOUBLE, risk_exposure_score: DOUBLE>, top_features ARRAY<STRUCT<feature_name: STRING>>, data_density_flag BOOLEAN"
+    )
+    r = _own_records(spark, sf).select(F.from_json("record", shape).alias("r"))
+    return r.select(
+        "r.segment.segment_id",
+        "r.segment.segment_name",
+        "r.segment.rural_flag",
+        "r.segment.risk_score",
+        "r.segment.risk_exposure_score",
+        F.col("r.data_density_flag").alias("data_density_flag"),
+        F.concat_ws(",", F.col("r.top_features.feature_name")).alias("feature_names"),
+    )
+
+
+@query
+def contract_check_own(spark, sf):
+    checked = contract.contract_check(durable(_own_records(spark, sf), "own_records"))
+    return checked.select("segment_id", "is_valid", F.concat_ws("; ", "problems").alias("problems"))
+
+
 # --- exports and live overlay ---------------------------------------------------
 
 

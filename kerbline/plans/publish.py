@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators import explain, model, risk, whatif
@@ -83,6 +84,84 @@ def priority_list(
     ).orderBy("rank")
 
 
+class FittedRun(NamedTuple):
+    scores: DataFrame
+    priority: DataFrame
+    explained: DataFrame
+    fit: model.PoissonFit
+
+
+def fit_and_publish(
+    features: DataFrame,
+    edges: DataFrame,
+    split: Column,
+    model_path: str,
+    n: int = 25,
+    runs: int = 3,
+    k: int = 6,
+    w_ems: float = 1.0,
+) -> FittedRun:
+    """From the feature table to the list: fit, store, load, score, rank, explain, confidence.
+
+    The model is stored as a coefficient table at ``model_path`` and everything
+    after it uses what is read back. Only the ``n`` ranked segments are explained
+    and get a confidence, which is the overlap with refits on bootstrap weights.
+    """
+    spark = features.sparkSession
+    matrix = durable(model.design(features, edges, 2, include_target_history=False), "design")
+    model.save_fit(spark, model.fit_poisson(matrix, features, split), model_path)
+    fit = model.load_fit(spark, model_path)
+    scores = durable(with_exposure(features, model.score_fit(matrix, fit), w_ems), "scores")
+    wanted = durable(risk.priority_topn(scores, n).select("segment_id"), "ranked")
+    top = durable(top_of_fit(matrix, features, edges, fit, wanted, k), "explained")
+    sure = explanation_confidence(features, edges, top, runs, k, matrix=matrix)
+    _, raw = model.raw_coefficients(fit)
+    listed = priority_list(scores, features, edges, raw, n, durable(sure, "confidence"))
+    return FittedRun(scores, listed, top.join(sure, "segment_id", "left"), fit)
+
+
+def explanation_records(
+    scores: DataFrame, explained: DataFrame, district: str, timestamp: str, model_checkpoint: str
+) -> DataFrame:
+    """``segment_id, record``: the explanation of each explained segment as one JSON object.
+
+    ``explained`` has ``segment_id, top_features`` and, if known,
+    ``explanation_confidence``; an unknown one is written as 0, as the contract
+    asks for a number. Missing text is written as empty text for the same reason.
+    """
+    known = "explanation_confidence" in explained.columns
+    sure = F.coalesce("explanation_confidence", F.lit(0.0)) if known else F.lit(0.0)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    record = F.struct(
+        F.struct(
+            F.lit(district).alias("district"),
+            F.lit(timestamp).alias("timestamp"),
+            F.lit(model_checkpoint).alias("model_checkpoint"),
+        ).alias("meta"),
+        F.struct(
+            text("segment_id"),
+            text("segment_name"),
+            text("county"),
+            F.coalesce("rural_flag", F.lit(False)).alias("rural_flag"),
+            F.round("risk_score", 6).alias("risk_score"),
+            F.round("risk_exposure", 6).alias("risk_exposure_score"),
+        ).alias("segment"),
+        F.transform(
+            "top_features",
+            lambda f: F.struct(
+                f["feature_name"].alias("feature_name"),
+                F.round(f["importance"], 6).alias("importance"),
+                f["value"].alias("value"),
+                f["modality"].alias("modality"),
+            ),
+        ).alias("top_features"),
+        F.col("data_density_flag"),
+        F.round(sure, 4).alias("explanation_confidence"),
+    )
+    joined = scores.drop("top_features", "explanation_confidence").join(explained, "segment_id")
+    return joined.select("segment_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+
+
 def what_if(
     scores: DataFrame,
     features: DataFrame,
@@ -105,14 +184,16 @@ def explanation_confidence(
     runs: int = 3,
     k: int = 6,
     max_iter: int = 10,
+    matrix: DataFrame | None = None,
 ) -> DataFrame:
     """``segment_id, explanation_confidence``: mean overlap of the top-k feature set
-    over refits on bootstrap weights.
+    over refits on bootstrap weights. ``matrix`` is the design if it is there already.
 
     Weights come from a hash of the row key, so a rerun repeats them. ``base`` has
     the top features of the fit on unweighted rows.
     """
-    matrix = durable(model.design(features, edges, include_target_history=False), "design")
+    if matrix is None:
+        matrix = durable(model.design(features, edges, include_target_history=False), "design")
     split = F.lit("train")
     overlaps = []
     for run in range(1, runs + 1):
@@ -132,10 +213,7 @@ def top_of_fit(
     matrix: DataFrame, features: DataFrame, edges: DataFrame, fit: model.PoissonFit, wanted: DataFrame, k: int = 6
 ) -> DataFrame:
     """Top features under a fit; its weights are moved back to the raw columns."""
-    raw = [
-        Coefficient(c.hop, c.feature, c.w / fit.scaler["std_" + (c.feature if c.hop == 0 else f"{c.feature}_h{c.hop}")])
-        for c in fit.coefs
-    ]
+    _, raw = model.raw_coefficients(fit)
     own = matrix.join(wanted.select("segment_id").distinct(), "segment_id", "left_semi")
     nodes = features.select(F.col("segment_id").alias("node"))
     return explain.topk_nested(explain.attribution_arrays(own, nodes, edges, raw), k)

