@@ -13,8 +13,6 @@ M_PER_DEG = EARTH_M * math.pi / 180.0
 
 # Grid cells are this much wider than the search radius.
 CELL_SLACK = 1.01
-# Longitude cells stop widening here; the grid is exact up to this latitude.
-MAX_ABS_LAT = 89.0
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -70,14 +68,21 @@ def band_of(lat: Column, radius_m: float) -> Column:
     return F.floor(lat / band_height(radius_m)).cast("long")
 
 
-def _band_width(band: Column, radius_m: float) -> Column:
+def _columns(band: Column, radius_m: float) -> Column:
+    """How many cells, each at least as wide as the radius there, go round the band."""
     height = band_height(radius_m)
     edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * height
-    return F.lit(height) / F.cos(F.radians(F.least(edge, F.lit(MAX_ABS_LAT))))
+    narrow = F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    return F.greatest(F.floor(F.lit(360.0) / F.lit(height) * narrow).cast("long"), F.lit(1).cast("long"))
+
+
+def _around(lon: Column, band: Column, radius_m: float) -> Column:
+    """Cells from the date line on; equal cells close the circle, near a pole there is one."""
+    return (lon + 180.0) / 360.0 * _columns(band, radius_m)
 
 
 def _column_of(lon: Column, band: Column, radius_m: float) -> Column:
-    return F.floor(lon / _band_width(band, radius_m)).cast("long")
+    return F.pmod(F.floor(_around(lon, band, radius_m)).cast("long"), _columns(band, radius_m))
 
 
 def _cell_key(band: Column, col: Column) -> Column:
@@ -91,14 +96,15 @@ def cell_of(lat: Column, lon: Column, radius_m: float) -> Column:
 
 
 def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
-    """The nine cells that hold every point within ``radius_m``."""
+    """The cells, nine at most, that hold every point within ``radius_m``."""
     band = band_of(lat, radius_m)
     keys = []
     for db in (-1, 0, 1):
         b = band + F.lit(db).cast("long")
         c = _column_of(lon, b, radius_m)
-        keys.extend(_cell_key(b, c + F.lit(dc).cast("long")) for dc in (-1, 0, 1))
-    return F.array(*keys)
+        n = _columns(b, radius_m)
+        keys.extend(_cell_key(b, F.pmod(c + F.lit(dc).cast("long"), n)) for dc in (-1, 0, 1))
+    return F.array_distinct(F.array(*keys))
 
 
 def subcell_xy(lat: Column, lon: Column, radius_m: float, splits: int) -> tuple[Column, Column]:
@@ -108,7 +114,7 @@ def subcell_xy(lat: Column, lon: Column, radius_m: float, splits: int) -> tuple[
     """
     band = band_of(lat, radius_m)
     fy = lat / band_height(radius_m)
-    fx = lon / _band_width(band, radius_m)
+    fx = _around(lon, band, radius_m)
     top = F.lit(splits - 1).cast("long")
     iy = F.least(F.floor((fy - F.floor(fy)) * splits).cast("long"), top)
     ix = F.least(F.floor((fx - F.floor(fx)) * splits).cast("long"), top)
@@ -125,7 +131,9 @@ def box_lower_bound_m(
     """
     zero = F.lit(0.0)
     d_lat = F.greatest(lat_lo - lat, lat - lat_hi, zero)
-    d_lon = F.greatest(lon_lo - lon, lon - lon_hi, zero)
+    # The shorter way round to the strip, also over the date line.
+    apart = F.least(F.pmod(lon_lo - lon, F.lit(360.0)), F.pmod(lon - lon_hi, F.lit(360.0)))
+    d_lon = F.when(lon.between(lon_lo, lon_hi), zero).otherwise(apart)
     along = F.radians(d_lat) * EARTH_M
     across = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(d_lon, F.lit(90.0))))) * EARTH_M
     # A millimetre is far above rounding error and far below any radius used.

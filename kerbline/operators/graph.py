@@ -5,7 +5,7 @@ A graph is an edge list ``src, dst`` that holds both directions and no self rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -129,21 +129,12 @@ def with_self(nodes: DataFrame, edges: DataFrame, self_weight: float) -> DataFra
     return edges.select("src", "dst", F.lit(1.0).alias("raw")).unionByName(own)
 
 
-def _relax(state: DataFrame, looped: DataFrame, hot: Sequence[int]) -> DataFrame:
-    """One hop: keep known distances, offer those improved last time to the neighbours."""
-    sent = salted_join(looped, state.withColumnRenamed("node", "src"), ["src"], hot=hot, salt_by=["dst"])
-    own = F.col("src") == F.col("dst")
-    known, offer = F.min(F.when(own, F.col("dist_m"))), F.min(F.when(~own, F.col("dist_m") + F.col("weight_m")))
-    return (
-        sent.where(own | F.col("improved"))
-        .groupBy(F.col("dst").alias("node"))
-        .agg(known.alias("known"), offer.alias("offer"))
-        .select(
-            "node",
-            F.least("known", "offer").alias("dist_m"),
-            F.coalesce(F.col("known").isNull() | (F.col("offer") < F.col("known")), F.lit(False)).alias("improved"),
-        )
-    )
+def _settled(tables: Sequence[DataFrame]) -> DataFrame:
+    """The least distance of each node in tables that were written one after another."""
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    return every.groupBy("node").agg(F.min("dist_m").alias("dist_m")) if len(tables) > 1 else every
 
 
 def nearest_facility_distance(
@@ -157,30 +148,34 @@ def nearest_facility_distance(
 
     ``nodes`` and ``facilities`` have ``node``; ``edges`` has ``src, dst, weight_m``.
     Facilities that are not nodes are ignored and unreachable nodes do not appear.
-    Only nodes improved by the last hop send offers. The edges stay partitioned by
-    source, so a hop shuffles the offers only. The state is written every
-    ``hops_per_table`` hops; the loop ends when a hop improves nothing and raises
-    rather than return distances that have not settled.
+    The nodes improved by the last hop are a table of their own: only they are
+    joined with the edges, which stay partitioned by source, and a hop moves
+    their offers and the settled distances these meet. What was settled is
+    written anew every ``hops_per_table`` hops. The loop ends when a hop improves
+    nothing and raises rather than return distances that have not settled.
     """
     hot = hot_keys(edges, ["src"], base=edges)
-    looped = edges.select("src", "dst", "weight_m").unionByName(
-        nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight_m"))
-    )
+    lean = edges.select("src", "dst", "weight_m")
     # Hot sources are spread by their salt in the join itself.
-    placed = (looped if hot else looped.repartition("src")).persist()
+    placed = (lean if hot else lean.repartition("src")).persist()
     try:
         start = facilities.join(nodes, "node", "left_semi").distinct()
-        state = durable(start.select("node", F.lit(0.0).alias("dist_m"), F.lit(True).alias("improved")), "reach_0")
-        done = 0
+        frontier = durable(start.select("node", F.lit(0.0).alias("dist_m")), "reach_0")
+        settled, hops = [frontier], 0
         while True:
-            for _ in range(hops_per_table):
-                state = _relax(state, placed, hot)
-            done += hops_per_table
-            state = durable(state, f"reach_{done}")
-            if state.where("improved").isEmpty():
-                return state.select("node", "dist_m")
-            if done >= max_hops:
-                raise RuntimeError(f"distances still improving after {done} hops")
+            sent = salted_join(placed, frontier.withColumnRenamed("node", "src"), ["src"], hot=hot, salt_by=["dst"])
+            offers = sent.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist_m") + F.col("weight_m")).alias("offer"))
+            met = offers.join(_settled(settled), "node", "left")
+            better = met.where(F.col("dist_m").isNull() | (F.col("offer") < F.col("dist_m")))
+            hops += 1
+            frontier = durable(better.select("node", F.col("offer").alias("dist_m")), f"reach_{hops}")
+            if frontier.isEmpty():
+                return _settled(settled)
+            if hops >= max_hops:
+                raise RuntimeError(f"distances still improving after {hops} hops")
+            settled.append(frontier)
+            if len(settled) > hops_per_table:
+                settled = [durable(_settled(settled), f"settled_{hops}")]
     finally:
         placed.unpersist()
 

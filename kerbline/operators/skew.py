@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this share of all rows, so there are at most 1 / HOT_SHARE of them.
+# Keys that one sketch can name, as a share of all rows.
 HOT_SHARE = 0.001
-# Below this many rows a key never needs splitting.
+# Rows of one key that one task should get; a key with more is hot.
 HOT_MIN_ROWS = 100_000
-SALTS = 64
+# Copies of the other side's rows that a hot key may ask for.
+MOST_SALTS = 4096
 
 
 def _key_hash(keys: Sequence[str], alias: str | None = None) -> Column:
@@ -25,8 +26,11 @@ def hot_keys(
     share: float = HOT_SHARE,
     min_rows: int | None = None,
     base: DataFrame | None = None,
-) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows.
+) -> dict[int, int]:
+    """Hashes of the keys with more rows than one task should get, and their salts.
+
+    The number of salts follows from the key's own count, so that the rows per
+    salt stay bounded whatever the size of the table.
 
     One pass with a mergeable frequent-items sketch; at most ``1 / share``
     numbers reach the driver. The list only steers row placement: a key that is
@@ -37,7 +41,7 @@ def hot_keys(
     """
     least = HOT_MIN_ROWS if min_rows is None else min_rows
     if base is not None and base.count() <= least:
-        return []
+        return {}
     top = int(1 / share)
     row = (
         df.where(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 0)
@@ -48,19 +52,17 @@ def hot_keys(
         )
         .first()
     )
-    if not row["n"]:
-        return []
-    floor = max(row["n"] * share, least)
-    return [item["item"] for item in row["top"] if item["count"] > floor]
+    return {item["item"]: _salts_for(item["count"], least) for item in row["top"] or () if item["count"] > least}
+
 
+def _salts_for(count: int, least: int) -> int:
+    return min(MOST_SALTS, max(2, -(-count // max(1, least))))
 
-def hot_counted(counts: DataFrame, keys: Sequence[str], n: str) -> list[int]:
-    """The same from rows already counted per key, exactly; again at most ``1 / HOT_SHARE``."""
-    total = counts.agg(F.sum(n).alias("n")).first()["n"] or 0
-    floor = max(total * HOT_SHARE, HOT_MIN_ROWS)
-    if total <= floor:
-        return []
-    return [r["h"] for r in counts.where(F.col(n) > floor).select(_key_hash(keys).alias("h")).collect()]
+
+def hot_counted(counts: DataFrame, keys: Sequence[str], n: str) -> dict[int, int]:
+    """The same from rows already counted per key, exactly; the ``1 / HOT_SHARE`` largest at most."""
+    most = counts.where(F.col(n) > HOT_MIN_ROWS).orderBy(F.desc(n)).limit(int(1 / HOT_SHARE))
+    return {r["h"]: _salts_for(r["n"], HOT_MIN_ROWS) for r in most.select(_key_hash(keys).alias("h"), F.col(n).alias("n")).collect()}
 
 
 def salted_join(
@@ -68,24 +70,21 @@ def salted_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    hot: Sequence[int] = (),
+    hot: Mapping[int, int] | None = None,
     salt_by: Sequence[str] = (),
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join where single keys of ``left`` may be very frequent.
 
-    Rows of hot keys are spread over ``salts`` parts by a hash of ``salt_by``
+    Rows of hot keys are spread over the key's salts by a hash of ``salt_by``
     (all columns by default) and the matching rows of ``right`` are repeated for
     each part. Without hot keys this is an ordinary join.
     """
     keys = list(keys)
     if not hot:
         return left.join(right, keys, how)
-    is_hot = _key_hash(keys).isin(list(hot))
-    spread = F.pmod(F.xxhash64(F.lit(7), *[F.col(c) for c in (salt_by or left.columns)]), F.lit(salts))
-    left_salted = left.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0).cast("long")))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    right_salted = right.withColumn(
-        "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("long"))))
-    )
+    table = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])
+    salts = F.coalesce(F.try_element_at(table, _key_hash(keys)), F.lit(1).cast("long"))
+    spread = F.pmod(F.xxhash64(F.lit(7), *[F.col(c) for c in (salt_by or left.columns)]), salts)
+    left_salted = left.withColumn("_salt", spread)
+    right_salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return left_salted.join(right_salted, [*keys, "_salt"], how).drop("_salt")

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators.graph import SELF_WEIGHT, degree, khop_neighbors, with_self
+from kerbline.operators.graph import SELF_WEIGHT, degree, with_self
 from kerbline.operators.model import Coefficient
 from kerbline.operators.skew import hot_keys, salted_join
 from kerbline.session import durable
@@ -101,13 +101,14 @@ def counterfactual(
     if not changes:
         raise ValueError("no intervention matches a feature")
     asked = own.select("target", F.inline(F.array(*changes)))
-    hops = khop_neighbors(targets, edges, order).unionByName(
-        targets.select("target", F.col("target").alias("node"), F.lit(0).alias("hop"))
-    )
+    # Self loops keep what has arrived, so the first step that reaches a node is its hop.
+    hop = F.lit(order)
+    for k in reversed(range(order)):
+        hop = F.when(F.col(f"u{k}") > 0, F.lit(k)).otherwise(hop)
     delta_eta = sum((F.col(f"g{k}") * F.col(f"u{k}") for k in range(1, order + 1)), F.col("g0") * F.col("u0"))
     before, after = F.exp("eta"), F.exp(F.col("eta") + F.col("delta_eta"))
     return (
-        spread.join(hops, ["target", "node"])
+        spread.withColumn("hop", hop)
         .join(asked, "target")
         .withColumn("delta_eta", delta_eta)
         .join(scored.select(F.col("segment_id").alias("node"), "eta"), "node")
@@ -124,6 +125,10 @@ def counterfactual(
     )
 
 
+# Fixed value: the sentence for a segment without the feature.
+NOT_SIMULATED = "No feature matching '{}' found for this segment — intervention not simulated."
+
+
 def not_applied(
     targets: DataFrame, features: Sequence[str], interventions: Sequence[Intervention] = INTERVENTIONS
 ) -> DataFrame:
@@ -137,9 +142,7 @@ def not_applied(
             F.struct(
                 F.lit(it.key).alias("intervention"),
                 F.lit(False).alias("applied"),
-                F.lit(
-                    f"No feature matching '{it.feature_contains}' found for this segment — intervention not simulated."
-                ).alias("reason"),
+                F.lit(NOT_SIMULATED.format(it.feature_contains)).alias("reason"),
             )
             for it in missed
         ]

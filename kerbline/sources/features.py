@@ -18,7 +18,7 @@ GEOMETRY = T.StructType(
     ]
 )
 
-# Column contracts of the landed layers.
+# Column contracts of the landed layers.
 ROADS = "RouteName string, StreetName string, MaintCntyCode string, RouteClass string, FuncClass int, SpeedLimit double, DesignSpd double, ThruLaneCount double, PeakLanes double, LaneWidth double, SrfcType string, UrbanType string, AADT double, AadtDate bigint, BeginMp1 double, EndMp1 double, RouteID string"
 GENERAL_CRASHES = "Crash_ID string, Date bigint, Year int, Month int, County string, City string, CrshSeverity string, NumFatalities int, NumAInjuries int, NumBInjuries int, NumCInjuries int, PedFatalities int, PedSeriousInjuries int, BikeFatalities int, BikeSeriousInjuries int, CrashType string, SpeedRelated string, PedInvolved string, BikeInvolved string"
 INCIDENTS = "CrashID string, CrashDate bigint, CrashYear int, CrashSevr string, NM_Type string, NM_Age string, NM_Sex string, NM_Inj string, BikeDir string, SpeedLimit string, RdClass string, RdCharacte string, RdConditio string, LightCond string, Weather string, Latitude double, Longitude double, County string, City string"

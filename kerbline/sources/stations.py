@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.scalar import title_case
 
+# Columns of the combined station table.
 KEEP = ("station_type", "name", "county", "address", "city", "lat", "lon")
 FIRE_ONLY = ("FD_ID", "STATION_NUMBER")
 EMS_ONLY = ("fips", "type", "numabul", "totalpers")

@@ -78,14 +78,14 @@ def test_hot_keys_are_found_and_salting_changes_nothing(spark, monkeypatch):
     left = spark.createDataFrame(rows, "i int, k string")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("zz", 4)], "k string, v int")
     hot = skew.hot_keys(left, ["k"])
-    assert len(hot) == 1
+    assert list(hot.values()) == [4]
     counted = left.where("k is not null").groupBy("k").count()
     assert skew.hot_counted(counted, ["k"], "count") == hot
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = left.join(right, ["k"], how)
-        salted = skew.salted_join(left, right, ["k"], how, hot, salts=7)
+        salted = skew.salted_join(left, right, ["k"], how, dict.fromkeys(hot, 7))
         assert sorted(map(str, salted.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
-    spread = skew.salted_join(left, right, ["k"], "left", hot, salts=7)
+    spread = skew.salted_join(left, right, ["k"], "left", dict.fromkeys(hot, 7))
     assert spread.count() == 600 + 200 + 1
 
 
@@ -142,3 +142,42 @@ def test_distance_to_a_missing_place_is_missing(spark):
     rows = [(35.0, -80.0, None, -80.0), (35.0, float("nan"), 35.0, -80.0), (35.0, -80.0, 35.0, -80.0)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     assert [r[0] for r in df.select(geo.haversine_m(*map(F.col, "abcd"))).collect()] == [None, None, 0.0]
+
+
+@pytest.mark.parametrize("centre", [(12.0, 180.0), (-60.0, 180.0), (89.5, 30.0), (89.995, 0.0), (-89.99, 100.0)])
+def test_seam_and_poles_equal_brute_force(spark, centre):
+    """On both sides of the date line and around the poles, by the direct and the box search."""
+    rng, (lat0, lon0) = random.Random(13), centre
+
+    def near(n, first):
+        out = []
+        for i in range(n):
+            lat = max(-90.0, min(90.0, lat0 + rng.uniform(-0.01, 0.01)))
+            wide = 180.0 if abs(lat0) > 89 else 0.02
+            lon = (lon0 + rng.uniform(-wide, wide) + 180.0) % 360.0 - 180.0
+            out.append((first + i, lat, lon))
+        return out
+
+    rows, targets = near(60, 0), near(60, 500)
+    for radius in (300.0, 2500.0):
+        want = brute_nearest(rows, targets, radius)
+        assert run_nearest(spark, rows, targets, radius) == want
+        assert run_nearest(spark, rows, targets, radius, cell_cap=4) == want
+    pts = [(lat, lon) for _, lat, lon in rows]
+    df = spark.createDataFrame(pts, "lat double, lon double")
+    got = {tuple(r) for r in spatial.point_pairs_within(df, 800.0).collect()}
+    assert got == {(*a, *b) for a in pts for b in pts if metres(*a, *b) <= 800.0}
+
+
+def test_salts_follow_each_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 100)
+    keys = ["a"] * 150 + ["b"] * 450 + ["c"] * 2000 + [f"x{i}" for i in range(300)]
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+    hot = skew.hot_keys(left, ["k"])
+    assert sorted(hot.values()) == [2, 5, 20]
+    right = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    joined = skew.salted_join(left, right, ["k"], hot=hot)
+    assert joined.count() == 2600
+    spread = F.pmod(F.xxhash64(F.lit(7), "i", "k"), F.lit(20))
+    most = left.where("k = 'c'").groupBy(spread.alias("s")).count().agg(F.max("count")).first()[0]
+    assert most < 200
