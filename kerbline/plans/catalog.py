@@ -61,6 +61,30 @@ def raw_flatten(spark, sf):
     return src.flatten(parsed).select("TSegID2025", "RouteID", "AADT", _r("_lon"), _r("_lat"))
 
 
+@query
+def raw_pages(spark, sf):
+    """The same from landed files: one file per page, each a JSON array of 500 records."""
+    path = new_path(spark, "pages")
+    records = demo.raw_segments(spark, sf).select(
+        F.floor(F.col("attributes.TSegID2025").cast("long") / 500).alias("page"),
+        F.to_json(F.struct("attributes", "geometry")).alias("j"),
+    )
+    pages = records.groupBy("page").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("text"))
+    pages.write.partitionBy("page").text(path)
+    landed = src.read_pages(spark, path, "TSegID2025 string, RouteID string, AADT double")
+    return src.flatten(landed).select("TSegID2025", "RouteID", "AADT", _r("_lon"), _r("_lat"))
+
+
+@query
+def topn_reused(spark, sf):
+    """The stored top list is built once and read the second time."""
+    path = new_path(spark, "stored_top")
+    scores = demo.Stages.of(spark, sf).scores
+    build = lambda: risk.priority_topn(scores).select("rank", "segment_id")
+    n = sinks.reuse_or_build(spark, path, 25, build).count()
+    return sinks.reuse_or_build(spark, path, n, lambda: build().limit(0)).select("rank", "segment_id")
+
+
 @query
 def polyline_midpoint(spark, sf):
     raw = demo.raw_segments(spark, sf).select(

@@ -194,6 +194,13 @@ _BODIES: dict[str, str] = {
       FROM (SELECT *, (CASE WHEN p % 97 = 0 THEN [lon0] ELSE [lon0, lonb, lon1] END) || (CASE WHEN p % 5 = 0 THEN [lon1, lon1 + 0.002::DOUBLE] ELSE [] END) AS xs,
                       (CASE WHEN p % 97 = 0 THEN [lat0] ELSE [lat0, latb, lat1] END) || (CASE WHEN p % 5 = 0 THEN [lat1, lat1] ELSE [] END) AS ys
             FROM raw_seg)""",
+    "raw_pages": """
+      SELECT p::VARCHAR AS "TSegID2025", 'R' || gy AS "RouteID", aadt AS "AADT",
+        round(list_sum(xs) / len(xs), 6) AS _lon, round(list_sum(ys) / len(ys), 6) AS _lat
+      FROM (SELECT *, (CASE WHEN p % 97 = 0 THEN [lon0] ELSE [lon0, lonb, lon1] END) || (CASE WHEN p % 5 = 0 THEN [lon1, lon1 + 0.002::DOUBLE] ELSE [] END) AS xs,
+                      (CASE WHEN p % 97 = 0 THEN [lat0] ELSE [lat0, latb, lat1] END) || (CASE WHEN p % 5 = 0 THEN [lat1, lat1] ELSE [] END) AS ys
+            FROM raw_seg)""",
+    "topn_reused": "SELECT rank, segment_id FROM top",
     "polyline_midpoint": """
       SELECT p::VARCHAR AS segment_id, round(list_sum(xs) / len(xs), 6) AS lon, round(list_sum(ys) / len(ys), 6) AS lat
       FROM (SELECT *, (CASE WHEN p % 97 = 0 THEN [lon0] ELSE [lon0, lonb, lon1] END) || (CASE WHEN p % 5 = 0 THEN [lon1, lon1 + 0.002::DOUBLE] ELSE [] END) AS xs,
