@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 # A space next to other white space: only then may a token reach over a cut before a space.
 _SPACES = re.compile(r" (?:\s|(?<=\s ))")
-CACHED_WORDS = 500_000
+# ASCII marks other than the apostrophe. The pre-tokenizers cut between letters and these,
+# and around a single line break between them, whatever else stands there.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TWO_LINES = re.compile(f"([^\\W\\d_]+)([{re.escape(_MARKS)}]*)(\n)([^\\W\\d_]+)([{re.escape(_MARKS)}]*)")
+
+CACHED_PIECES = 400_000
+CACHED_WORDS = 1_200_000
 
 
 class TextEncoder:
@@ -18,54 +23,61 @@ class TextEncoder:
 
     The pre-tokenizers of these files never join a character with the single
     space after it, so a text cut before each such space has the same tokens as
-    the whole. The pieces of a batch that were not seen before are encoded in
-    one call; the rest is looked up. Texts with other runs of white space are
-    encoded as they are. The memory of a worker is bounded by ``cached`` pieces.
+    the whole, and a word the same tokens wherever it stands. Pieces and words
+    that were seen before are looked up; new words of a batch are encoded in one
+    call. Texts with other runs of white space are encoded as they are. Two
+    limits on what is remembered bound the memory of a worker.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, pieces: int = CACHED_PIECES, words: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._cached = cached
-        self._after_space: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
+        self._limits = pieces, words, words
+        # Pieces and words without the space before them; words and marks that follow no space.
+        self._pieces: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text as little-endian unsigned 32-bit integers."""
-        for cache in (self._after_space, self._first):
-            if len(cache) > self._cached:
+        for cache, limit in zip((self._pieces, self._words, self._parts), self._limits, strict=True):
+            if len(cache) > limit:
                 cache.clear()
-        known, first = self._after_space, self._first
-        pieces = [None if _SPACES.search(t) else t.split(" ") for t in texts]
-        self._learn({p for ps in pieces if ps for p in ps[1:] if p not in known})
-        heads = list({ps[0] for ps in pieces if ps and ps[0] not in first})
-        first.update(zip(heads, self._plain(heads), strict=True))
-        whole = iter(self._plain([t for t, ps in zip(texts, pieces, strict=True) if ps is None]))
-        of = known.__getitem__
-        return [next(whole) if ps is None else first[ps[0]] + b"".join(map(of, ps[1:])) for ps in pieces]
+        cut = [None if _SPACES.search(t) else t.split(" ") for t in texts]
+        held = set().union(*filter(None, cut))
+        self._learn(held.difference(self._pieces))
+        heads = iter(self._plain([ps[0] for ps in cut if ps]))
+        whole = iter(self._plain([t for t, ps in zip(texts, cut, strict=True) if ps is None]))
+        of = {p: self._pieces[p] for p in held}.__getitem__
+        return [next(whole) if ps is None else next(heads) + b"".join(map(of, ps[1:])) for ps in cut]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _add(self, cache: dict[str, bytes], before: str, new: set[str]) -> None:
+        new = list(new.difference(cache))
+        cache.update(zip(new, self._plain([before + w for w in new]), strict=True))
 
     def _learn(self, pieces: set[str]) -> None:
-        apart = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        self._after_space.update(zip(apart, self._plain([" " + p for p in apart]), strict=True))
-        rest = list(pieces.difference(apart))
-        if not rest:
-            return
-        found = self._tokenizer.encode(" " + " ".join(rest), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-        lengths = np.fromiter(map(len, rest), np.int64, len(rest)) + 1
-        # A token belongs to the piece in which it begins; the space is the first character of its piece.
-        cuts = np.searchsorted(at, np.cumsum(lengths), side="left").tolist()
-        data, begin = ids.tobytes(), 0
-        for piece, end in zip(rest, cuts, strict=True):
-            self._after_space[piece] = data[4 * begin : 4 * end]
-            begin = end
+        marked, lines, rest = [], [], set()
+        for piece in pieces:
+            word = piece.rstrip(_MARKS)
+            if word.isalpha():
+                marked.append((piece, word, piece[len(word) :]))
+            elif (found := _TWO_LINES.fullmatch(piece)) and found[1].isalpha() and found[4].isalpha():
+                lines.append((piece, found[1], found.groups()[1:]))
+            else:
+                rest.add(piece)
+        self._add(self._pieces, " ", rest)
+        words, parts = self._words, self._parts
+        self._add(words, " ", {w for _, w, _ in marked} | {w for _, w, _ in lines})
+        self._add(parts, "", {m for _, _, m in marked}.union(*(ps for _, _, ps in lines)))
+        self._pieces.update((piece, words[word] + parts[mark]) for piece, word, mark in marked)
+        of = parts.__getitem__
+        self._pieces.update((piece, words[word] + b"".join(map(of, ps))) for piece, word, ps in lines)
 
 
 @lru_cache(maxsize=4)
