@@ -43,15 +43,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one with the smallest identifier."""
     found = near_duplicates(docs, key="doc_id", text="text")
     goes = durable(found.where("doc_id != class_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(goes, "doc_id", "left_anti").select(*DOCUMENT)
+    # Both sides grow with the documents.
+    return docs.join(goes.hint("merge"), "doc_id", "left_anti").select(*DOCUMENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(docs, benchmark, key="doc_id", text="text", item="item_id", item_text="text")
-    goes = durable(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.join(goes, "doc_id", "left_anti").select(*DOCUMENT)
+    found = decontaminate(
+        docs, benchmark, key="doc_id", text="text", item="item_id", item_text="text", columns=DOCUMENT[1:]
+    )
+    return found.where("n_hit = 0").select(*DOCUMENT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

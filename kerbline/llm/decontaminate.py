@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbline.llm.words import Words, chunks, words_of
 from kerbline.llm.workers import ship_package
@@ -106,6 +107,7 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each report lie inside a window of a held-out item.
 
@@ -121,41 +123,50 @@ def decontaminate(
     memory of a task does not grow with the items; each block is one pass over
     the reports. The reports' texts are never shuffled.
 
-    Returns per input row: ``key``, n_words, n_hit (words inside any occurrence
+    Returns per input row: ``key``, ``columns``, n_words, n_hit (words inside any occurrence
     of a window), spans (array of start, end in words; merged), items (sorted
     identifiers, as text, of items with an occurring window).
 
     Edge cases: a null text has no words; items without words or identifier
     occur nowhere; items with equal texts are all named. Equal rows each get
     their result. Empty tables give an empty result or no hits. Other columns
-    are ignored.
+    are ignored unless named in ``columns``.
     """
     spark = reports.sparkSession
     ship_package(spark)
-    texts = reports.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != text]
+    texts = reports.select(F.col(key).alias("id"), F.col(text).alias("text"), *rest)
     blocks = _blocks(held_out, item, item_text, window, block_bytes)
     if len(blocks) > 1:
         texts = durable(texts.withColumn("row", F.monotonically_increasing_id()), "reports")
     else:
         texts = texts.withColumn("row", F.lit(0).cast("long"))
-    found = [_matched(texts, windows, _counts(texts, windows)) for windows in blocks]
+    held = [F.col("text" if c == text else f"_{i}").alias(c) for i, c in enumerate(columns)]
+    # The first pass carries the kept columns along.
+    found = [
+        _matched(texts if i == 0 and columns else texts.select("id", "row", "text"), windows, _counts(texts, windows), i == 0 and text in columns)
+        for i, windows in enumerate(blocks)
+    ]
     if len(found) == 1:
         merged = found[0]
     else:
         # Reports without a hit come from the first block only.
         rows = found[0]
         for more in found[1:]:
-            rows = rows.unionByName(more.where(F.size("starts") > 0))
+            rows = rows.unionByName(more.where(F.size("starts") > 0), allowMissingColumns=True)
+        kept = [c for c in rows.columns if c == "text" or c.startswith("_")]
         merged = rows.groupBy("row").agg(
             F.first("id").alias("id"),
             F.first("n_words").alias("n_words"),
+            *[F.first(c, ignorenulls=True).alias(c) for c in kept],
             F.flatten(F.collect_list("starts")).alias("starts"),
             F.flatten(F.collect_list("ends")).alias("ends"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
     spans = _union_of(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
-    return merged.select(F.col("id").alias(key), "n_words", spans.alias("spans"), "items").select(
+    return merged.select(F.col("id").alias(key), *held, "n_words", spans.alias("spans"), "items").select(
         key,
+        *columns,
         "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
         "spans",
@@ -224,11 +235,16 @@ def _counts(texts: DataFrame, windows: Windows) -> tuple[np.ndarray, np.ndarray]
     return shingles, counts
 
 
-def _matched(texts: DataFrame, windows: Windows, counted: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _matched(
+    texts: DataFrame, windows: Windows, counted: tuple[np.ndarray, np.ndarray], with_text: bool
+) -> DataFrame:
     windows.choose_prefixes(*counted)
     block = texts.sparkSession.sparkContext.broadcast(windows)
-    kind = texts.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, row long, n_words long, starts array<long>, ends array<long>, items array<string>"
+    kept = [f for f in texts.schema.fields if f.name.startswith("_") or f.name == "text" and with_text]
+    names = [f.name for f in kept]
+    schema = T.StructType([texts.schema["id"], *kept]).add("row", "long").add("n_words", "long")
+    places = T.ArrayType(T.LongType())
+    schema = schema.add("starts", places).add("ends", places).add("items", T.ArrayType(T.StringType()))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = block.value
@@ -240,16 +256,17 @@ def _matched(texts: DataFrame, windows: Windows, counted: tuple[np.ndarray, np.n
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[begin:to],
+                        *[batch.column(name)[begin:to] for name in names],
                         row[begin:to],
                         pa.array(np.diff(words.first)),
                         pa.array(starts, pa.list_(pa.int64())),
                         pa.array(ends, pa.list_(pa.int64())),
                         pa.array(items, pa.list_(pa.string())),
                     ],
-                    ["id", "row", "n_words", "starts", "ends", "items"],
+                    ["id", *names, "row", "n_words", "starts", "ends", "items"],
                 )
 
-    return texts.select("id", "row", "text").mapInArrow(match, schema)
+    return texts.mapInArrow(match, schema)
 
 
 def _occurrences(words: Words, held: Windows) -> tuple[list, list, list]:

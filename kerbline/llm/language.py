@@ -157,9 +157,11 @@ def identify_languages(
     ship_package(spark)
     learned = [(r["language"], r["rank"], r["code"]) for r in language_profiles(learning, learning_text, language, size, rows).collect()]
     profiles = spark.sparkContext.broadcast(Profiles.of(learned, size))
-    rows_in = reports.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *columns)
-    kept = rows_in.schema.fields[1:]
-    schema = rows_in.schema.__class__(kept).add("_language", "string").add("_score", "double")
+    rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != text]
+    rows_in = reports.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *rest)
+    kept = rows_in.schema.fields[0 if text in columns else 1 :]
+    schema = rows_in.schema.__class__(list(kept)).add("_language", "string").add("_score", "double")
+    first = 0 if text in columns else 1
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = profiles.value.nearest
@@ -167,10 +169,12 @@ def identify_languages(
             found = [nearest(t.as_py()) for t in batch.column(0)]
             names, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], names, scores], [*batch.schema.names[1:], "_language", "_score"]
+                [*batch.columns[first:], names, scores], [*batch.schema.names[first:], "_language", "_score"]
             )
 
     judged = rows_in.mapInArrow(judge, schema)
     return judged.select(
-        F.col("_key").alias(key), *columns, F.col("_language").alias("language_found"), F.col("_score").alias("language_score")
+        F.col("_key").alias(key),
+        *[F.col("_text" if c == text else f"_{i}").alias(c) for i, c in enumerate(columns)],
+        F.col("_language").alias("language_found"), F.col("_score").alias("language_score")
     )

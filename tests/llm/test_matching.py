@@ -156,7 +156,8 @@ def test_decontamination(spark, block_bytes):
     reports += [(200 + i, f"{line(5)} {text.upper() if text else ''}, {line(3)}") for i, (_, text) in enumerate(items)]
     given = odd_reports(spark, reports)
     held = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, row int")
-    rows = decontaminate(given, held, block_bytes=block_bytes).collect()
+    rows = decontaminate(given, held, block_bytes=block_bytes, columns=("report", "row", "id")).collect()
+    assert sorted((r.event_id or 0, r.report or "", r.row, r.id) for r in rows) == sorted((r.event_id or 0, r.report or "", "r", 0) for r in given.collect())
     got = sorted(((r.event_id, r.n_words, r.n_hit, tuple(r["items"])) for r in rows), key=str)
     assert got == brute_hits([(r.event_id, r.report) for r in given.collect()], items, 10)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in rows)
