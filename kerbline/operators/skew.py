@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ HOT_SHARE = 0.001
 HOT_MIN_ROWS = 100_000
 # Copies of the other side's rows that a hot key may ask for.
 MOST_SALTS = 4096
+# What was found for written tables that are still in use.
+_KNOWN: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
 
 
 def _key_hash(keys: Sequence[str], alias: str | None = None) -> Column:
@@ -40,6 +43,12 @@ def hot_keys(
     when it is small the sketch is not needed.
     """
     least = HOT_MIN_ROWS if min_rows is None else min_rows
+    if base is df:
+        # A written table does not change; its edges, say, are asked about by every step.
+        known, asked = _KNOWN.setdefault(df, {}), (tuple(keys), share, least)
+        if asked not in known:
+            known[asked] = hot_keys(df, keys, share, least, base.select("*"))
+        return known[asked]
     if base is not None and base.count() <= least:
         return {}
     top = int(1 / share)
