@@ -17,6 +17,8 @@ def _escaped_length(column: str) -> str:
     return f"length({text})"
 
 
+_WORDS = f"regexp_extract_all({_TRANSLATE}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 EXPECTED = {
     "op1_chat_format": f"""
 WITH said AS (
@@ -33,6 +35,25 @@ WITH said AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars,
     sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM joined""",
+    "op7_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, w, least(10, len(w)) AS l FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS s
+    FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM items)
+), places AS (
+    SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS s
+    FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM windows))
+), hits AS (SELECT doc_id, l, i, item_id FROM places JOIN windows USING (l, s)),
+covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_exact_dedup": f"""
 WITH normed AS (SELECT doc_id, {_TRANSLATE} AS norm FROM documents),
 groups AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM normed GROUP BY norm)
