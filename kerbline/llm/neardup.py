@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
@@ -19,6 +19,9 @@ SIMILARITY = 0.8
 # Pairs at the least similarity share no band with probability (1 - 0.8**7)**48, about 1e-5.
 BANDS = 48
 ROWS = 7
+# Buckets of up to so many texts are compared in full; larger ones by several pivots a round.
+FULL_BUCKET = 16
+PIVOTS = 3
 # Sizes are whole numbers; this keeps a similarity that is met exactly.
 ROUNDING = 1e-6
 
@@ -194,16 +197,20 @@ def near_duplicates(
     above ASCII.
 
     Texts with the same words are one text from the start. In a band's bucket
-    every text is compared with the one of least global priority, so a bucket of
-    any size gives a linear number of pairs. Buckets that then still hold several
-    classes are compared again with another priority, and what is left is
-    compared in full across the classes, so no cap decides about a link.
+    every text is first compared with the pivot, the one of least global
+    priority, so a bucket of any size gives a linear number of pairs. Buckets
+    that then still hold several classes are looked at again: small ones in full
+    across the classes, larger ones by pivots that each bucket draws for itself
+    and for each round. This goes on until a round finds no new link. A pair that
+    is similar beyond what a large bucket has in common also meets in buckets
+    that are small (about ten of the bands are shared at the least similarity).
 
     Returns per input row: ``key``, class_id (smallest key of the class),
     class_size (rows). Edge cases: a text without words is alone in its class,
     also if others are equal; one of fewer than five words is a single shingle.
-    A row without a key has no class (nulls). Rows that share a key share its
-    class. An empty table gives an empty result. Other columns are ignored.
+    A row without a key has no class (nulls). A key should name one text; if it
+    comes with another text as well, that row is classed by its own text. An
+    empty table gives an empty result. Other columns are ignored.
     """
     spark = reports.sparkSession
     ship_package(spark)
@@ -216,23 +223,29 @@ def near_duplicates(
     )
     single = signed.where("size > 0").join(same, ["fp", "fp2", "id"], "left_semi").dropDuplicates(["id", "fp", "fp2"])
     in_bands = durable(single.select("id", "size", F.explode("bands").alias("band")), "bands")
-    shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = durable(in_bands.join(shared, "band"), "buckets")
+    shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Both sides grow with the reports.
+    buckets = durable(in_bands.join(shared.hint("merge"), "band"), "buckets")
     near = _Near(named, similarity, counted)
 
-    links = near.verified(_stars(buckets, 0, similarity))
+    links = near.verified(_pivots(buckets.withColumn("class", F.col("id")), (0,), similarity, F.lit(0)))
     labels = components(links)
-    for attempt in (1, 2):
+    attempt = 1
+    while True:
         split = _split_buckets(buckets, labels)
-        pairs = _stars(split, attempt, similarity) if attempt == 1 else _across(split, similarity)
+        small, large = split.where(F.col("n") <= FULL_BUCKET), split.where(F.col("n") > FULL_BUCKET)
+        attempts = tuple(range(attempt, attempt + PIVOTS))
+        pairs = _across(small, similarity).union(_pivots(large, attempts, similarity, F.col("band"))).distinct()
         more = near.verified(pairs)
+        if more.isEmpty():
+            break
         links = durable(links.unionByName(more), "all-links")
         labels = components(links)
+        attempt += PIVOTS
 
     classes = signed.join(same.withColumnRenamed("id", "_first"), ["fp", "fp2"], "left").select(
         "id", F.when(F.col("size") > 0, F.col("_first")).alias("node")
     )
-    # A key that stands for several texts joins their classes.
     classes = classes.join(labels, "node", "left").select(
         "id", F.coalesce("label", "node", "id").alias("class_id")
     )
@@ -242,16 +255,21 @@ def near_duplicates(
     return classes.join(sizes, "class_id").select("id", "class_id", "class_size").union(unnamed).withColumnRenamed("id", key)
 
 
-def _close_sizes(a: str, b: str, similarity: float):
+def _close_sizes(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - ROUNDING
 
 
-def _stars(buckets: DataFrame, attempt: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each text in a bucket with the bucket's text of least priority."""
-    first = F.min(F.struct(F.xxhash64(F.lit(attempt), "id").alias("p"), F.col("id").alias("center"), F.col("size").alias("center_size")))
-    centers = buckets.groupBy("band").agg(first.alias("c")).select("band", "c.center", "c.center_size")
-    met = buckets.join(centers, "band").where(F.col("id") != F.col("center"))
-    return _pairs(met.where(_close_sizes("size", "center_size", similarity)), "id", "center")
+def _pivots(buckets: DataFrame, attempts: tuple[int, ...], similarity: float, drawn_by: Column) -> DataFrame:
+    """Pairs (a, b) of each text in a bucket with the bucket's pivots, where their classes differ."""
+    pivots = []
+    for attempt in attempts:
+        priority = F.xxhash64(F.lit(attempt), drawn_by, "id").alias("p")
+        row = F.struct(priority, F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("class").alias("class2"))
+        pivots.append(F.min(row))
+    drawn = buckets.groupBy("band").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
+    drawn = drawn.select("band", F.inline("pivots"))
+    met = buckets.join(drawn.hint("merge"), "band").where(F.col("class") != F.col("class2"))
+    return _pairs(met.where(_close_sizes("size", "size2", similarity)), "id", "id2")
 
 
 def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
@@ -260,13 +278,13 @@ def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
 
 def _split_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The buckets whose texts are in more than one class, with the classes."""
-    marked = buckets.drop("class").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
+    marked = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "class", F.coalesce("label", "id")
     ).drop("label")
     mixed_up = (
         marked.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band")
     )
-    return durable(marked.join(mixed_up, "band"), "split-buckets")
+    return durable(marked.join(mixed_up.hint("merge"), "band"), "split-buckets")
 
 
 def _across(split: DataFrame, similarity: float) -> DataFrame:
@@ -277,11 +295,24 @@ def _across(split: DataFrame, similarity: float) -> DataFrame:
 
 
 class _Near:
-    """Exact similarity of candidate pairs; a pair is looked at once."""
+    """Exact similarity of candidate pairs; a pair is looked at once, a text is cut into shingles once."""
 
     def __init__(self, named: DataFrame, similarity: float, counted: bool):
         self._named, self._similarity, self._counted = named, similarity, counted
         self._seen: DataFrame | None = None
+        self._sets: DataFrame | None = None
+
+    def _sets_of(self, ids: DataFrame) -> DataFrame:
+        """Shingle sets of these texts; only those that no earlier round has asked for are read."""
+        if self._sets is None:
+            # The first round asks for a share of all texts.
+            new = self._named.join(ids.hint("merge"), "id", "left_semi")
+            self._sets = durable(_shingle_sets(new, self._counted), "shingle-sets")
+            return self._sets
+        missing = durable(ids.join(self._sets.select("id"), "id", "left_anti"), "new-ids")
+        new = self._named.join(missing, "id", "left_semi")
+        self._sets = self._sets.unionByName(durable(_shingle_sets(new, self._counted), "shingle-sets"))
+        return self._sets.join(ids, "id", "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links (u, v) among the pairs (a, b)."""
@@ -289,8 +320,8 @@ class _Near:
             pairs = pairs.join(self._seen, ["a", "b"], "left_anti")
         pairs = durable(pairs, "pairs")
         self._seen = pairs if self._seen is None else durable(self._seen.unionByName(pairs), "seen-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = durable(_shingle_sets(self._named.join(needed, "id", "left_semi"), self._counted), "shingle-sets")
+        needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+        sets = self._sets_of(needed)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"
         )
