@@ -62,21 +62,26 @@ def exact_duplicates(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
+    rest = [c for c in columns if c != text]
     rows = reports.select(
         F.col(key).alias("_id"),
-        F.struct(*columns).alias("_rest") if columns else F.lit(None).cast("string").alias("_rest"),
-        lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("_norm"),
-    )
-    rows = rows.select(
-        "*",
+        F.struct(*rest).alias("_rest") if rest else F.lit(None).cast("string").alias("_rest"),
+        F.col(text).alias("_given"),
         F.struct(
-            F.substring("_norm", 1, SPLITTER_CHARS).alias("head"), F.xxhash64("_id").alias("tie")
+            lower_ascii(F.substring(F.coalesce(F.col(text), F.lit("")), 1, SPLITTER_CHARS)).alias("head"),
+            F.xxhash64(key).alias("tie"),
         ).alias("_point"),
     )
     splitters = _splitters(rows, range_bytes)
     heads = sorted({p for p, _ in splitters})
-    split_head = F.col("_point.head").isin(heads) if heads else F.lit(False)
-    rows = rows.withColumn("_range", _range_of(F.col("_point"), splitters)).withColumn("_cut", split_head)
+    # Texts are moved once, as they are; they are normalised in the range where they are sorted.
+    rows = (
+        rows.withColumn("_range", _range_of(F.col("_point"), splitters))
+        .withColumn("_cut", F.col("_point.head").isin(heads) if heads else F.lit(False))
+        .drop("_point")
+        .repartition("_range")
+        .withColumn("_norm", lower_ascii(F.coalesce("_given", F.lit(""))))
+    )
 
     # Neighbours in the sorted range, compared in full; a change opens a new run.
     in_range = Window.partitionBy("_range").orderBy("_norm", "_id")
@@ -87,6 +92,7 @@ def exact_duplicates(
         .select(
             "_id",
             "_rest",
+            *(["_given"] if text in columns else []),
             "_range",
             "_run",
             "_cut",
@@ -104,7 +110,7 @@ def exact_duplicates(
         F.count(F.lit(1)).over(run).alias("_size"),
         F.row_number().over(run.orderBy(best)).alias("_nth"),
     )
-    names = [F.col("_id").alias(key), *[F.col(f"_rest.{c}").alias(c) for c in columns]]
+    names = [F.col("_id").alias(key), *[F.col("_given" if c == text else f"_rest.{c}").alias(c) for c in columns]]
     if not splitters:
         return runs.select(
             *names,
@@ -155,7 +161,7 @@ def exact_duplicates(
 def _splitters(rows: DataFrame, range_bytes: int) -> list[tuple[str, int]]:
     """Cuts between ranges, from an even sample of (head, tie); MAX_RANGES - 1 at most."""
     size = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_norm")).alias("b")
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_given")).alias("b")
     ).first()
     ranges = min(MAX_RANGES, ceil((size["b"] or 0) / range_bytes))
     if ranges < 2:
