@@ -74,12 +74,12 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        held = encoder(tokenizer_path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, to in text_batches(texts):
                 of, starts, lengths, sums, totals = [], [], [], [], []
-                for place, found in enumerate(encode(texts[begin:to]), begin):
+                for place, found in enumerate(held.encode(texts[begin:to]), begin):
                     ids, total = found + end, len(found) // 4 + 1
                     for start in range(0, total, sequence):
                         part = ids[4 * start : 4 * (start + sequence)]
@@ -92,6 +92,8 @@ def token_pieces(
                     [keys.take(pa.array(of, pa.int64())), *[pa.array(c, pa.int64()) for c in (starts, lengths, sums, totals)]],
                     ["key", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        # The worker lives on and may next be asked for quite another operator.
+        held.forget()
 
     rows = reports.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

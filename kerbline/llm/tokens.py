@@ -53,6 +53,11 @@ class TextEncoder:
         of = {p: self._pieces[p] for p in held}.__getitem__
         return [next(whole) if ps is None else next(heads) + b"".join(map(of, ps[1:])) for ps in cut]
 
+    def forget(self) -> None:
+        """Hands the memory of what is remembered back."""
+        for cache in (self._pieces, self._words, self._parts):
+            cache.clear()
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()
         return [array("I", e.ids).tobytes() for e in found]
