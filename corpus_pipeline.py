@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left, as pieces of sequences of 2048 tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack_reports(docs, path, end_id=1, key="doc_id", text="text", sequence=2048)
+    return pack_reports(docs, path, end_id=1, key="doc_id", text="text", sequence=2048, release=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -65,11 +65,14 @@ def token_pieces(
     key: str = "event_id",
     text: str = "report",
     sequence: int = SEQUENCE,
+    release: bool = False,
 ) -> DataFrame:
     """The reports' identifiers, each with ``end_id`` at its end, in pieces of at most ``sequence``.
 
     Returns ``key``, start, length, ids_crc32, doc_tokens. Texts do not leave
-    the task that reads them, and identifiers are only summed up here.
+    the task that reads them, and identifiers are only summed up here. With
+    ``release`` a task hands the encoder's memory back at its end, for workers
+    that go on to other operators; otherwise their next tasks use it.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -92,8 +95,8 @@ def token_pieces(
                     [keys.take(pa.array(of, pa.int64())), *[pa.array(c, pa.int64()) for c in (starts, lengths, sums, totals)]],
                     ["key", "start", "length", "ids_crc32", "doc_tokens"],
                 )
-        # The worker lives on and may next be asked for quite another operator.
-        held.forget()
+        if release:
+            held.forget()
 
     rows = reports.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -110,6 +113,7 @@ def pack_reports(
     sequence: int = SEQUENCE,
     group_pieces: int = GROUP_PIECES,
     seed: int = 0,
+    release: bool = False,
 ) -> DataFrame:
     """Assigns every piece of every report to a sequence of at most ``sequence`` identifiers.
 
@@ -126,7 +130,7 @@ def pack_reports(
     """
     ship_package(reports.sparkSession)
     names = ("start", "length", "ids_crc32", "doc_tokens")
-    pieces = token_pieces(reports, tokenizer_path, end_id, key, text, sequence)
+    pieces = token_pieces(reports, tokenizer_path, end_id, key, text, sequence, release)
     pieces = durable(
         pieces.select(F.col(key).alias("key"), *names, F.rand(seed).alias("draw")), "token-pieces"
     )
