@@ -19,9 +19,15 @@ SIMILARITY = 0.8
 # Pairs at the least similarity share no band with probability (1 - 0.8**7)**48, about 1e-5.
 BANDS = 48
 ROWS = 7
-# Buckets of up to so many texts are compared in full; larger ones by several pivots a round.
+# Buckets of up to so many texts are compared in full; larger ones by several pivots a round,
+# and what these leave by a join on rare shingles.
 FULL_BUCKET = 16
 PIVOTS = 3
+PIVOT_ROUNDS = 2
+# Cells in which shingles are counted; the counts only decide which shingles are joined first.
+COUNT_CELLS = 1 << 18
+# Texts of one shingle that one salt of the join gets.
+SALT_ROWS = 4096
 # Sizes are whole numbers; this keeps a similarity that is met exactly.
 ROUNDING = 1e-6
 
@@ -200,10 +206,11 @@ def near_duplicates(
     every text is first compared with the pivot, the one of least global
     priority, so a bucket of any size gives a linear number of pairs. Buckets
     that then still hold several classes are looked at again: small ones in full
-    across the classes, larger ones by pivots that each bucket draws for itself
-    and for each round. This goes on until a round finds no new link. A pair that
-    is similar beyond what a large bucket has in common also meets in buckets
-    that are small (about ten of the bands are shared at the least similarity).
+    across the classes, larger ones in ``PIVOT_ROUNDS`` rounds by pivots that each
+    bucket draws for itself and for each round. The pivots only join classes
+    early: texts of large buckets that still hold several classes are joined on
+    their rare shingles (prefix filter with bounds by length and position), which
+    finds every similar pair among them, so no cap decides about a link.
 
     Returns per input row: ``key``, class_id (smallest key of the class),
     class_size (rows). Edge cases: a text without words is alone in its class,
@@ -230,18 +237,23 @@ def near_duplicates(
 
     links = near.verified(_pivots(buckets.withColumn("class", F.col("id")), (0,), similarity, F.lit(0)))
     labels = components(links)
-    attempt = 1
-    while True:
+    for number in range(PIVOT_ROUNDS):
         split = _split_buckets(buckets, labels)
-        small, large = split.where(F.col("n") <= FULL_BUCKET), split.where(F.col("n") > FULL_BUCKET)
-        attempts = tuple(range(attempt, attempt + PIVOTS))
-        pairs = _across(small, similarity).union(_pivots(large, attempts, similarity, F.col("band"))).distinct()
+        large = split.where(F.col("n") > FULL_BUCKET)
+        attempts = tuple(range(1 + number * PIVOTS, 1 + (number + 1) * PIVOTS))
+        pairs = _pivots(large, attempts, similarity, F.col("band"))
+        if number == 0:
+            # Small buckets are done after this; classes only grow.
+            pairs = _across(split.where(F.col("n") <= FULL_BUCKET), similarity).union(pairs).distinct()
         more = near.verified(pairs)
-        if more.isEmpty():
-            break
-        links = durable(links.unionByName(more), "all-links")
-        labels = components(links)
-        attempt += PIVOTS
+        if not more.isEmpty():
+            links = durable(links.unionByName(more), "all-links")
+            labels = components(links)
+    large = _split_buckets(buckets.where(F.col("n") > FULL_BUCKET), labels)
+    rest = durable(large.select("id", "size", "class").distinct(), "rest")
+    if not rest.isEmpty():
+        more = near.verified(_by_rare_shingles(near.sets_of(rest), near.sets_of(None), similarity))
+        labels = components(durable(links.unionByName(more), "all-links"))
 
     classes = signed.join(same.withColumnRenamed("id", "_first"), ["fp", "fp2"], "left").select(
         "id", F.when(F.col("size") > 0, F.col("_first")).alias("node")
@@ -294,6 +306,87 @@ def _across(split: DataFrame, similarity: float) -> DataFrame:
     return _pairs(met.where(_close_sizes("size", "size2", similarity)), "id", "id2")
 
 
+def _cell_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell occur; at most one number per cell reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_CELLS, np.int64)
+        for batch in batches:
+            keys = batch.column(0).flatten().to_numpy().view(np.uint64)
+            total += np.bincount((keys % np.uint64(COUNT_CELLS)).astype(np.int64), minlength=COUNT_CELLS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["cell", "n"])
+
+    found = sets.select("set").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNT_CELLS, np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(token, id, class, size, rest): the rarest shingles of each set, and how many it has from there on.
+
+    The first shingle two similar sets have in common, in the order by rarity, is
+    among these in both: what follows it must hold all they have in common.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(counts)
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                lists = batch.column(2)
+                sizes = lists.value_lengths().to_numpy().astype(np.int64)
+                keys = lists.flatten().to_numpy()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                often = held.value[(keys.view(np.uint64) % np.uint64(COUNT_CELLS)).astype(np.int64)]
+                order = np.lexsort((keys, often, owner))
+                place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                # ``owner`` is in order already, so a place belongs to the same text before and after.
+                first = np.flatnonzero(place <= (1 - similarity) * sizes[owner] + ROUNDING)
+                of = pa.array(owner[first])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[order[first]]), batch.column(0).take(of), batch.column(1).take(of),
+                        pa.array(sizes[owner[first]]), pa.array(sizes[owner[first]] - place[first]),
+                    ],
+                    ["token", "id", "class", "size", "rest"],
+                )
+
+    return sets.select("id", "class", "set").mapInArrow(cut, f"token long, id {kind}, class {kind}, size long, rest long")
+
+
+def _by_rare_shingles(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes, among them all similar ones of these sets (id, class, set).
+
+    ``counted`` are the sets by which shingles are held rare; any others only
+    make the join slower. Per shingle, the texts of its largest class are not
+    compared with each other, so one class of any size gives a linear number.
+    """
+    rows = durable(_prefixes(sets, _cell_counts(counted), similarity), "prefixes")
+    per_class = rows.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"))
+    tokens = per_class.groupBy("token").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most")
+    )
+    tokens = tokens.where("classes > 1").select(
+        "token",
+        F.col("most.class").alias("most"),
+        F.ceil((F.col("n") - F.col("most.n")) / SALT_ROWS).cast("int").alias("salts"),
+    )
+    met = durable(rows.join(tokens.hint("merge"), "token"), "shared-shingles")
+    left = met.where("class != most").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    right = met.select(
+        "token",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        *[F.col(c).alias(f"{c}2") for c in ("id", "class", "size", "rest")],
+    )
+    # Both sides grow with the reports.
+    both = left.join(right.hint("merge"), ["token", "salt"])
+    least = similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - ROUNDING
+    both = both.where((F.col("class") != F.col("class2")) & (F.least("rest", "rest2") >= least))
+    return _pairs(both.where(_close_sizes("size", "size2", similarity)), "id", "id2")
+
+
 class _Near:
     """Exact similarity of candidate pairs; a pair is looked at once, a text is cut into shingles once."""
 
@@ -314,6 +407,12 @@ class _Near:
         self._sets = self._sets.unionByName(durable(_shingle_sets(new, self._counted), "shingle-sets"))
         return self._sets.join(ids, "id", "left_semi")
 
+    def sets_of(self, texts: DataFrame | None) -> DataFrame:
+        """``texts`` (id and other columns) with their sets; None for all sets that were cut so far."""
+        if texts is None:
+            return self._sets
+        return texts.join(self._sets_of(texts.select("id")).hint("merge"), "id")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links (u, v) among the pairs (a, b)."""
         if self._seen is not None:

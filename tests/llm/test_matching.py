@@ -124,6 +124,17 @@ def test_near_duplicates(spark, counted):
     assert got[1] == got[2] == {1} and got[3] == {3} and got[4] == {4} and got[None] == {None}
 
 
+def test_near_pairs_in_a_family_on_one_template(spark):
+    # Two texts of a pair are at 201 / 251, two of different pairs at 200 / 252.
+    template = " ".join(f"t{i}" for i in range(204))
+    rows = [(i, f"{template} p{i // 2} " + " ".join(f"u{i}x{j}" for j in range(25))) for i in range(3000)]
+    given = spark.createDataFrame(rows, "event_id long, report string")
+    few = rows[:60] + rows[-60:]
+    assert brute_classes(few, False) == {i: i - i % 2 for i, _ in few}
+    got = {r.event_id: (r.class_id, r.class_size) for r in near_duplicates(given).collect()}
+    assert got == {i: (i - i % 2, 2) for i, _ in rows}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(no_reports(spark)).count() == 0
 
