@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -18,6 +19,14 @@ CACHED_PIECES = 400_000
 CACHED_WORDS = 1_200_000
 
 
+def _letters_only(word: str) -> bool:
+    """If a word is of letters and stays so when a tokenizer normalises it (NFC, lower-case).
+
+    A combining mark at the end would be one piece with the marks after it.
+    """
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class TextEncoder:
     """Encodes whole texts with a public tokenizer file.
 
@@ -70,9 +79,9 @@ class TextEncoder:
         marked, lines, rest = [], [], set()
         for piece in pieces:
             word = piece.rstrip(_MARKS)
-            if word.isalpha():
+            if _letters_only(word):
                 marked.append((piece, word, piece[len(word) :]))
-            elif (found := _TWO_LINES.fullmatch(piece)) and found[1].isalpha() and found[4].isalpha():
+            elif (found := _TWO_LINES.fullmatch(piece)) and _letters_only(found[1]) and _letters_only(found[4]):
                 lines.append((piece, found[1], found.groups()[1:]))
             else:
                 rest.add(piece)

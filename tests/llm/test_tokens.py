@@ -33,6 +33,13 @@ def test_pieces_give_the_same_tokens_as_whole_texts(spark, sf_dir, name):
     assert encoder.encode(texts[::-1]) == plain(name, texts[::-1])
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_words_that_end_in_a_combining_mark_once_normalised(name):
+    words = ["\u0924\u0930\u095e", "AL\u0130", "\u05d0\ufb2a", "\u0130", "\ufb2a", "Stra\u00dfe", "e\u0301"]
+    texts = [f"x {w}{m} y" for w in words for m in (",", ".", "?!", "")] + [f"x {a}.\n{b}, y" for a in words for b in words]
+    assert TextEncoder(public_tokenizers.path(name)).encode(texts) == plain(name, texts)
+
+
 def test_token_files_round_trip(spark):
     given = odd_reports(spark, [(100 + i, f"report {i} " * (i + 1)) for i in range(60)])
     path = public_tokenizers.path(FILES[0])
