@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.records import lower_ascii
+from kerbline.operators.skew import hot_keys, salted_join
 from kerbline.session import durable
 
-# Distinct labelled addresses that the trees and the suffix statistics are fitted on, about.
+# Distinct labelled addresses that the trees are fitted on, about; suffixes are counted over all.
 FIT_ROWS = 20_000
 TREES = 12
 DEPTH = 4
@@ -117,18 +118,20 @@ class UrlModel:
             .groupBy("url")
             .agg(F.max("label").alias("label"))
         )
-        share = rows / max(rows, known.count())
-        drawn = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        drawn = durable(lexical_features(drawn.withColumn("host", host).withColumn("path", path)), "labelled-urls")
-        whole = drawn.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
-        n, bad = whole["n"], whole["bad"] or 0.0
-        rate = bad / n if n else 0.0
+        known = durable(known.withColumn("host", host).withColumn("path", path), "known-urls")
+        all_known = known.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
+        rate = (all_known["bad"] or 0.0) / all_known["n"] if all_known["n"] else 0.0
         suffixes = {}
-        for which in ("short", "long"):
-            # At most one row per address that was drawn, so its size is bounded by ``rows``.
+        for which, labels in (("short", 2), ("long", 3)):
+            by_suffix = known.groupBy(_suffix(F.col("host"), labels).alias(which))
             suffixes[which] = durable(
-                drawn.groupBy(which).agg(F.count(F.lit(1)).alias("_rows"), F.sum("label").alias("_bad")), "suffixes"
+                by_suffix.agg(F.count(F.lit(1)).alias("_rows"), F.sum("label").alias("_bad")), "suffixes"
             )
+        share = rows / max(rows, all_known["n"])
+        drawn = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        drawn = durable(lexical_features(drawn), "labelled-urls")
+        whole = drawn.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
+        n, bad = whole["n"], whole["bad"] or 0.0
         model = UrlModel(None, suffixes, rate)
         if 0 < bad < n:
             ready = model._with_suffixes(drawn, own=True).select("label", *FEATURES)
@@ -138,14 +141,16 @@ class UrlModel:
         return model
 
     def _with_suffixes(self, addresses: DataFrame, own: bool = False) -> DataFrame:
-        """Adds the suffix statistics; an address that was fitted on does not count for itself."""
+        """Adds the suffix statistics; an address that is being fitted on does not count for itself."""
         out = addresses
         for which, stats in self._suffixes.items():
             rows, bad = F.coalesce("_rows", F.lit(0)), F.coalesce("_bad", F.lit(0.0))
             if own:
                 rows, bad = rows - 1, bad - F.col("label")
+            # The statistics grow with the labelled addresses; what is fitted on is few.
+            hot = {} if own else hot_keys(addresses, [which])
             out = (
-                out.join(F.broadcast(stats), which, "left")
+                salted_join(out, stats, [which], "left", hot, salt_by=["url"])
                 .withColumn(f"{which}_rate", (bad + PRIOR_ROWS * self._rate) / (rows + PRIOR_ROWS))
                 .withColumn(f"{which}_rows", F.log1p(rows.cast("double")))
                 .drop("_rows", "_bad")
@@ -177,9 +182,9 @@ def judge_services(
     decide, fitted on about ``rows`` of the ``labelled`` addresses (``url`` and
     ``label``, 1: block), drawn by a hash. Features: lengths, depth, digit ratio,
     character entropy, number of parameters, labels and marks of the host, and
-    for the last two and three labels of the host the number of fitted addresses
-    and their share of blocked ones. Only the suffix statistics, bounded by
-    ``rows``, are sent to every task. ``rules`` is a list of policy, not a table:
+    for the last two and three labels of the host the number of labelled addresses
+    (all of them, each distinct address once) and their share of blocked ones.
+    ``rules`` is a list of policy, not a table:
     it becomes one expression.
 
     Returns per input row: ``key``, host, path, rule (like ``net/``; else null),

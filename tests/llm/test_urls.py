@@ -45,6 +45,16 @@ def test_trees_learn_spelling(spark):
     assert sum((r.verdict == "block") == (r.layer_id >= 1000) for r in held) >= 0.95 * len(held)
 
 
+def test_suffixes_are_counted_over_all_labelled_addresses(spark):
+    # Only the suffix tells the label, and few of the labelled addresses are drawn for the trees.
+    bad = lambda k: k * 7919 % 97 % 2
+    every = [(i, f"http://h{i % 20}.s{1000 + i // 20}.biz/p/{10000 + i}", bad(i // 20)) for i in range(6000)]
+    labelled = services(spark, [r for r in every if r[0] % 5])
+    rows = judge_services(services(spark, every), labelled, (), rows=400).collect()
+    held = [r for r in rows if r.layer_id % 5 == 0]
+    assert sum((r.verdict == "block") == bad(r.layer_id // 20) for r in held) >= 0.97 * len(held)
+
+
 def test_odd_services(spark):
     given = services(spark, [(1, None, 1), (1, None, 1), (None, "http://a.net/", 0), (2, "", None), (3, "u://h/" + "a?" * 30_000, 0)])
     rows = judge_services(given, given.limit(0), RULES).collect()
