@@ -16,8 +16,9 @@ from kerbline.llm.workers import ship_package
 UNDETERMINED = "und"
 # n-grams in a profile, and the longest of them.
 PROFILE = 300
-# Learning texts used, about; they are drawn by a hash of the text.
-LEARNING_ROWS = 20_000
+# Texts whose n-grams are merged at once, and n-grams a task holds before it hands counts on.
+MERGED_TEXTS = 512
+HELD_GRAMS = 1_000_000
 
 # Stands for everything between two words; above every character.
 _GAP = 0x110000
@@ -94,29 +95,39 @@ class Profiles:
 
 
 def language_profiles(
-    learning: DataFrame, text: str = "report", language: str = "language", size: int = PROFILE, rows: int = LEARNING_ROWS
+    learning: DataFrame, text: str = "report", language: str = "language", size: int = PROFILE
 ) -> DataFrame:
-    """(language, rank, code): the most frequent n-grams of each language's learning texts."""
+    """(language, rank, code): the most frequent n-grams of all learning texts of each language."""
     ship_package(learning.sparkSession)
     known = learning.select(F.col(language).alias("language"), F.col(text).alias("text")).dropna()
-    share = rows / max(rows, known.count())
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+    def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        return codes, np.bincount(where, np.concatenate([k for _, k in found])).astype(np.int64)
+
+    def handed(counts: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
+        for name, (codes, n) in counts.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
+                ["language", "code", "n"],
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[str, list] = {}
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(name, []).append(_grams(t))
-            for name, found in held.items():
-                codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([k for _, k in found])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
-                    ["language", "code", "n"],
-                )
+        counts: dict[str, tuple] = {}
+        for whole in batches:
+            for batch in (whole.slice(i, MERGED_TEXTS) for i in range(0, whole.num_rows, MERGED_TEXTS)):
+                held: dict[str, list] = {}
+                for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.setdefault(name, []).append(_grams(t))
+                for name, found in held.items():
+                    counts[name] = merged([*found, counts[name]] if name in counts else found)
+                if sum(len(codes) for codes, _ in counts.values()) > HELD_GRAMS:
+                    yield from handed(counts)
+                    counts = {}
+        yield from handed(counts)
 
     counts = (
-        drawn.mapInArrow(count, "language string, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
+        known.mapInArrow(count, "language string, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
     )
     # The window keeps the first rows of each language only, before and after the shuffle.
     order = Window.partitionBy("language").orderBy(F.desc("n"), "code")
@@ -132,7 +143,6 @@ def identify_languages(
     learning_text: str = "report",
     language: str = "language",
     size: int = PROFILE,
-    rows: int = LEARNING_ROWS,
     columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """The language of each whole report, out of those in ``learning``.
@@ -140,8 +150,8 @@ def identify_languages(
     Method: rank-order profiles. A profile lists the ``size`` most frequent
     n-grams (one to three letters, word borders included, lower-cased); a
     report's list is compared with each language's by the sum of the places its
-    n-grams are out of, ``size`` for a missing one. Profiles are learned from
-    about ``rows`` learning texts, drawn by a hash of the text.
+    n-grams are out of, ``size`` for a missing one. Profiles are counted over
+    all learning texts, so a language of few rows has its profile at any size.
 
     Returns per input row: ``key``, ``columns``, language_found, language_score (1: same list,
     0: nothing in common). The profiles (``size`` rows per language) are the only
@@ -155,7 +165,7 @@ def identify_languages(
     """
     spark = reports.sparkSession
     ship_package(spark)
-    learned = [(r["language"], r["rank"], r["code"]) for r in language_profiles(learning, learning_text, language, size, rows).collect()]
+    learned = [(r["language"], r["rank"], r["code"]) for r in language_profiles(learning, learning_text, language, size).collect()]
     profiles = spark.sparkContext.broadcast(Profiles.of(learned, size))
     rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != text]
     rows_in = reports.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *rest)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from kerbline.llm.language import _grams, identify_languages
+from kerbline.llm.language import _grams, identify_languages, language_profiles
 from kerbline.llm.queries import held_out, op8_toxicity, op9_language
 from kerbline.llm.records import live_reports
 from kerbline.llm.toxicity import BlockMaxIndex, score_toxicity
@@ -43,6 +43,21 @@ def test_language_of_odd_reports(spark):
     assert identify_languages(no_reports(spark), learning).count() == 0
 
 
+def test_a_rare_language_is_learned_from_all_its_texts(spark):
+    # Of 300,000 learning texts a third is one text, and three are of a language of their own.
+    learning = spark.range(300_000).select(
+        F.when(F.col("id") < 3, F.concat(F.lit("die straße ist an der brücke gesperrt "), F.col("id")))
+        .when(F.col("id") < 100_000, "the road is closed near the bridge")
+        .otherwise(F.concat(F.lit("a lane is shut at exit "), F.col("id")))
+        .alias("report"),
+        F.when(F.col("id") < 3, "de").otherwise("en").alias("language"),
+    )
+    given = spark.createDataFrame([(1, "die brücke ist gesperrt"), (2, "the lane is closed")], "event_id long, report string")
+    assert {r.event_id: r.language_found for r in identify_languages(given, learning).collect()} == {1: "de", 2: "en"}
+    profiles = language_profiles(learning).groupBy("language").count().collect()
+    assert {r.language for r in profiles} == {"de", "en"}
+
+
 def test_search_is_exact():
     rng = np.random.default_rng(2)
     dense = (rng.random((700, 30)) < 0.15) * rng.random((700, 30))
