@@ -17,10 +17,13 @@ from kerbline.llm.exactdup import exact_duplicates
 from kerbline.llm.language import identify_languages
 from kerbline.llm.neardup import near_duplicates
 from kerbline.llm.packing import pack_reports
+from kerbline.llm.search import search_reports
 from kerbline.llm.shard import shard_segments
+from kerbline.llm.spelling import name_words, spelling_variants
 from kerbline.llm.tokenfile import read_token_files, write_token_files
 from kerbline.llm.toxicity import score_toxicity
 from kerbline.llm.urls import UrlRule, judge_services, url_parts
+from kerbline.llm.vectordup import near_duplicate_segments
 
 SHARDS = 8
 
@@ -145,6 +148,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+# One run in so many loses a letter, as its check sum says.
+MISSPELT = 97
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = name_words(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+    mark = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")).cast("binary"))
+    place = F.pmod(F.col("mark"), F.char_length("word")).cast("int")
+    shorter = F.concat(F.expr("substring(word, 1, place)"), F.expr("substring(word, place + 2)"))
+    written = words.withColumn("mark", mark).withColumn("place", place)
+    written = written.select(F.when(F.pmod(F.col("mark"), F.lit(MISSPELT)) == 0, shorter).otherwise(F.col("word")).alias("word"))
+    return spelling_variants(written, word="word")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return search_reports(documents, benchmark, key="doc_id", text="text", query="item_id", query_text="text")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_segments(table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_shard": op2_shard,
@@ -156,4 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_search": op12_search,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
