@@ -1,10 +1,10 @@
-"""Column expressions for great-circle distance, bounding boxes, polylines and grid cells."""
+"""Great-circle distance, bounding boxes, polylines and grid cells."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: mean earth radius in metres.
@@ -95,16 +95,31 @@ def cell_of(lat: Column, lon: Column, radius_m: float) -> Column:
     return _cell_key(band, _column_of(lon, band, radius_m))
 
 
-def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
-    """The cells, nine at most, that hold every point within ``radius_m``."""
-    band = band_of(lat, radius_m)
+def with_cells_around(
+    df: DataFrame, lat: str, lon: str, radius_m: float, out: str = "cell"
+) -> DataFrame:
+    """``df`` once for each of the cells, nine at most, that hold every point within ``radius_m``.
+
+    Band, columns of the band and column of the point are computed once per band,
+    in projections of their own.
+    """
+    names = df.columns
+    bands = df.withColumn("_band", band_of(F.col(lat), radius_m))
+    steps = {k: F.col("_band") + F.lit(k).cast("long") for k in (-1, 0, 1)}
+    bands = bands.withColumns({f"_n{k}": _columns(b, radius_m) for k, b in steps.items()})
+    bands = bands.withColumns(
+        {f"_c{k}": F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * F.col(f"_n{k}")).cast("long"), F.col(f"_n{k}")) for k in steps}
+    )
     keys = []
-    for db in (-1, 0, 1):
-        b = band + F.lit(db).cast("long")
-        c = _column_of(lon, b, radius_m)
-        n = _columns(b, radius_m)
-        keys.extend(_cell_key(b, F.pmod(c + F.lit(dc).cast("long"), n)) for dc in (-1, 0, 1))
-    return F.array_distinct(F.array(*keys))
+    for k, b in steps.items():
+        c, n = F.col(f"_c{k}"), F.col(f"_n{k}")
+        left = F.when(c == 0, n - 1).otherwise(c - 1)
+        right = F.when(c == n - 1, F.lit(0).cast("long")).otherwise(c + 1)
+        keys.extend(_cell_key(b, x) for x in (left, c, right))
+    # Only round a pole a band has so few cells that left and right are the same.
+    wide = F.least(*[F.col(f"_n{k}") for k in steps]) >= 3
+    around = F.when(wide, F.array(*keys)).otherwise(F.array_distinct(F.array(*keys)))
+    return bands.select(*names, F.explode(around).alias(out))
 
 
 def subcell_xy(lat: Column, lon: Column, radius_m: float, splits: int) -> tuple[Column, Column]:

@@ -34,8 +34,7 @@ def distinct_points(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def _probe_cells(places: DataFrame, radius_m: float) -> DataFrame:
-    around = geo.cells_around(F.col("q_lat"), F.col("q_lon"), radius_m)
-    return places.select("q_lat", "q_lon", F.explode(around).alias("cell"))
+    return geo.with_cells_around(places.select("q_lat", "q_lon"), "q_lat", "q_lon", radius_m)
 
 
 def _pick_nearest(pairs: DataFrame, radius_m: float) -> DataFrame:
@@ -152,9 +151,15 @@ def nearest_places(
         "target_points",
     )
     crowded = F.col("count") > cell_cap
-    if points.count() > cell_cap and not points.groupBy("cell").count().where(crowded).isEmpty():
+    n_points = points.count()
+    if n_points > cell_cap and not points.groupBy("cell").count().where(crowded).isEmpty():
         return _nearest_through_boxes(places, points, radius_m, cell_cap)
-    probes = _probe_cells(places, radius_m)
+    # Being in reach is mutual, so the side with fewer rows is the one that is copied to nine cells.
+    if n_points < places.count():
+        probes = places.select("q_lat", "q_lon", geo.cell_of(F.col("q_lat"), F.col("q_lon"), radius_m).alias("cell"))
+        points = geo.with_cells_around(points.drop("cell"), "lat", "lon", radius_m)
+    else:
+        probes = _probe_cells(places, radius_m)
     return _pick_nearest(
         salted_join(probes, points, ["cell"], hot=hot_keys(probes, ["cell"], base=places)), radius_m
     )
@@ -209,10 +214,8 @@ def point_pairs_within(points: DataFrame, tol_m: float) -> DataFrame:
     ``points`` has distinct ``lat, lon``. A coordinate is matched against the
     later ones only and the result is mirrored.
     """
-    a = points.select(
-        F.col("lat").alias("a_lat"),
-        F.col("lon").alias("a_lon"),
-        F.explode(geo.cells_around(F.col("lat"), F.col("lon"), tol_m)).alias("cell"),
+    a = geo.with_cells_around(
+        points.select(F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")), "a_lat", "a_lon", tol_m
     )
     b = points.select(
         F.col("lat").alias("b_lat"),

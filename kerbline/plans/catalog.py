@@ -153,14 +153,20 @@ def records_json(spark, sf):
 
 @query
 def haversine(spark, sf):
-    """Segment lengths; each seventh end and each eleventh start lacks a coordinate."""
-    number = F.col("segment_id").cast("long")
-    end_lat = F.when(F.pmod(number, F.lit(7)) != 0, F.col("end_lat"))
-    start_lon = F.when(F.pmod(number, F.lit(11)) == 0, F.lit(float("nan"))).otherwise(F.col("start_lon"))
-    d = geo.haversine_m(F.col("start_lat"), start_lon, end_lat, F.col("end_lon"))
+    d = geo.haversine_m(F.col("start_lat"), F.col("start_lon"), F.col("end_lat"), F.col("end_lon"))
     return demo.segments(spark, sf).select("segment_id", F.round(d, 3).alias("length_m"))
 
 
+@query
+def haversine_missing(spark, sf):
+    """Distances of road points whose coordinates are partly missing or not a number: null."""
+    number = F.col("road_id")
+    lat = F.when(F.pmod(number, F.lit(7)) != 0, F.col("lat"))
+    lon = F.when(F.pmod(number, F.lit(11)) == 0, F.lit(float("nan"))).otherwise(F.col("lon"))
+    d = geo.haversine_m(lat, lon, F.lit(demo.BBOX["min_lat"]), F.lit(demo.BBOX["min_lon"]))
+    return demo.raw_roads(spark, sf).select("road_id", F.round(d, 3).alias("distance_m"))
+
+
 @query
 def sentinel_to_null(spark, sf):
     return demo.raw_roads(spark, sf).select(

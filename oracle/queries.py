@@ -217,8 +217,9 @@ _BODIES: dict[str, str] = {
       FROM customer JOIN raw_roads ON road_id = c_custkey""",
     "csv_round_trip": """SELECT road_id, county, StreetName AS "StreetName", SpeedLimit AS "SpeedLimit", FuncClass AS "FuncClass" FROM roads""",
     "records_json": """SELECT road_id, county, SpeedLimit AS "SpeedLimit", UrbanType AS "UrbanType", 4 AS n_keys FROM roads""",
-    "haversine": f"""SELECT segment_id, CASE WHEN segment_id::BIGINT % 7 <> 0 AND segment_id::BIGINT % 11 <> 0
-      THEN round({hav('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 3) END AS length_m FROM segments""",
+    "haversine": f"""SELECT segment_id, round({hav('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 3) AS length_m FROM segments""",
+    "haversine_missing": f"""SELECT road_id, CASE WHEN road_id % 7 <> 0 AND road_id % 11 <> 0
+      THEN round({hav('lat', 'lon', BBOX['min_lat'], BBOX['min_lon'])}, 3) END AS distance_m FROM raw_roads""",
     "sentinel_to_null": """SELECT road_id, nullif(SpeedLimit, 0) AS "SpeedLimit", nullif(DesignSpd, 0) AS "DesignSpd",
       nullif(ThruLaneCount, 0) AS "ThruLaneCount" FROM raw_roads""",
     "aadt_clean": "SELECT p::VARCHAR AS segment_id, CASE WHEN aadt > 0 THEN aadt END AS aadt FROM raw_seg",
