@@ -202,6 +202,66 @@ def topk_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def topk_stability(
+    matrix: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    base: DataFrame,
+    fits: Sequence[Sequence[Coefficient]],
+    k: int = 6,
+    self_weight: float = SELF_WEIGHT,
+    partial: bool = False,
+) -> DataFrame:
+    """``segment_id, explanation_confidence``: mean overlap of a segment's ``top_features``
+    in ``base`` with its top features under each of ``fits`` (raw weights).
+
+    All fits are applied inside the row; the graph is looked at once, however many
+    there are. A segment of ``base`` that is not in ``matrix`` overlaps with nothing.
+    """
+    features = list(dict.fromkeys(c.feature for coefs in fits for c in coefs))
+    gains = []
+    for coefs in fits:
+        by_hop = {(c.feature, c.hop): 0.0 for c in coefs}
+        for c in coefs:
+            by_hop[(c.feature, c.hop)] += c.w
+        gains.append(
+            F.array(*[F.struct(*[F.lit(float(by_hop.get((f, h), 0.0))).alias(f"g{h}") for h in (0, 1, 2)]) for f in features])
+        )
+    back = return_weight(nodes, edges, self_weight, partial).withColumnRenamed("node", "segment_id")
+    values = F.array(*[F.struct(F.lit(f).alias("n"), F.col(f).alias("v")) for f in features])
+    rows = matrix.join(back, "segment_id").select("segment_id", "back_1", "back_2", values.alias("values"))
+
+    def weighed(fit: Column) -> Column:
+        def one(v: Column, g: Column) -> Column:
+            gain = g["g0"] + g["g1"] * F.col("back_1") + g["g2"] * F.col("back_2")
+            return F.struct(v["n"].alias("n"), F.abs(gain * v["v"]).alias("c"))
+
+        return F.zip_with("values", fit, one)
+
+    def with_total(parts: Column) -> Column:
+        return F.struct(parts.alias("parts"), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["c"]).alias("total"))
+
+    def best(fit: Column) -> Column:
+        def place(x: Column) -> Column:
+            share = F.when(fit["total"] > 0, x["c"] / fit["total"]).otherwise(F.lit(0.0))
+            return F.struct((-F.round(share, 12)).alias("o"), x["n"].alias("n"))
+
+        return F.transform(F.slice(F.array_sort(F.transform(fit["parts"], place)), 1, k), lambda x: x["n"])
+
+    under = rows.select("segment_id", F.transform(F.array(*gains), weighed).alias("parts"))
+    under = under.select("segment_id", F.transform("parts", with_total).alias("fits"))
+    under = under.select("segment_id", F.transform("fits", best).alias("sets"))
+
+    def overlap(other: Column) -> Column:
+        union = F.size(F.array_union("own", other))
+        return F.when(union > 0, F.size(F.array_intersect("own", other)) / union).otherwise(F.lit(0.0))
+
+    own = base.select("segment_id", F.col("top_features.feature_name").alias("own"))
+    every = own.join(under, "segment_id", "left").select("segment_id", F.transform("sets", overlap).alias("overlaps"))
+    mean = F.aggregate("overlaps", F.lit(0.0), lambda a, x: a + x) / F.lit(float(len(fits)))
+    return every.select("segment_id", F.coalesce(mean, F.lit(0.0)).alias("explanation_confidence"))
+
+
 def poisson_weight(key: Column, run: int) -> Column:
     """Bootstrap weight of a row in one rerun: a Poisson(1) draw from a hash of its key."""
     u = F.pmod(F.xxhash64(key, F.lit(run)), F.lit(1_000_000)) / F.lit(1_000_000.0)

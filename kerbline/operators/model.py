@@ -64,14 +64,14 @@ def design(segments: DataFrame, edges: DataFrame, order: int = 2, include_target
     return diffusion_features(x, edges, cols, order).withColumnRenamed("node", "segment_id")
 
 
-def _column(coef: Coefficient) -> str:
+def column_of(coef: Coefficient) -> str:
     return coef.feature if coef.hop == 0 else f"{coef.feature}_h{coef.hop}"
 
 
 def linear_predictor(intercept: float, coefs: Sequence[Coefficient]) -> Column:
     eta = F.lit(float(intercept))
     for c in coefs:
-        eta = eta + F.lit(float(c.w)) * F.col(_column(c))
+        eta = eta + F.lit(float(c.w)) * F.col(column_of(c))
     return eta
 
 
@@ -168,8 +168,8 @@ def raw_coefficients(fit: PoissonFit) -> tuple[float, list[Coefficient]]:
     """Intercept and weights for the columns as they are, not standardised."""
     intercept, coefs = fit.intercept, []
     for c in fit.coefs:
-        w = c.w / fit.scaler[f"std_{_column(c)}"]
-        intercept -= w * fit.scaler[f"mean_{_column(c)}"]
+        w = c.w / fit.scaler[f"std_{column_of(c)}"]
+        intercept -= w * fit.scaler[f"mean_{column_of(c)}"]
         coefs.append(Coefficient(c.hop, c.feature, w))
     return intercept, coefs
 
@@ -178,7 +178,7 @@ def save_fit(spark: SparkSession, fit: PoissonFit, path: str) -> None:
     """The fit as a small table: one row per coefficient, the intercept without a feature."""
     rows = [(-1, None, None, fit.intercept, None, None)]
     for place, c in enumerate(fit.coefs):
-        name = _column(c)
+        name = column_of(c)
         rows.append((place, c.hop, c.feature, c.w, fit.scaler[f"mean_{name}"], fit.scaler[f"std_{name}"]))
     schema = "place int, hop int, feature string, w double, mean double, std double"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
@@ -189,8 +189,8 @@ def load_fit(spark: SparkSession, path: str) -> PoissonFit:
     coefs = [Coefficient(r.hop, r.feature, r.w) for r in rows[1:]]
     scaler = {}
     for r, c in zip(rows[1:], coefs, strict=True):
-        scaler |= {f"mean_{_column(c)}": r.mean, f"std_{_column(c)}": r.std}
-    return PoissonFit(rows[0].w, coefs, scaler, [_column(c) for c in coefs])
+        scaler |= {f"mean_{column_of(c)}": r.mean, f"std_{column_of(c)}": r.std}
+    return PoissonFit(rows[0].w, coefs, scaler, [column_of(c) for c in coefs])
 
 
 def score_equations(matrix: DataFrame, segments: DataFrame, fit: PoissonFit) -> DataFrame:

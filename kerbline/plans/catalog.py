@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, scalar
-from kerbline.operators import contract, disparity, explain, graph, model, profile, risk, stats, whatif
+from kerbline.operators import bootstrap, contract, disparity, explain, graph, model, profile, risk, stats, whatif
 from kerbline.operators.spatial import nearest_join
 from kerbline.plans import assemble, publish
 from kerbline.session import durable, new_path
@@ -686,9 +686,22 @@ def whatif_neighbor_mean(spark, sf):
 
 @query
 def explanation_confidence(spark, sf):
-    st, matrix, _, fit = _fitted(spark, sf)
+    st, matrix, split, fit = _fitted(spark, sf)
     base = durable(publish.top_of_fit(matrix, st.features, st.edges, fit, st.features), "base_top")
-    return publish.explanation_confidence(st.features, st.edges, base)
+    return publish.explanation_confidence(st.features, st.edges, base, matrix=matrix, fit=fit, split=split)
+
+
+@query
+def explanation_confidence_stored(spark, sf):
+    """Overlap of the top features with those under several stored sets of weights."""
+    st = demo.Stages.of(spark, sf)
+    path = new_path(spark, "coefficient-sets")
+    bootstrap.save_coefficient_sets(spark, demo.COEFFICIENT_SETS, path)
+    sets = bootstrap.load_coefficient_sets(spark, path)
+    base = explain.topk_nested(_attributed(spark, sf), 4)
+    matrix = model.model_matrix(st.features)
+    sure = explain.topk_stability(matrix, _nodes(st.features), st.edges, base, sets, 4)
+    return sure.select("segment_id", _r("explanation_confidence"))
 
 
 @query

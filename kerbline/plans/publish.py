@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators import explain, model, risk, whatif
+from kerbline.operators import bootstrap, explain, model, risk, whatif
 from kerbline.operators.model import Coefficient
 from kerbline.session import durable
 
@@ -105,7 +105,7 @@ def fit_and_publish(
 
     The model is stored as a coefficient table at ``model_path`` and everything
     after it uses what is read back. Only the ``n`` ranked segments are explained
-    and get a confidence, which is the overlap with refits on bootstrap weights.
+    and get a confidence, which is the overlap with one-step refits on bootstrap weights.
     """
     spark = features.sparkSession
     matrix = durable(model.design(features, edges, 2, include_target_history=False), "design")
@@ -114,7 +114,7 @@ def fit_and_publish(
     scores = durable(with_exposure(features, model.score_fit(matrix, fit), w_ems), "scores")
     wanted = durable(risk.priority_topn(scores, n).select("segment_id"), "ranked")
     top = durable(top_of_fit(matrix, features, edges, fit, wanted, k), "explained")
-    sure = explanation_confidence(features, edges, top, runs, k, matrix=matrix)
+    sure = explanation_confidence(features, edges, top, runs, k, matrix=matrix, fit=fit, split=split)
     _, raw = model.raw_coefficients(fit)
     listed = priority_list(scores, features, edges, raw, n, durable(sure, "confidence"))
     return FittedRun(scores, listed, top.join(sure, "segment_id", "left"), fit)
@@ -183,30 +183,30 @@ def explanation_confidence(
     base: DataFrame,
     runs: int = 3,
     k: int = 6,
-    max_iter: int = 10,
     matrix: DataFrame | None = None,
+    fit: model.PoissonFit | None = None,
+    split: Column | None = None,
+    steps: int = 1,
 ) -> DataFrame:
     """``segment_id, explanation_confidence``: mean overlap of the top-k feature set
-    over refits on bootstrap weights. ``matrix`` is the design if it is there already.
+    over refits on bootstrap weights of the training rows.
 
-    Weights come from a hash of the row key, so a rerun repeats them. ``base`` has
-    the top features of the fit on unweighted rows.
+    ``base`` has the top features of the fit on unweighted rows. ``matrix`` and
+    ``fit`` are the design and that fit if they are there already. All refits come
+    from ``steps`` passes over the rows and all overlaps from one plan, so the number
+    of jobs does not depend on ``runs``. Weights come from a hash of the row key, so
+    a rerun repeats them.
     """
     if matrix is None:
         matrix = durable(model.design(features, edges, include_target_history=False), "design")
-    split = F.lit("train")
-    overlaps = []
-    for run in range(1, runs + 1):
-        fit = model.fit_poisson(
-            matrix, features, split, explain.poisson_weight(F.col("segment_id"), run), max_iter
-        )
-        overlaps.append(
-            explain.topk_jaccard(base, top_of_fit(matrix, features, edges, fit, base, k))
-        )
-    stacked = overlaps[0]
-    for more in overlaps[1:]:
-        stacked = stacked.unionByName(more)
-    return stacked.groupBy("segment_id").agg(F.avg("jaccard").alias("explanation_confidence"))
+    split = F.lit("train") if split is None else split
+    if fit is None:
+        fit = model.fit_poisson(matrix, features, split)
+    refits = bootstrap.bootstrap_refits(matrix, features, fit, explain.poisson_weight, runs, split, steps)
+    own = matrix.join(base.select("segment_id").distinct(), "segment_id", "left_semi")
+    nodes = features.select(F.col("segment_id").alias("node"))
+    raw = [model.raw_coefficients(refit)[1] for refit in refits]
+    return explain.topk_stability(own, nodes, edges, base, raw, k)
 
 
 def top_of_fit(

@@ -35,6 +35,11 @@ COEFFICIENTS = (
     Coefficient(0, "county_code", 0.01),
     Coefficient(0, "ems_distance_m", 0.0001),
 )
+# Five sets near these weights: each weight is scaled by 0.2, 0.6, 1, 1.4 or 1.8.
+COEFFICIENT_SETS = [
+    [c._replace(w=c.w * (1 + 0.4 * ((7 * place + 3 * run) % 5 - 2))) for place, c in enumerate(COEFFICIENTS)]
+    for run in range(1, 6)
+]
 BBOX = {"min_lon": -80.9, "min_lat": 34.32, "max_lon": -80.55, "max_lat": 38.0}
 YEARS = (1996, 1997, 1998, 1999, 2000)
 

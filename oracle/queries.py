@@ -6,7 +6,7 @@ from kerbline.operators import contract
 from kerbline.operators.explain import NO_RULE, RULES
 from kerbline.operators.model import FEATURE_GROUPS
 from kerbline.operators.whatif import INTERVENTIONS
-from kerbline.sources.demo import BBOX, COEFFICIENTS, YEARS
+from kerbline.sources.demo import BBOX, COEFFICIENT_SETS, COEFFICIENTS, YEARS
 
 from oracle.views import FEATURES, hav, with_views
 
@@ -31,10 +31,10 @@ MEASURES = """count(*) AS n_segments, round(avg(risk_exposure), 6) AS mean_risk_
 
 # --- attribution --------------------------------------------------------------
 
-def _attribution(base: str) -> str:
+def _attribution(base: str, coefs=COEFFICIENTS) -> str:
     """Rows of every segment and feature; ``base`` is the value compared with."""
     by: dict[str, list] = {}
-    for c in COEFFICIENTS:
+    for c in coefs:
         by.setdefault(c.feature, []).append(c)
     group = {c: g for g, cols in FEATURE_GROUPS.items() for c in cols}
     passed = ("1.0::DOUBLE", "b.back_1", "b.back_2")
@@ -58,11 +58,11 @@ def _attribution(base: str) -> str:
       FROM parts"""
 
 
-def _topk(base: str = "zero", k: int = 6) -> str:
+def _topk(base: str = "zero", k: int = 6, coefs=COEFFICIENTS) -> str:
     return f"""
       SELECT segment_id, (row_number() OVER w)::INTEGER AS feature_rank, feature_name,
         round(importance, 4) AS importance, round(value, 4) AS value, modality
-      FROM ({_attribution(base)})
+      FROM ({_attribution(base, coefs)})
       WINDOW w AS (PARTITION BY segment_id ORDER BY round(importance, 12) DESC, feature_name)
       QUALIFY row_number() OVER w <= {k}"""
 
@@ -355,6 +355,11 @@ _BODIES: dict[str, str] = {
     "attribution": f"""SELECT segment_id, feature_name, modality, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution,
       round(importance, 6) AS importance FROM ({_attribution('zero')})""",
     "topk_features": _topk(),
+    "explanation_confidence_stored": f"""
+      SELECT a.segment_id, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS explanation_confidence
+      FROM (SELECT segment_id, list(feature_name) AS s FROM ({_topk('zero', 4)}) GROUP BY segment_id) a
+      JOIN ({" UNION ALL ".join(f"SELECT segment_id, list(feature_name) AS s FROM ({_topk('zero', 4, coefs)}) GROUP BY segment_id" for coefs in COEFFICIENT_SETS)}) b
+      USING (segment_id) GROUP BY a.segment_id""",
     "topk_jaccard": f"""
       SELECT a.segment_id, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard
       FROM (SELECT segment_id, list(feature_name) AS s FROM ({_topk('zero', 4)}) GROUP BY segment_id) a

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import explain, model, whatif
+from kerbline.operators import bootstrap, explain, model, whatif
 from kerbline.operators.model import Coefficient
 from kerbline.plans import publish
 
@@ -166,6 +166,82 @@ def test_bootstrap_weights_have_mean_one(spark):
     assert abs(row.m - 1) < 0.05 and abs(row.v - 1) < 0.08
 
 
+def drawn_rows(spark, n=1500):
+    rng = random.Random(5)
+    rows, k = [], []
+    for i in range(n):
+        x, y, aadt = rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(50, 400)
+        lam = aadt * math.exp(-5.0 + 0.8 * x - 0.5 * y)
+        rows.append((f"s{i}", x, y, 1.0))
+        k.append((f"s{i}", int(lam + rng.uniform(-1, 1) * math.sqrt(lam) + 0.5), aadt))
+    matrix = spark.createDataFrame(rows, "segment_id string, lane_count double, lane_count_h1 double, speed_limit_mph double")
+    return matrix, spark.createDataFrame(k, "segment_id string, pedcyclist_incident_count_5yr int, aadt_raw double")
+
+
+def jobs_of(spark, run):
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_one_step_refits_are_near_full_refits(spark):
+    matrix, segs = drawn_rows(spark)
+    split = F.when(F.crc32("segment_id") % 4 == 0, "test").otherwise("train")
+    fit = model.fit_poisson(matrix, segs, split)
+    one = bootstrap.bootstrap_refits(matrix, segs, fit, explain.poisson_weight, 3, split)
+    two = bootstrap.bootstrap_refits(matrix, segs, fit, explain.poisson_weight, 3, split, steps=2)
+    slopes = lambda f: {(c.hop, c.feature): c.w for c in model.raw_coefficients(f)[1]}
+    base = slopes(fit)
+    for r in (1, 2, 3):
+        want = slopes(model.fit_poisson(matrix, segs, split, explain.poisson_weight(F.col("segment_id"), r)))
+        moved = max(abs(base[c] - want[c]) for c in want)
+        assert moved > 1e-3
+        for found, share in ((one, 0.1), (two, 0.005)):
+            got = slopes(found[r - 1])
+            assert max(abs(got[c] - want[c]) for c in want if c[1] == "lane_count") < share * moved
+            # A column without variation stays without weight.
+            assert abs(got[(0, "speed_limit_mph")]) < 1e-6
+
+
+def test_jobs_of_the_confidence_do_not_depend_on_the_number_of_draws(spark):
+    feats, edges = chain(spark, 40)
+    matrix = model.design(feats, edges, include_target_history=False)
+    fit = model.fit_poisson(matrix, feats, F.lit("train"), reg=1e-3)
+    nodes = feats.select(F.col("segment_id").alias("node"))
+    base = explain.topk_nested(explain.attribution_arrays(model.model_matrix(feats), nodes, edges, COEFS), 2)
+    counts = set()
+    for runs in (2, 9):
+        sure = lambda runs=runs: publish.explanation_confidence(feats, edges, base, runs, 2, matrix, fit).collect()
+        rows, jobs = jobs_of(spark, sure)
+        assert len(rows) == 40
+        counts.add(jobs)
+    assert len(counts) == 1
+
+
+def test_stability_equals_overlaps_taken_one_by_one(spark, tmp_path):
+    feats, edges = chain(spark)
+    nodes = feats.select(F.col("segment_id").alias("node"))
+    matrix = model.model_matrix(feats)
+    bootstrap.save_coefficient_sets(spark, [COEFS, COEFS[:3], [c._replace(w=-c.w * (1 + c.hop)) for c in COEFS]], str(tmp_path / "sets"))
+    sets = bootstrap.load_coefficient_sets(spark, str(tmp_path / "sets"))
+    assert sets[1] == list(COEFS[:3])
+    base = explain.topk_nested(explain.attribution_arrays(matrix, nodes, edges, COEFS), 2)
+    names = lambda df: {r.segment_id: [f.feature_name for f in r.top_features] for r in df.collect()}
+    own = names(base)
+    # A set that lacks a feature gives it no weight.
+    full = [list(s) + [Coefficient(0, f, 0.0) for f in {c.feature for c in COEFS} - {c.feature for c in s}] for s in sets]
+    others = [names(explain.topk_nested(explain.attribution_arrays(matrix, nodes, edges, s), 2)) for s in full]
+    got = {r.segment_id: r.explanation_confidence for r in explain.topk_stability(matrix, nodes, edges, base, sets, 2).collect()}
+    for s, mine in own.items():
+        want = sum(len(set(mine) & set(o[s])) / len(set(mine) | set(o[s])) for o in others) / 3
+        assert got[s] == pytest.approx(want)
+    assert len(set(got.values())) > 1
+
+
 def test_priority_list_and_confidence(spark, sf_dir):
     from kerbline.plans.catalog import QUERIES
     from kerbline.sources.demo import Stages
