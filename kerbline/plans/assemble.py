@@ -12,8 +12,8 @@ from kerbline.operators.graph import (
     adjacency_proximity,
     edge_weights,
     induced_subgraph,
-    nearest_facility_distance,
 )
+from kerbline.operators.routing import nearest_facility_distance
 from kerbline.operators.skew import hot_keys, salted_join
 from kerbline.operators.spatial import count_nearest, nearest_join
 from kerbline.operators.stats import minmax

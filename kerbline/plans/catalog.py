@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, scalar
-from kerbline.operators import bootstrap, contract, disparity, explain, graph, model, profile, risk, stats, whatif
+from kerbline.operators import bootstrap, contract, disparity, explain, graph, model, profile, risk, routing, stats, whatif
 from kerbline.operators.spatial import nearest_join
 from kerbline.plans import assemble, publish
 from kerbline.session import durable, new_path
@@ -336,7 +336,7 @@ def ems_distance(spark, sf):
     st = demo.Stages.of(spark, sf)
     linked = durable(graph.adjacency_proximity(st.segments, assemble.ADJACENCY_TOL_M), "adjacency")
     weighted = durable(graph.edge_weights(linked, st.segments), "edges")
-    reach = graph.nearest_facility_distance(
+    reach = routing.nearest_facility_distance(
         _nodes(st.segments), weighted, assemble.facility_segments(st.segments, demo.stations(spark, sf))
     )
     return reach.select(F.col("node").alias("segment_id"), _r("dist_m", 3, "ems_distance_m"))

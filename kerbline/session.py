@@ -8,7 +8,8 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", app: str = "kerbline") -> SparkSession:
@@ -78,6 +79,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``durable`` and aggregates over the rows, gathered while they are written.
+
+    Without ``metrics`` it is the number of rows, as ``n``. No job of its own is run.
+    """
+    seen = Observation()
+    wanted = metrics or {"n": F.count(F.lit(1))}
+    held = durable(df.observe(seen, *[c.alias(k) for k, c in wanted.items()]), name)
+    return held, seen.get
+
+
 def together(spark: SparkSession, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
     """Submit independent steps at the same time, so that one fills the gaps of another."""
     with ThreadPoolExecutor(len(steps)) as pool:

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from kerbline.operators import graph, skew
+from kerbline import session
+from kerbline.operators import graph, routing, skew
 
 
 def seg(spark, rows):
@@ -52,7 +53,7 @@ def test_shorter_way_round_wins(spark, monkeypatch, min_rows):
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", min_rows)
     # A direct long edge, a way round in three short ones, a spur and a part that no station reaches.
     edges = edge_df(spark, [("a", "z", 90), ("a", "b", 7), ("b", "c", 11), ("c", "z", 13), ("z", "y", 5), ("m", "n", 1)])
-    dist = graph.nearest_facility_distance(node_df(spark, "abcyzmn"), edges, node_df(spark, "aq"))
+    dist = routing.nearest_facility_distance(node_df(spark, "abcyzmn"), edges, node_df(spark, "aq"))
     assert {r.node: r.dist_m for r in dist.collect()} == {"a": 0, "b": 7, "c": 18, "z": 31, "y": 36}
 
 
@@ -74,15 +75,68 @@ def test_distances_on_random_graph(spark):
         best[u] = d
         for v, w in nbr[u]:
             heapq.heappush(heap, (d + w, v))
-    got = graph.nearest_facility_distance(node_df(spark, names), edge_df(spark, und), node_df(spark, sources), 2)
+    got = routing.nearest_facility_distance(node_df(spark, names), edge_df(spark, und), node_df(spark, sources), 2)
     assert {r.node: pytest.approx(r.dist_m) for r in got.collect()} == best
 
 
+def ladder(n):
+    """Two parallel roads with a rung at every step: no node has two neighbours only, but the last."""
+    und = [(f"{side}{i:02d}", f"{side}{i + 1:02d}", 1) for i in range(n) for side in "ab"]
+    return und + [(f"a{i:02d}", f"b{i:02d}", 5) for i in range(n + 1)] + [(f"a{n:02d}", "z", 1), ("z", "y", 1)]
+
+
 def test_loop_raises_instead_of_returning_unsettled_distances(spark):
-    edges = edge_df(spark, [(f"{i:02d}", f"{i + 1:02d}", 1) for i in range(12)])
-    nodes = node_df(spark, [f"{i:02d}" for i in range(13)])
+    und = ladder(12)
+    names = {n for a, b, _ in und for n in (a, b)}
     with pytest.raises(RuntimeError):
-        graph.nearest_facility_distance(nodes, edges, node_df(spark, ["00"]), 2, max_hops=4)
+        routing.nearest_facility_distance(node_df(spark, names), edge_df(spark, und), node_df(spark, ["a06"]), 1, 2, max_rounds=4)
+    got = routing.nearest_facility_distance(node_df(spark, names), edge_df(spark, und), node_df(spark, ["a06"]))
+    dist = {r.node: r.dist_m for r in got.collect()}
+    assert dist["a00"] == 6 and dist["b00"] == 11 and dist["z"] == 7 and dist["y"] == 8 and len(dist) == len(names)
+
+
+def by_heap(und, sources):
+    nbr = {}
+    for a, b, w in und:
+        nbr.setdefault(a, []).append((b, w))
+        nbr.setdefault(b, []).append((a, w))
+    best, heap = {}, [(0.0, s) for s in sources]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in best:
+            best[u] = d
+            for v, w in nbr.get(u, ()):
+                heapq.heappush(heap, (d + w, v))
+    return best
+
+
+def test_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    und = [(f"c{i}", f"c{i + 1}", rng.randint(1, 9)) for i in range(10_000)]
+    # Rings without a crossing, one of them with a station, and a chain that returns to where it began.
+    for r in "uv":
+        und += [(f"{r}{i}", f"{r}{(i + 1) % 50}", 1) for i in range(50)]
+    und += [("c7", "w0", 2)] + [(f"w{i}", f"w{i + 1}", 2) for i in range(30)] + [("w30", "c7", 2), ("c7", "lone", 4)]
+    names = {n for a, b, _ in und for n in (a, b)}
+    sources = ["c0", "c6000", "v3"]
+    written = []
+    keep = session.durable
+    monkeypatch.setattr(session, "durable", lambda df, name: written.append(name) or keep(df, name))
+    got = routing.nearest_facility_distance(node_df(spark, names), edge_df(spark, und), node_df(spark, sources))
+    dist = {r.node: r.dist_m for r in got.collect()}
+    assert dist == by_heap(und, sources) and len(dist) == len(names) - 50
+    assert len([n for n in written if n.startswith(("ways", "reach"))]) < 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contraction_on_sparse_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(80)]
+    und = {tuple(sorted(rng.sample(names, 2))) for _ in range(85)}
+    und = [(a, b, rng.uniform(1, 100)) for a, b in sorted(und)]
+    sources = names[:2]
+    got = routing.nearest_facility_distance(node_df(spark, names), edge_df(spark, und), node_df(spark, sources))
+    assert {r.node: pytest.approx(r.dist_m) for r in got.collect()} == by_heap(und, sources)
 
 
 def dense_power(names, und, x, self_weight, order):
