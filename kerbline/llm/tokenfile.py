@@ -27,6 +27,8 @@ HAS_CHECKSUMS = 0x80
 
 # A frame closes once it holds so many identifiers; a document is never split.
 FRAME_IDS = 1 << 16
+# Characters by which the texts of one key are dealt to files.
+RANGE_CHARS = 16
 # Text bytes of the documents that one file should hold.
 FILE_BYTES = 32 << 20
 
@@ -211,9 +213,10 @@ def write_token_files(
                 }
             )
 
-    ordered = rows.repartitionByRange(files, F.col("key").asc_nulls_first()).sortWithinPartitions(
-        F.col("key").asc_nulls_first(), "text"
-    )
+    # Rows of one key, say those without any, are told apart by how their texts begin.
+    ordered = rows.repartitionByRange(
+        files, F.col("key").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS)
+    ).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     written = durable(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(write, MANIFEST), "token-manifest")
     # One row per file, not per document.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ def plain(name, texts):
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_give_the_same_tokens_as_whole_texts(spark, sf_dir, name):
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    encoder = TextEncoder(public_tokenizers.path(name), pieces=50, words=50)
+    encoder = TextEncoder(public_tokenizers.path(name), pieces=50, parts=50)
     assert encoder.encode(texts) == plain(name, texts)
     assert encoder.encode(texts[::-1]) == plain(name, texts[::-1])
 
@@ -40,6 +41,18 @@ def test_words_that_end_in_a_combining_mark_once_normalised(name):
     assert TextEncoder(public_tokenizers.path(name)).encode(texts) == plain(name, texts)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_drawn_texts_give_the_tokens_of_the_library(name):
+    draw = random.Random(11)
+    words = ["road", "Élan", "straße", "don't", "ÀÉ", "\u0130x", "e\u0301", "12", "a1b", "naïve", "\u0924\u0930\u095e", "日本", "x" * 400, "Œuvre", "ﬁn", "µ", "ª", "\x00", "a\x00b", "<|endoftext|>", "</w>", "Ġ"]
+    marks = ["", "", "", ".", ",", "?!", "-", "...", "'", "'s", "\u0301", ")", "_", "\n", ".\n", "\n\n", "\t"]
+    gaps = [" ", " ", " ", "  ", "\n", "", "\u00a0", " \n"]
+    texts = ["".join(draw.choice(words) + draw.choice(marks) + draw.choice(gaps) for _ in range(draw.randint(0, 25))) for _ in range(4000)]
+    encoder = TextEncoder(public_tokenizers.path(name))
+    for begin in range(0, len(texts), 500):
+        assert encoder.encode(texts[begin : begin + 500]) == plain(name, texts[begin : begin + 500])
+
+
 def test_token_files_round_trip(spark):
     given = odd_reports(spark, [(100 + i, f"report {i} " * (i + 1)) for i in range(60)])
     path = public_tokenizers.path(FILES[0])
