@@ -874,3 +874,37 @@ def overlay_redelivered(spark, sf):
     )
     running.awaitTermination()
     return live.current(spark, root).select("incident_id", "event_id", "event_type", "value", "county")
+
+
+def _received(spark, records, batches, **over) -> DataFrame:
+    """The snapshot of a stream that receives the records in so many batches, some of them late and twice."""
+    landed, root, state = (new_path(spark, n) for n in ("landed", "snapshot", "stream_state"))
+    number = F.pmod(F.col("event_id"), F.lit(batches))
+    # Every fifth record comes once more with another batch, older ones then follow newer ones.
+    again = records.where(F.pmod(F.col("event_id"), F.lit(5)) == 0)
+    sent = records.withColumn("file", number).unionByName(again.withColumn("file", F.pmod(number + 1, F.lit(batches))))
+    sent.repartition(batches, "file").drop("file").write.parquet(landed)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    live.start_overlay(stream, root, state, "incident_id", ["ts", "event_id"], ts="ts", **over).awaitTermination()
+    return live.current(spark, root).select("incident_id", "event_id", "event_type", "value", "county")
+
+
+@query
+def overlay_active(spark, sf):
+    """Incidents whose newest record does not end before the newest time of all; others have left."""
+    records = demo.overlay(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    hours = F.floor(F.col("value")).cast("int")
+    ended = records.withColumn("ended", F.timestamp_seconds(F.unix_seconds("ts") + hours * 3600))
+    return _received(spark, ended, 6, end="ended", retain_s=3650 * 86_400.0)
+
+
+@query
+def overlay_pulls(spark, sf):
+    """Records as daily pulls, received in several batches: what the newest pull lacks has left."""
+    records = demo.overlay(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    landed, root, state = (new_path(spark, n) for n in ("landed", "snapshot", "stream_state"))
+    pulled = records.withColumn("pull", F.date_trunc("day", "ts"))
+    pulled.repartition(6, "pull").write.parquet(landed)
+    stream = spark.readStream.schema(pulled.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    live.start_overlay(stream, root, state, "incident_id", ["ts", "event_id"], ts="ts", pull="pull", retain_s=3650 * 86_400.0).awaitTermination()
+    return live.current(spark, root).select("incident_id", "event_id", "event_type", "value", "county")

@@ -90,6 +90,14 @@ def durable_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame
     return held, seen.get
 
 
+def durable_at(df: DataFrame, path: str, by: str, metrics: dict[str, Column] | None = None) -> dict:
+    """Write ``df`` to ``path``, one folder per value of ``by``; returns aggregates over the rows, taken on the way."""
+    seen = Observation()
+    watched = df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df
+    watched.write.partitionBy(by).parquet(path)
+    return seen.get if metrics else {}
+
+
 def together(spark: SparkSession, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
     """Submit independent steps at the same time, so that one fills the gaps of another."""
     with ThreadPoolExecutor(len(steps)) as pool:

@@ -9,17 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kerbline.streaming.merged import latest_per_key, merge_deltas, read_merged
+
 # Complete versions that stay readable; older ones are removed after a new one is complete.
 KEPT_VERSIONS = 2
 
 
-def latest_per_key(records: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The newest record of each key. Partial maxima are taken before the shuffle."""
-    rest = [c for c in records.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
-    return records.groupBy(key).agg(newest).select(*[key if c == key else f"r.{c}" for c in records.columns])
-
-
 def overlay_counts(snapshot: DataFrame, county: str, event_type: str) -> DataFrame:
     return snapshot.groupBy(county, event_type).agg(F.count("*").alias("n"))
 
@@ -58,6 +53,9 @@ class _Versions:
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest complete version under ``root``, or None; other versions are not looked into."""
+    merged = read_merged(spark, root)
+    if merged is not None:
+        return merged
     versions = _Versions(spark, root)
     complete = versions.complete()
     return spark.read.parquet(versions.folder(complete[-1])) if complete else None
@@ -66,6 +64,9 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
 def merge_batches(root: str, key: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: merge the batch with the newest complete version into a new one.
 
+    For snapshots that are small against a batch; ``merged.merge_deltas`` writes the
+    batch only.
+
     Versions are numbered in the order they are begun, whatever the batch's own
     number, so a stream that starts anew on the same root goes on from what is
     there. A version left half written is never read. Taking the latest record
@@ -101,14 +102,21 @@ def start_overlay(
     ids: Sequence[str] = (),
     ts: str | None = None,
     delay: str = "1 hour",
+    end: str | None = None,
+    pull: str | None = None,
+    retain_s: float = 7 * 86_400.0,
 ) -> StreamingQuery:
-    """Keep the snapshot under ``root``. With ``ids`` and ``ts`` repeated deliveries are dropped first."""
+    """Keep the snapshot under ``root``, merged when it is read (``current``).
+
+    With ``ids`` and ``ts`` repeated deliveries are dropped first. With ``end`` or
+    ``pull`` incidents that are over leave the snapshot (see ``merge_deltas``).
+    """
     if ids:
         if ts is None:
             raise ValueError("dropping repeated deliveries needs the time column ts")
         stream = without_redelivery(stream, ids, ts, delay)
     return (
-        stream.writeStream.foreachBatch(merge_batches(root, key, order))
+        stream.writeStream.foreachBatch(merge_deltas(root, key, order, ts, end, pull, retain_s))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

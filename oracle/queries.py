@@ -396,6 +396,10 @@ _BODIES: dict[str, str] = {
     "overlay_snapshot": "SELECT incident_id, event_id, event_type, value, county FROM latest",
     "overlay_counts": "SELECT county, event_type, count(*) AS n FROM latest GROUP BY county, event_type",
     "overlay_stream": "SELECT incident_id, event_id, event_type, value, county FROM latest",
+    "overlay_active": """SELECT incident_id, event_id, event_type, value, county FROM latest
+      WHERE floor(epoch(ts)) + floor(value) * 3600 > (SELECT epoch(max(ts)) FROM overlay)""",
+    "overlay_pulls": """SELECT incident_id, event_id, event_type, value, county FROM latest
+      WHERE ts::DATE = (SELECT max(ts)::DATE FROM overlay)""",
     "overlay_redelivered": "SELECT incident_id, event_id, event_type, value, county FROM latest",
 }
 

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from kerbline.streaming import overlay
+from kerbline.streaming import merged, overlay
 
 SCHEMA = "event_id long, ts timestamp, incident_id long, event_type string"
 
@@ -88,3 +89,102 @@ def test_empty_snapshot_is_valid_and_overwrites(spark, tmp_path):
     assert stored.count() == 0 and "incident_id" in stored.columns
     assert overlay.overlay_counts(stored, "event_type", "event_type").count() == 0
     assert overlay.current(spark, str(tmp_path / "none")) is None
+
+
+def stamped(spark, rows):
+    """(event_id, seconds, incident_id, end in seconds, pull)"""
+    df = spark.createDataFrame(rows, "event_id long, s long, incident_id long, e long, pull int")
+    return df.select("event_id", F.timestamp_seconds("s").alias("ts"), "incident_id", F.timestamp_seconds("e").alias("ended"), "pull")
+
+
+ORDER = ["ts", "event_id"]
+
+
+def served(spark, root):
+    return {r.incident_id: r.event_id for r in overlay.current(spark, root).collect()}
+
+
+@pytest.mark.parametrize("deltas", [2, 3, 100])
+def test_merge_on_read_with_ends_equals_replay(spark, tmp_path, deltas):
+    rng, root = random.Random(deltas), str(tmp_path / "m")
+    write = merged.merge_deltas(root, "incident_id", ORDER, "ts", "ended", retain_s=1000.0, buckets=3, deltas=deltas)
+    sent, newest, event = {}, 0, 0
+    for number in range(9):
+        rows = []
+        for _ in range(30):
+            s = 10_000 + 100 * number + rng.randrange(-900, 100)
+            rows.append((event, s, rng.randrange(25), rng.choice([None, s + 50, s + 5000]), 0))
+            event += 1
+        again = rng.sample(list(sent.values()), 5) if sent else []
+        write(stamped(spark, rows + again), number)
+        for r in rows + again:
+            if not sent or r[1] >= newest - 1000:  # others come too late
+                key = (r[1], r[0])
+                if r[2] not in sent or key > (sent[r[2]][1], sent[r[2]][0]):
+                    sent[r[2]] = r
+        newest = max([newest, *(r[1] for r in rows)])
+        want = {i: r[0] for i, r in sent.items() if r[3] is None or r[3] > newest}
+        assert served(spark, root) == want
+    write(stamped(spark, rows), 8)
+    assert served(spark, root) == want
+
+
+def test_late_record_of_an_ended_incident_does_not_revive_it(spark, tmp_path):
+    root = str(tmp_path / "m")
+    write = merged.merge_deltas(root, "incident_id", ORDER, "ts", "ended", buckets=2, deltas=2)
+    write(stamped(spark, [(1, 100, 7, None, 0), (2, 100, 8, None, 0)]), 0)
+    write(stamped(spark, [(3, 300, 7, 300, 0)]), 1)
+    assert served(spark, root) == {8: 2}
+    for number in range(2, 7):
+        write(stamped(spark, [(4, 200, 7, None, 0)]), number)
+        assert served(spark, root) == {8: 2}
+    write(stamped(spark, [(9, 400, 7, None, 0)]), 7)
+    assert served(spark, root) == {7: 9, 8: 2}
+
+
+def test_incidents_absent_from_the_newest_pull_leave(spark, tmp_path):
+    root = str(tmp_path / "m")
+    write = merged.merge_deltas(root, "incident_id", ORDER, "ts", pull="pull", buckets=2, deltas=2)
+    write(stamped(spark, [(1, 10, 1, None, 9), (2, 10, 2, None, 9)]), 0)
+    assert served(spark, root) == {1: 1, 2: 2}
+    write(stamped(spark, [(3, 20, 2, None, 10), (4, 20, 3, None, 10)]), 1)
+    assert served(spark, root) == {2: 3, 3: 4}
+    # The older pull once more, late.
+    write(stamped(spark, [(1, 10, 1, None, 9), (2, 10, 2, None, 9)]), 2)
+    assert served(spark, root) == {2: 3, 3: 4}
+
+
+def test_a_batch_writes_in_proportion_and_readers_keep_their_version(spark, tmp_path):
+    root = str(tmp_path / "m")
+    write = merged.merge_deltas(root, "incident_id", ORDER, buckets=4, deltas=3)
+    first = spark.range(40_000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id as incident_id", "uuid() as event_type")
+    data = lambda: {p: p.stat().st_size for p in (tmp_path / "m" / "data").rglob("*.parquet")}
+    write(first, 0)
+    base = sum(data().values())
+    held, most, total = None, 0, 0
+    for number in range(1, 9):
+        before = data()
+        batch = spark.range(40).selectExpr(f"id + {100_000 * number} as event_id", f"timestamp_seconds({100_000 * number} + id) as ts", "id * 7 as incident_id", "uuid() as event_type")
+        write(batch, number)
+        new = sum(size for p, size in data().items() if p not in before)
+        most, total = max(most, new), total + new
+        if number == 2:
+            held = overlay.current(spark, root)
+            want = {tuple(r) for r in held.collect()}
+        if number == 4:  # compaction has run since
+            assert {tuple(r) for r in held.collect()} == want
+    assert most < 0.05 * base
+    assert overlay.current(spark, root).count() == 40_000
+    assert overlay.current(spark, root).where("event_id >= 800000").count() == 40
+
+
+def test_second_writer_is_refused_and_an_empty_batch_is_a_version(spark, tmp_path):
+    root = str(tmp_path / "m")
+    write = merged.merge_deltas(root, "incident_id", ORDER)
+    write(records(spark).limit(0), 0)
+    assert overlay.current(spark, root).count() == 0 and "incident_id" in overlay.current(spark, root).columns
+    store = merged._Store(spark, root)
+    with pytest.raises(RuntimeError):
+        store.commit(store.newest())
+    with pytest.raises(ValueError):
+        merged.merge_deltas(root, "incident_id", ORDER, end="ended")
