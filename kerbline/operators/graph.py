@@ -179,48 +179,94 @@ def diffuse(
     return out
 
 
-def diffuse_at_places(
-    values: DataFrame, places: Places, cols: Sequence[str], self_weight: float = SELF_WEIGHT
-) -> DataFrame:
-    """``A x`` without the edge list, for graphs with very large intersections.
+class PlaceSums(NamedTuple):
+    """The adjacency in factors: which places nodes reach, end at, and would be counted twice at."""
 
-    The neighbours' sum is the sum over the places a segment reaches, less what was
-    counted at two of them (segments with both ends there) and less its own value.
-    Sums are taken per place and per pair of ends, never per pair of segments.
-    """
-    x = values.select("node", *cols, F.lit(1.0).alias("_one"))
-    totals = [*cols, "_one"]
-    at = places.at.join(x, "node")
-    per_place = at.groupBy("place").agg(*[F.sum(c).alias(c) for c in totals])
-    both = (
-        places.at.groupBy("node")
-        .agg(F.min("place").alias("p"), F.max("place").alias("q"))
-        .where(F.col("p") < F.col("q"))
-        .join(x, "node")
-        .groupBy("p", "q")
-        .agg(*[F.sum(-F.col(c)).alias(c) for c in totals])
-    )
-    reach = places.reach.join(values.select("node"), "node", "left_semi")
-    once = salted_join(reach, per_place, ["place"], hot=hot_keys(reach, ["place"], base=places.reach)).select("node", *totals)
-    # Pairs among the few places one segment reaches, looked up in the pairs that exist.
+    at: DataFrame
+    reach: DataFrame
+    ends: DataFrame
+    twice: DataFrame
+
+
+def place_sums(nodes: DataFrame, places: Places) -> PlaceSums:
+    """Tables for ``neighbour_sums`` over the subgraph of ``nodes``; they grow with the nodes, not with pairs."""
+    at = durable(places.at.join(nodes.select("node"), "node", "left_semi"), "at")
+    reach = durable(places.reach.join(nodes.select("node"), "node", "left_semi"), "in-reach")
+    ends = durable(at.groupBy("node").agg(F.min("place").alias("p"), F.max("place").alias("q")), "ends")
+    spans = ends.where(F.col("p") < F.col("q")).select("p", "q").distinct()
+    # Pairs among the few places one node reaches, as far as some node has its ends there.
     p, q = reach.select("node", F.col("place").alias("p")), reach.select("node", F.col("place").alias("q"))
     pairs = p.join(q, "node").where(F.col("p") < F.col("q"))
-    twice = salted_join(pairs, both, ["p", "q"], hot=hot_keys(pairs, ["p", "q"])).select("node", *totals)
-    own = x.select("node", *[(F.col(c) * F.lit(self_weight - 1.0)).alias(c) for c in totals])
-    summed = once.unionByName(twice).unionByName(own).groupBy("node").agg(*[F.sum(c).alias(c) for c in totals])
-    return summed.select("node", *[(F.col(c) / F.col("_one")).alias(c) for c in cols])
+    twice = salted_join(pairs, spans, ["p", "q"], "left_semi", hot_keys(pairs, ["p", "q"], base=reach))
+    return PlaceSums(at, reach, ends, durable(twice, "twice"))
+
+
+def neighbour_sums(values: DataFrame, sums: PlaceSums, cols: Sequence[str]) -> DataFrame:
+    """``node`` and per column the sum over its neighbours, without a list of them.
+
+    The sum over the places a node reaches, less what was counted at two of them
+    (nodes with both ends there), less its own value. Nodes without a place are left out.
+    """
+    x = values.select("node", *cols)
+    per_place = sums.at.join(x, "node").groupBy("place").agg(*[F.sum(c).alias(c) for c in cols])
+    own = sums.ends.join(x, "node").select("node", "p", "q", *[(-F.col(c)).alias(c) for c in cols])
+    both = own.where(F.col("p") < F.col("q")).groupBy("p", "q").agg(*[F.sum(c).alias(c) for c in cols])
+    once = salted_join(sums.reach, per_place, ["place"], hot=hot_keys(sums.reach, ["place"], base=sums.reach))
+    again = salted_join(sums.twice, both, ["p", "q"], hot=hot_keys(sums.twice, ["p", "q"], base=sums.twice))
+    parts = [t.select("node", *cols) for t in (once, again, own)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("node").agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def diffuse_at_places(
+    values: DataFrame, places: Places, cols: Sequence[str], order: int = 1, self_weight: float = SELF_WEIGHT
+) -> list[DataFrame]:
+    """``[A x, A^2 x, ...]`` without the edge list, for graphs with very large intersections."""
+    sums = place_sums(values, places)
+    current, out = values.select("node", *cols), []
+    for k in range(1, order + 1):
+        x = current.withColumn("_one", F.lit(1.0))
+        totals = [*cols, "_one"]
+        own = x.select("node", *[(F.col(c) * F.lit(float(self_weight))).alias(c) for c in totals])
+        every = neighbour_sums(x, sums, totals).unionByName(own)
+        summed = every.groupBy("node").agg(*[F.sum(c).alias(c) for c in totals])
+        current = summed.select("node", *[(F.col(c) / F.col("_one")).alias(c) for c in cols])
+        if k < order:
+            current = durable(current, f"hop_{k}")
+        out.append(current)
+    return out
+
+
+def return_weight_at_places(nodes: DataFrame, places: Places, self_weight: float = SELF_WEIGHT) -> DataFrame:
+    """``node, back_1, back_2`` as ``return_weight`` gives them, without the edge list.
+
+    The diagonal of ``A^2`` needs the sum of 1 / total over a node's neighbours, which is
+    one more sum over places.
+    """
+    sums = place_sums(nodes, places)
+    ones = nodes.select("node", F.lit(1.0).alias("n"))
+    degrees = nodes.select("node").join(neighbour_sums(ones, sums, ["n"]), "node", "left")
+    total = F.coalesce("n", F.lit(0.0)) + F.lit(float(self_weight))
+    totals = durable(degrees.select("node", total.alias("total"), (1 / total).alias("inv")), "totals")
+    around = neighbour_sums(totals, sums, ["inv"]).withColumnRenamed("inv", "around")
+    one = self_weight / F.col("total")
+    back_2 = one * one + F.coalesce("around", F.lit(0.0)) / F.col("total")
+    return totals.join(around, "node", "left").select("node", one.alias("back_1"), back_2.alias("back_2"))
 
 
 def diffusion_features(
     values: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Places,
     cols: Sequence[str],
     order: int = 2,
     self_weight: float = SELF_WEIGHT,
 ) -> DataFrame:
-    """``x`` next to ``A x .. A^order x``; columns of hop k are named ``<col>_h<k>``."""
+    """``x`` next to ``A x .. A^order x``; columns of hop k are named ``<col>_h<k>``.
+
+    The graph is an edge list or, for very large intersections, its places.
+    """
+    along = diffuse_at_places if isinstance(edges, Places) else diffuse
     wide = values.select("node", *cols)
-    for k, hop in enumerate(diffuse(values, edges, cols, order, self_weight), start=1):
+    for k, hop in enumerate(along(values, edges, cols, order, self_weight), start=1):
         wide = wide.join(hop.withColumnsRenamed({c: f"{c}_h{k}" for c in cols}), "node")
     return wide
 
@@ -256,14 +302,18 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def return_weight(
-    nodes: DataFrame, edges: DataFrame, self_weight: float = SELF_WEIGHT, partial: bool = False
+    nodes: DataFrame, edges: DataFrame | Places, self_weight: float = SELF_WEIGHT, partial: bool = False
 ) -> DataFrame:
     """``node, back_1, back_2``: diagonals of ``A`` and ``A^2`` for ``nodes``.
 
     What share of its own value a segment gets back after one and two hops. With
     ``partial``, ``nodes`` is a small part of the graph and only the edges next to
-    it are followed.
+    it are followed. With places instead of edges, ``nodes`` are all of the graph's.
     """
+    if isinstance(edges, Places):
+        if partial:
+            raise ValueError("a part of the graph is followed along its edges")
+        return return_weight_at_places(nodes, edges, self_weight)
     counted = nodes.select("node")
     if partial:
         edges_in = durable(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges_in")

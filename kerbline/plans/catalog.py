@@ -373,17 +373,27 @@ def graph_diffusion_k2(spark, sf):
     return _diffused(spark, sf, 2)
 
 
-@query
-def graph_diffusion_places(spark, sf):
-    """One hop as in ``graph_diffusion_k1``, from shared places instead of edges."""
+def _at_places(spark, sf, order: int) -> DataFrame:
     st = demo.Stages.of(spark, sf)
     cols = [c for _, c in model.present_features(st.features)]
     x = durable(model.model_matrix(st.features).withColumnRenamed("segment_id", "node"), "matrix")
     places = graph.places_proximity(st.features, assemble.ADJACENCY_TOL_M)
-    hop = graph.diffuse_at_places(x, places, cols)
+    hop = graph.diffuse_at_places(x, places, cols, order)[-1]
     return hop.select(F.col("node").alias("segment_id"), *[_r(c) for c in cols])
 
 
+@query
+def graph_diffusion_places(spark, sf):
+    """One hop as in ``graph_diffusion_k1``, from shared places instead of edges."""
+    return _at_places(spark, sf, 1)
+
+
+@query
+def graph_diffusion_places_k2(spark, sf):
+    """Two hops as in ``graph_diffusion_k2``, from shared places instead of edges."""
+    return _at_places(spark, sf, 2)
+
+
 @query
 def khop_neighbors(spark, sf):
     st = demo.Stages.of(spark, sf)
@@ -642,6 +652,15 @@ def attribution(spark, sf):
     )
 
 
+@query
+def attribution_places(spark, sf):
+    """The same contributions, what returns through the graph taken from shared places."""
+    st = demo.Stages.of(spark, sf)
+    places = graph.places_proximity(st.features, assemble.ADJACENCY_TOL_M)
+    rows = explain.attribution(model.model_matrix(st.features), _nodes(st.features), places, demo.COEFFICIENTS)
+    return rows.select("segment_id", "feature_name", "modality", _r("value"), _r("contribution"), _r("importance"))
+
+
 @query
 def topk_features(spark, sf):
     return explain.topk_features(_attributed(spark, sf))

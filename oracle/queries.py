@@ -258,6 +258,7 @@ _BODIES: dict[str, str] = {
     "graph_diffusion_k1": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h1",
     "graph_diffusion_k2": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h2",
     "graph_diffusion_places": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h1",
+    "graph_diffusion_places_k2": f"SELECT segment_id, {_rounded(*FEATURES)} FROM h2",
     "khop_neighbors": """
       WITH two AS (SELECT DISTINCT a.src AS target, b.dst AS node FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src <> b.dst)
       SELECT src AS target, dst AS node, 1 AS hop FROM edges
@@ -354,6 +355,8 @@ _BODIES: dict[str, str] = {
         segment_id, segment_name, county, rural_flag, round(risk_exposure, 6) AS risk_exposure FROM top""",
     "attribution": f"""SELECT segment_id, feature_name, modality, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution,
       round(importance, 6) AS importance FROM ({_attribution('zero')})""",
+    "attribution_places": f"""SELECT segment_id, feature_name, modality, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution,
+      round(importance, 6) AS importance FROM ({_attribution('zero')})""",
     "topk_features": _topk(),
     "explanation_confidence_stored": f"""
       SELECT a.segment_id, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS explanation_confidence

@@ -2,6 +2,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline import session
 from kerbline.operators import graph, routing, skew
@@ -181,9 +182,13 @@ def test_place_diffusion_equals_edge_diffusion_at_a_hub(spark, monkeypatch):
     segs = spark.createDataFrame(hub_segments(), "segment_id string, from_id string, to_id string")
     values = segs.selectExpr("segment_id as node", "cast(pmod(hash(segment_id), 17) as double) as v")
     places = graph.places_exact(segs)
-    want = graph.diffuse(values, graph.edges_of(places), ["v"], 1)[0].collect()
-    got = graph.diffuse_at_places(values, places, ["v"]).collect()
-    assert {r.node: pytest.approx(r.v) for r in got} == {r.node: r.v for r in want}
+    edges = graph.edges_of(places)
+    for want, got in zip(graph.diffuse(values, edges, ["v"], 2), graph.diffuse_at_places(values, places, ["v"], 2), strict=True):
+        got = got.collect()
+        assert {r.node: pytest.approx(r.v) for r in got} == {r.node: r.v for r in want.collect()}
+    nodes = values.select("node")
+    back = {r.node: pytest.approx((r.back_1, r.back_2)) for r in graph.return_weight(nodes, edges).collect()}
+    assert {r.node: (r.back_1, r.back_2) for r in graph.return_weight(nodes, places).collect()} == back
     assert len(got) == 72
 
 
@@ -197,9 +202,33 @@ def test_place_diffusion_for_proximity(spark):
     segs = seg(spark, rows)
     values = segs.selectExpr("segment_id as node", "start_lat * 1000 - 35000 as v")
     places = graph.places_proximity(segs, 25.0)
-    want = graph.diffuse(values, graph.edges_of(places), ["v"], 1)[0].collect()
-    got = graph.diffuse_at_places(values, places, ["v"]).collect()
-    assert {r.node: pytest.approx(r.v) for r in got} == {r.node: r.v for r in want}
+    edges = graph.edges_of(places)
+    for want, got in zip(graph.diffuse(values, edges, ["v"], 2), graph.diffuse_at_places(values, places, ["v"], 2), strict=True):
+        got = got.collect()
+        assert {r.node: pytest.approx(r.v) for r in got} == {r.node: r.v for r in want.collect()}
+    nodes = values.select("node")
+    back = {r.node: pytest.approx((r.back_1, r.back_2)) for r in graph.return_weight(nodes, edges).collect()}
+    assert {r.node: (r.back_1, r.back_2) for r in graph.return_weight(nodes, places).collect()} == back
+
+
+def test_a_very_large_intersection_makes_no_pairs(spark, monkeypatch):
+    # All 100,000 segments meet at one place; their pairs would be 10^10 rows.
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 20_000)
+    n = 100_000
+    segs = spark.range(n).selectExpr("cast(id as string) as segment_id", "'HUB' as from_id", "concat('j', id) as to_id")
+    values = segs.selectExpr("segment_id as node", "cast(pmod(cast(segment_id as long), 10) as double) as v")
+    places = graph.places_exact(segs)
+    one, two = graph.diffuse_at_places(values, places, ["v"], 2)
+    total = 4.5 * n
+    first = {v: (total + v) / (n + 1) for v in range(10)}
+    rows = one.join(values.withColumnRenamed("v", "x"), "node").groupBy("x").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    assert {r.x: (r.lo, r.hi) for r in rows} == {v: (pytest.approx(y), pytest.approx(y)) for v, y in first.items()}
+    total = sum(first.values()) * n / 10
+    rows = two.join(values.withColumnRenamed("v", "x"), "node").groupBy("x").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    assert {r.x: (r.lo, r.hi) for r in rows} == {v: (pytest.approx((total + y) / (n + 1)),) * 2 for v, y in first.items()}
+    back = graph.return_weight(values.select("node"), places).select("back_1", "back_2").distinct().collect()
+    assert len({(round(r.back_1, 12), round(r.back_2, 15)) for r in back}) == 1
+    assert back[0].back_2 == pytest.approx((2 / (n + 1)) ** 2 + (n - 1) / (n + 1) ** 2)
 
 
 def test_khop_row_norm_and_induced(spark):
