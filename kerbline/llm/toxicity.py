@@ -15,14 +15,15 @@ from kerbline.llm.workers import ship_package
 from kerbline.session import durable
 
 # Labelled examples used, about; they are drawn by a hash of the key and the text.
-EXAMPLES = 20_000
-# Terms of the vectors: those most associated with the label, above a chi-square of chance.
-TERMS = 2048
+EXAMPLES = 2_500
+# Words associated with the label above a chi-square of chance, in at least so many examples,
+# count in full; every other word of the examples counts as well, with this share of its weight.
 LEAST_CHI_SQUARE = 30.0
 LEAST_EXAMPLES = 5
+ORDINARY = 0.1
 NEIGHBOURS = 15
-BLOCK = 64
-# Blocks scored at once before the bounds are looked at again.
+BLOCK = 256
+# Blocks scored at once before the bounds are looked at again; each time twice as many.
 STRIDE = 4
 
 
@@ -38,7 +39,7 @@ def _term_counts(words: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Weights:
-    """Terms (sorted keys) and their inverse document frequencies."""
+    """Terms (sorted keys) and their weights: inverse document frequency times what the label says."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -89,34 +90,51 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in kept]) if kept else np.zeros(0)
         entry = np.repeat(np.arange(self.size), sizes)
         by_term = np.lexsort((entry, term))
-        self._entry, self._weight, term = entry[by_term], weight[by_term], term[by_term]
+        self._entry, self._weight, term = entry[by_term].astype(np.int32), weight[by_term], term[by_term]
+        # A cell is a term in a block: where its entries begin, its block and its largest weight.
         cell = term * max(1, self.blocks) + self._entry // BLOCK
-        self._from = np.searchsorted(cell, np.arange(terms * max(1, self.blocks) + 1)).astype(np.int32)
-        self._most = np.zeros((terms, max(1, self.blocks)))
-        np.maximum.at(self._most.reshape(-1), cell, self._weight)
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self._from = np.append(first, len(cell))
+        self._block = (cell[first] % max(1, self.blocks)).astype(np.int32)
+        self._most = np.maximum.reduceat(self._weight, first) if len(first) else np.zeros(0)
+        self._cells = np.searchsorted(term[first], np.arange(terms + 1))
 
     def search(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k nearest, nearest first; equal cosines by entry. Only cosines above 0."""
-        bounds = weight @ self._most[term]
+        cell, many = _ranges(self._cells[term], self._cells[term + 1])
+        block, each = self._block[cell], np.repeat(weight, many)
+        bounds = np.bincount(block, each * self._most[cell], max(1, self.blocks))
         order = np.argsort(-bounds, kind="stable")
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for begin in range(0, len(order), STRIDE):
+        begin, stride = 0, STRIDE
+        while begin < len(order):
             least = cosine[-1] if len(cosine) == k else 0.0
-            blocks = order[begin : begin + STRIDE]
+            blocks = order[begin : begin + stride]
             blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-12)]
             if not len(blocks):
                 break
-            cells = (term[:, None] * self.blocks + blocks[None, :]).reshape(-1)
-            low, many = self._from[cells], self._from[cells + 1] - self._from[cells]
-            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-            found, where = np.unique(self._entry[at], return_inverse=True)
-            scores = np.bincount(where, self._weight[at] * np.repeat(np.repeat(weight, len(blocks)), many))
-            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, scores])
+            begin, stride = begin + stride, 2 * stride
+            chosen = np.zeros(len(bounds), bool)
+            chosen[blocks] = True
+            now = np.flatnonzero(chosen[block])
+            at, inside = _ranges(self._from[cell[now]], self._from[cell[now] + 1])
+            scores = np.bincount(self._entry[at], self._weight[at] * np.repeat(each[now], inside), self.size)
+            found = np.flatnonzero(scores)
+            if len(found) > 2 * k:
+                floor = np.partition(scores[found], len(found) - k)[len(found) - k]
+                found = found[scores[found] >= floor]
+            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, scores[found]])
             top = np.lexsort((best, -cosine))[:k]
             best, cosine = best[top], cosine[top]
         return best, np.minimum(cosine, 1.0)
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one after another, and the length of each."""
+    many = end - begin
+    return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum()), many
+
+
 def _strongest(vector: tuple[np.ndarray, np.ndarray]) -> tuple:
     term, weight = vector
     return (int(term[np.argmax(weight)]), len(term)) if len(term) else (-1, 0)
@@ -149,24 +167,25 @@ def score_toxicity(
     text: str = "report",
     label: str = "toxic",
     examples: int = EXAMPLES,
-    terms: int = TERMS,
+    ordinary: float = ORDINARY,
     neighbours: int = NEIGHBOURS,
 ) -> DataFrame:
     """Scores every whole report by its nearest labelled examples.
 
     ``labelled`` has ``key``, ``text`` and ``label`` (1: toxic, 0: not). Method:
-    about ``examples`` of its rows are drawn by a hash. Words associated with the
-    label in them (chi-square at least ``LEAST_CHI_SQUARE``, the ``terms``
-    strongest) span the vectors; inverse document frequencies come from all
-    reports. The ``neighbours`` nearest distinct example vectors by exact cosine
-    come from a block-max inverted index, whose size these parameters bound, and
-    vote with weight cosine / (1.05 - cosine) and their numbers of examples.
+    about ``examples`` of its rows are drawn by a hash, and all their words span the
+    vectors. A word weighs its inverse document frequency over all reports, in full
+    if it is associated with the label (chi-square at least ``LEAST_CHI_SQUARE``)
+    and else the share ``ordinary`` of it. The ``neighbours`` nearest distinct
+    example vectors by exact cosine come from a block-max inverted index, whose
+    size the number of examples bounds, and vote with weight cosine / (1.05 -
+    cosine) and their numbers of examples.
 
     Returns per input row: ``key``, score (0 to 1), predicted (1 if score >= 0.5),
     evidence (array of example, cosine, share: the key of one example of the
     neighbour and its share of toxic ones; nearest first).
 
-    Edge cases: a report without any term, as a null or empty one, gets the share
+    Edge cases: a report without any word of the examples, as a null or empty one, gets the share
     of toxic ones among examples without any; 0 if nothing could be learned.
     Equal cosines go by the order of the index. Rows without a label or text
     teach nothing; a key may repeat. Other columns are ignored.
@@ -175,8 +194,8 @@ def score_toxicity(
     ship_package(spark)
     texts = reports.select(F.col(key).alias("id"), F.col(text).alias("text"))
     drawn = _examples(labelled, key, text, label, examples)
-    chosen = _terms(drawn, terms)
-    weights = Weights(chosen, _idf(texts, chosen))
+    terms, share = _terms(drawn, ordinary)
+    weights = Weights(terms, _idf(texts, terms) * share)
     votes = spark.sparkContext.broadcast(_votes(drawn, weights, neighbours))
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -215,8 +234,8 @@ def _examples(labelled: DataFrame, key: str, text: str, label: str, examples: in
     return durable(known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))), "examples")
 
 
-def _terms(drawn: DataFrame, terms: int) -> np.ndarray:
-    """Keys of the words most associated with the label, sorted."""
+def _terms(drawn: DataFrame, ordinary: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words of the examples, sorted, and 1 for those that say something about the label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,22 +255,16 @@ def _terms(drawn: DataFrame, terms: int) -> np.ndarray:
                 )
 
     whole = drawn.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
-    every, bad = whole["n"], whole["bad"] or 0
-    if not bad or bad == every:
-        return np.zeros(0, np.uint64)
-    counts = (
-        drawn.mapInArrow(count, "term long, n long, bad long")
-        .groupBy("term")
-        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        .where(F.col("n") >= LEAST_EXAMPLES)
-    )
-    n, b = F.col("n").cast("double"), F.col("bad").cast("double")
-    table = (b * F.lit(float(every)) - n * F.lit(float(bad))) ** 2 * F.lit(float(every)) / (
-        F.lit(float(bad)) * F.lit(float(every - bad)) * n * (F.lit(float(every)) - n)
-    )
-    best = counts.where(n < every).withColumn("chi2", table).where(F.col("chi2") >= LEAST_CHI_SQUARE)
-    rows = best.orderBy(F.desc("chi2"), "term").limit(terms).select("term").collect()
-    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+    every, bad = float(whole["n"]), float(whole["bad"] or 0)
+    counts = drawn.mapInArrow(count, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    rows = counts.toArrow()
+    terms = rows.column("term").to_numpy().view(np.uint64)
+    n, b = rows.column("n").to_numpy().astype(np.float64), rows.column("bad").to_numpy()
+    least = bad * (every - bad) * n * (every - n)
+    chi_square = np.divide((b * every - n * bad) ** 2 * every, least, out=np.zeros(len(n)), where=least > 0)
+    share = np.where((chi_square >= LEAST_CHI_SQUARE) & (n >= LEAST_EXAMPLES), 1.0, ordinary)
+    order = np.argsort(terms)
+    return terms[order], share[order]
 
 
 def _idf(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -267,14 +280,16 @@ def _idf(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
                 _, term, _ = _term_counts(words_of(data, offsets), wanted.value)
                 total += np.bincount(term, minlength=len(total))
                 rows += to - begin
+        held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(-1, len(total))), pa.array(np.concatenate([[rows], total]))], ["term", "n"]
+            [pa.array(np.append(-1, held)), pa.array(np.append(rows, total[held]))], ["term", "n"]
         )
 
-    summed = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    n = {r["term"]: r["n"] for r in summed.collect()}
-    found = np.array([n.get(i, 0) for i in range(len(terms))], np.float64)
-    return np.log((1 + n.get(-1, 0)) / (1 + found)) + 1e-3
+    summed = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    # The rows are counted under -1, the last place.
+    found = np.zeros(len(terms) + 1)
+    found[summed.column("term").to_numpy()] = summed.column("n").to_numpy()
+    return np.log((1 + found[-1]) / (1 + found[:-1])) + 1e-3
 
 
 def _votes(drawn: DataFrame, weights: Weights, neighbours: int) -> Votes:
@@ -288,8 +303,8 @@ def _votes(drawn: DataFrame, weights: Weights, neighbours: int) -> Votes:
                     [
                         batch.column("id")[begin:to],
                         batch.column("toxic")[begin:to],
-                        pa.array([t.tolist() for t, _ in found], pa.list_(pa.int64())),
-                        pa.array([w.tolist() for _, w in found], pa.list_(pa.float64())),
+                        pa.array([t for t, _ in found], pa.list_(pa.int64())),
+                        pa.array([w for _, w in found], pa.list_(pa.float64())),
                     ],
                     ["id", "toxic", "terms", "weights"],
                 )
@@ -297,10 +312,9 @@ def _votes(drawn: DataFrame, weights: Weights, neighbours: int) -> Votes:
     schema = "id string, toxic int, terms array<long>, weights array<double>"
     rows = drawn.mapInArrow(vectors, schema).orderBy("id").toArrow()
     toxic = np.array(rows.column("toxic").to_pylist(), np.int64)
-    held = [
-        (np.array(t, np.int64), np.array(w, np.float64))
-        for t, w in zip(rows.column("terms").to_pylist(), rows.column("weights").to_pylist(), strict=True)
-    ]
+    every = [c.combine_chunks() for c in (rows.column("terms"), rows.column("weights"))]
+    sizes = np.cumsum(every[0].value_lengths().to_numpy())[:-1] if len(toxic) else []
+    held = list(zip(*[np.split(c.flatten().to_numpy(), sizes) for c in every], strict=True)) if len(toxic) else []
     index = BlockMaxIndex(held, toxic, rows.column("id").to_pylist(), max(1, len(weights.terms)))
     base = float(toxic.mean()) if len(toxic) else 0.0
     empty = [y for y, (t, _) in zip(toxic.tolist(), held, strict=True) if not len(t)]

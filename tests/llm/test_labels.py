@@ -1,6 +1,11 @@
 """Language and toxicity: accuracy on rows that were not learned from, and exact neighbours."""
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm.language import _grams, identify_languages, language_profiles
@@ -8,7 +13,7 @@ from kerbline.llm.queries import held_out, op8_toxicity, op9_language
 from kerbline.llm.records import live_reports
 from kerbline.llm.toxicity import BlockMaxIndex, score_toxicity
 from tests.conftest import TESTDATA
-from tests.llm.helpers import no_reports, odd_reports
+from tests.llm.helpers import no_reports, odd_reports, words
 
 
 def test_grams_of_a_whole_text():
@@ -79,11 +84,65 @@ def test_toxicity_of_held_out_documents(spark):
     rows = [r for r in op8_toxicity(spark, path).where(F.col("held_out")).collect() if r.doc_id in truth]
     right = sum(r.predicted == truth[r.doc_id] for r in rows)
     caught = sum(r.predicted for r in rows if truth[r.doc_id])
-    assert right >= 0.97 * len(rows) and caught >= 0.85 * sum(truth[r.doc_id] for r in rows)
+    assert right >= 0.97 * len(rows) and caught >= 0.9 * sum(truth[r.doc_id] for r in rows)
     brier = sum((r.score - truth[r.doc_id]) ** 2 for r in rows) / len(rows)
     assert brier < 0.03
 
 
+def test_a_copy_of_an_example_of_rare_words_is_found(spark):
+    rare = [(1000 + i, f"uncommon{i} seldom{i} scarce{i}") for i in range(60)]
+    given = spark.createDataFrame(rare + [(i, f"lane closed at exit {i}") for i in range(300)], "event_id long, report string")
+    labelled = given.withColumn("toxic", (F.col("event_id") >= 1000).cast("int"))
+    for r in score_toxicity(given, labelled).where("event_id >= 1000").collect():
+        assert r.evidence[0].example == str(r.event_id) and r.evidence[0].cosine > 1 - 1e-9
+        assert r.score > 0.9
+
+
+def test_whole_scores_equal_brute_force(spark):
+    draw = random.Random(6)
+    common, bad = [f"w{i}" for i in range(60)], ["clown", "fool", "pest"]
+    rows = []
+    for i in range(400):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(draw.choices(common, k=draw.randint(0, 12)) + (draw.sample(bad, 2) if toxic and i % 3 else [])), int(toxic)))
+    given = spark.createDataFrame(rows, "event_id long, report string, toxic int")
+    labelled = given.where("event_id % 2 = 0")
+    got = {r.event_id: r.score for r in score_toxicity(given, labelled).collect()}
+    learn = [r for r in rows if r[0] % 2 == 0]
+    bags = {i: Counter(words(t)) for i, t, _ in rows}
+    known = {t for i, _, _ in learn for t in bags[i]}
+    n, b = len(learn), sum(y for *_, y in learn)
+    weight = {}
+    for t in known:
+        held = [y for i, _, y in learn if t in bags[i]]
+        k, x = len(held), sum(held)
+        chi = (x * n - k * b) ** 2 * n / (b * (n - b) * k * (n - k)) if k < n else 0
+        df = sum(t in bag for bag in bags.values())
+        weight[t] = (math.log((1 + len(rows)) / (1 + df)) + 1e-3) * (1 if chi >= 30 and k >= 5 else 0.1)
+    vectors = {}
+    for i, bag in bags.items():
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in bag.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    entries = {}
+    for i, _, y in learn:
+        if vectors[i]:
+            key = tuple(sorted((t, round(x, 12)) for t, x in vectors[i].items()))
+            entry = entries.setdefault(key, [vectors[i], 0, 0])
+            entry[1] += 1
+            entry[2] += y
+    none = [y for i, _, y in learn if not vectors[i]]
+    for i, v in vectors.items():
+        if not v:
+            assert got[i] == pytest.approx((sum(none) + b / n) / (len(none) + 1))
+            continue
+        cosines = sorted(((sum(x * e.get(t, 0) for t, x in v.items()), m, y) for e, m, y in entries.values()), reverse=True)
+        if round(cosines[14][0], 9) == round(cosines[15][0], 9):
+            continue  # a tie about the last neighbour
+        near = [(min(c, 1.0) / (1.05 - min(c, 1.0)), m, y) for c, m, y in cosines[:15] if c > 0]
+        assert got[i] == pytest.approx((sum(c * y for c, _, y in near) + b / n) / (sum(c * m for c, m, _ in near) + 1))
+
+
 def test_toxicity_of_odd_reports(spark):
     bad = [(100 + i, f"you absolute clown {i} of a road") for i in range(40)]
     good = [(200 + i, f"quiet lane {i} of a road") for i in range(160)]
