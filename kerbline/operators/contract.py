@@ -1,6 +1,6 @@
-"""Checks explanation records (JSON text) against their contract.
+"""The contract of explanation records (JSON text), checked on Spark.
 
-Produces a list of problems per record and never raises; ``assert_valid`` does.
+``contract_check`` lists what each record lacks; ``assert_valid`` ends a run over it.
 """
 
 from __future__ import annotations
@@ -131,8 +131,7 @@ def contract_check(records: DataFrame, text: str = "record") -> DataFrame:
 
 
 def assert_valid(records: DataFrame, text: str = "record") -> None:
-    bad = contract_check(records, text).where(~F.col("is_valid"))
-    shown = bad.select("problems").take(5)
-    if shown:
-        listed = "\n  - ".join(p for r in shown for p in r["problems"])
-        raise ValueError("records failed the contract check:\n  - " + listed)
+    """Stops a run whose records break the contract, naming what is wrong with the first few."""
+    broken = contract_check(records, text).where(~F.col("is_valid")).select("problems").take(5)
+    if broken:
+        raise ValueError(f"{len(broken)} or more records break the contract, for instance: " + " | ".join("; ".join(r["problems"]) for r in broken))

@@ -12,7 +12,7 @@ from kerbline.operators import bootstrap, contract, disparity, explain, graph, m
 from kerbline.operators.spatial import nearest_join
 from kerbline.plans import assemble, publish
 from kerbline.session import durable, new_path
-from kerbline.sources import demo, osm, sinks
+from kerbline.sources import demo, geojson, osm, sinks
 from kerbline.sources import features as src
 from kerbline.streaming import overlay as live
 
@@ -828,15 +828,14 @@ def geojson_features(spark, sf):
     return sinks.geojson_features(demo.Stages.of(spark, sf).scores)
 
 
-@query
-def geojson_round_trip(spark, sf):
-    """The exported features, read back as columns."""
-    schema = (
-        "type string, geometry struct<type: string, coordinates: array<array<double>>>, properties struct<"
-        "segment_id: string, segment_name: string, county: string, rural_flag: boolean, risk_score: double, "
-        "risk_exposure: double, data_density_flag: boolean, ems_distance_available: boolean>"
-    )
-    f = geojson_features(spark, sf).select(F.from_json("feature", schema).alias("f")).select("f.*")
+_FEATURE = (
+    "type: string, geometry: struct<type: string, coordinates: array<array<double>>>, properties: struct<"
+    "segment_id: string, segment_name: string, county: string, rural_flag: boolean, risk_score: double, "
+    "risk_exposure: double, data_density_flag: boolean, ems_distance_available: boolean>"
+)
+
+
+def _feature_columns(f: DataFrame) -> DataFrame:
     xy = F.col("geometry.coordinates")
     return f.select(
         F.col("properties.segment_id").alias("segment_id"),
@@ -851,6 +850,20 @@ def geojson_round_trip(spark, sf):
     )
 
 
+@query
+def geojson_round_trip(spark, sf):
+    """The exported features, read back as columns."""
+    return _feature_columns(geojson_features(spark, sf).select(F.from_json("feature", f"struct<{_FEATURE}>").alias("f")).select("f.*"))
+
+
+@query
+def geojson_collection(spark, sf):
+    """The same from documents that are FeatureCollections, written in parallel and published together."""
+    path = new_path(spark, "segments-geojson")
+    geojson.write_collection(demo.Stages.of(spark, sf).scores, path)
+    return _feature_columns(geojson.read_collection(spark, path, f"struct<{_FEATURE}>").select("feature.*"))
+
+
 @query
 def export_meta(spark, sf):
     return sinks.export_meta(demo.Stages.of(spark, sf).scores)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.sources import features as src
-from kerbline.sources import osm, sinks
+from kerbline.sources import geojson, osm, sinks
 from kerbline.sources import stations as st
 
 
@@ -187,3 +187,30 @@ def test_intermediates_can_be_dropped(spark, monkeypatch, tmp_path):
     assert table.count() == 5 and list(tmp_path.rglob("*.parquet"))
     session.drop_intermediates(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def located(spark, n, bad=None):
+    rows = [(f"s{i}", None if i == 3 else "Main \"St\"\n", 35.0 + i, -80.0, 35.5, -80.5, 0.1 * i, float(i), i == bad) for i in range(n)]
+    schema = "segment_id string, segment_name string, start_lat double, start_lon double, end_lat double, end_lon double, risk_score double, risk_exposure double, bad boolean"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    return df if bad is None else df.withColumn("risk_score", F.when(F.col("bad"), F.raise_error(F.lit("lost"))).otherwise(F.col("risk_score")))
+
+
+def test_collections_are_whole_documents_published_together(spark, tmp_path):
+    path = tmp_path / "out"
+    geojson.write_collection(located(spark, 20), str(path))
+    documents = [json.loads(p.read_text()) for p in path.glob("*.geojson")]
+    assert len(documents) == 3 and {d["type"] for d in documents} == {"FeatureCollection"}
+    got = sorted(json.dumps(f, sort_keys=True) for d in documents for f in d["features"])
+    want = [r.feature for r in sinks.geojson_features(located(spark, 20)).collect()]
+    assert got == sorted(json.dumps(json.loads(f), sort_keys=True) for f in want)
+    before = sorted(p.name for p in path.iterdir())
+    with pytest.raises(Exception):
+        geojson.write_collection(located(spark, 20, bad=7), str(path))
+    assert sorted(p.name for p in path.iterdir()) == before
+    geojson.write_collection(located(spark, 2), str(path))
+    assert sum(len(json.loads(p.read_text())["features"]) for p in path.iterdir()) == 2
+    geojson.write_collection(located(spark, 2).limit(0), str(path))
+    assert [json.loads(p.read_text()) for p in path.iterdir()] == [{"type": "FeatureCollection", "features": []}]
+    geojson.write_collection(located(spark, 2).drop("end_lon"), str(path))
+    assert {json.loads(p.read_text())["type"] for p in path.iterdir()} == {"RecordList"}
