@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geo
 from kerbline.operators.skew import hot_keys, salted_join
 from kerbline.operators.spatial import point_pairs_within
-from kerbline.session import durable
+from kerbline.session import counted, durable
 
 # The adjacency carries a self loop and the model adds the identity once more.
 SELF_WEIGHT = 2.0
@@ -59,8 +59,8 @@ def places_proximity(segments: DataFrame, tol_m: float = 15.0) -> Places:
         ),
     ).distinct()
     spot = F.struct("lat", "lon")
-    at = durable(ends.select("node", spot.alias("place")), "ends")
-    close = point_pairs_within(durable(ends.select("lat", "lon").distinct(), "spots"), tol_m).select(
+    at = counted(ends.select("node", spot.alias("place")), "ends")
+    close = point_pairs_within(counted(ends.select("lat", "lon").distinct(), "spots"), tol_m).select(
         F.struct(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).alias("place"),
         F.struct(F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon")).alias("near"),
     )
@@ -69,7 +69,7 @@ def places_proximity(segments: DataFrame, tol_m: float = 15.0) -> Places:
         .select("node", F.col("near").alias("place"))
         .distinct()
     )
-    return Places(at, durable(reach, "reach"))
+    return Places(at, counted(reach, "reach"))
 
 
 def edges_of(places: Places) -> DataFrame:
@@ -190,15 +190,15 @@ class PlaceSums(NamedTuple):
 
 def place_sums(nodes: DataFrame, places: Places) -> PlaceSums:
     """Tables for ``neighbour_sums`` over the subgraph of ``nodes``; they grow with the nodes, not with pairs."""
-    at = durable(places.at.join(nodes.select("node"), "node", "left_semi"), "at")
-    reach = durable(places.reach.join(nodes.select("node"), "node", "left_semi"), "in-reach")
-    ends = durable(at.groupBy("node").agg(F.min("place").alias("p"), F.max("place").alias("q")), "ends")
+    at = counted(places.at.join(nodes.select("node"), "node", "left_semi"), "at")
+    reach = counted(places.reach.join(nodes.select("node"), "node", "left_semi"), "in-reach")
+    ends = counted(at.groupBy("node").agg(F.min("place").alias("p"), F.max("place").alias("q")), "ends")
     spans = ends.where(F.col("p") < F.col("q")).select("p", "q").distinct()
     # Pairs among the few places one node reaches, as far as some node has its ends there.
     p, q = reach.select("node", F.col("place").alias("p")), reach.select("node", F.col("place").alias("q"))
     pairs = p.join(q, "node").where(F.col("p") < F.col("q"))
     twice = salted_join(pairs, spans, ["p", "q"], "left_semi", hot_keys(pairs, ["p", "q"], base=reach))
-    return PlaceSums(at, reach, ends, durable(twice, "twice"))
+    return PlaceSums(at, reach, ends, counted(twice, "twice"))
 
 
 def neighbour_sums(values: DataFrame, sums: PlaceSums, cols: Sequence[str]) -> DataFrame:

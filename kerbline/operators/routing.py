@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators.skew import hot_keys, salted_join
-from kerbline.session import durable, durable_with
+from kerbline.session import counted, durable, durable_with
 
 # Hops that one job follows before what it found is compared with what is settled.
 HOPS_PER_ROUND = 3
@@ -152,7 +152,7 @@ def nearest_facility_distance(
     direct = lean.join(ends, "src", "left_anti").join(ends.withColumnRenamed("src", "dst"), "dst", "left_anti")
     through = arms.where("NOT inside AND src != tip").select("src", F.col("tip").alias("dst"), F.col("length").alias("weight_m"))
     short = direct.select("src", "dst", "weight_m").unionByName(through)
-    short = durable(short.groupBy("src", "dst").agg(F.min("weight_m").alias("weight_m")), "short-edges")
+    short = counted(short.groupBy("src", "dst").agg(F.min("weight_m").alias("weight_m")), "short-edges")
     reached = _relaxed(short, zero, hops_per_round, rounds_per_table, max_rounds)
     inside = arms.where("inside").select("src", F.col("tip").alias("node"), "length")
     unfolded = (

@@ -8,6 +8,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.session import rows_of
+
 # Keys that one sketch can name, as a share of all rows.
 HOT_SHARE = 0.001
 # Rows of one key that one task should get; a key with more is hot.
@@ -47,9 +49,9 @@ def hot_keys(
         # A written table does not change; its edges, say, are asked about by every step.
         known, asked = _KNOWN.setdefault(df, {}), (tuple(keys), share, least)
         if asked not in known:
-            known[asked] = hot_keys(df, keys, share, least, base.select("*"))
+            known[asked] = {} if rows_of(df) <= least else hot_keys(df, keys, share, least)
         return known[asked]
-    if base is not None and base.count() <= least:
+    if base is not None and rows_of(base) <= least:
         return {}
     top = int(1 / share)
     row = (

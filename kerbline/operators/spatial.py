@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators.skew import hot_counted, hot_keys, salted_join
-from kerbline.session import durable
+from kerbline.session import counted, durable, rows_of
 
 # Above this many distinct target points in one cell the search goes through boxes.
 CELL_CAP = 2048
@@ -144,18 +144,18 @@ def nearest_places(
 
     Ties go to the smallest id. ``targets`` has ``id_col, lat, lon``.
     """
-    points = durable(
+    points = counted(
         distinct_points(targets, id_col).withColumn(
             "cell", geo.cell_of(F.col("lat"), F.col("lon"), radius_m)
         ),
         "target_points",
     )
     crowded = F.col("count") > cell_cap
-    n_points = points.count()
+    n_points = rows_of(points)
     if n_points > cell_cap and not points.groupBy("cell").count().where(crowded).isEmpty():
         return _nearest_through_boxes(places, points, radius_m, cell_cap)
     # Being in reach is mutual, so the side with fewer rows is the one that is copied to nine cells.
-    if n_points < places.count():
+    if n_points < rows_of(places):
         probes = places.select("q_lat", "q_lon", geo.cell_of(F.col("q_lat"), F.col("q_lon"), radius_m).alias("cell"))
         points = geo.with_cells_around(points.drop("cell"), "lat", "lon", radius_m)
     else:
@@ -167,7 +167,7 @@ def nearest_places(
 
 def _counted_places(rows: DataFrame) -> DataFrame:
     """``q_lat, q_lon, rows_here``: the distinct coordinates of ``rows``."""
-    return durable(
+    return counted(
         rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .groupBy(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
         .agg(F.count("*").alias("rows_here")),

@@ -22,18 +22,26 @@ def _fit(df: DataFrame, **aggs: Column) -> dict[str, float | None]:
     return df.agg(*[a.cast("double").alias(n) for n, a in aggs.items()]).first().asDict()
 
 
+def minmax_of(cols: Sequence[str]) -> dict[str, Column]:
+    """The aggregates of ``fit_minmax`` by name, to be taken while a table is written."""
+    return {f"lo_{c}": F.min(_present(c)) for c in cols} | {f"hi_{c}": F.max(_present(c)) for c in cols}
+
+
 def fit_minmax(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    aggs = {f"lo_{c}": F.min(_present(c)) for c in cols} | {f"hi_{c}": F.max(_present(c)) for c in cols}
-    return _fit(df, **aggs)
+    return _fit(df, **minmax_of(cols))
 
 
-def minmax(df: DataFrame, cols: Mapping[str, str], eps: float = 0.0) -> DataFrame:
+def minmax(
+    df: DataFrame, cols: Mapping[str, str], eps: float = 0.0, fitted: Mapping[str, float | None] | None = None
+) -> DataFrame:
     """Scale columns to [0, 1] by their range; ``cols`` maps input to output names.
 
+    ``fitted`` are the ranges if they are known (``minmax_of``).
+
     Missing values, NaN included, become null. A column whose range is not above ``eps``, or
     that has no value at all, becomes 0.0.
     """
-    fitted = fit_minmax(df, list(cols))
+    fitted = fit_minmax(df, list(cols)) if fitted is None else fitted
     out = {}
     for c, name in cols.items():
         lo, hi = fitted[f"lo_{c}"], fitted[f"hi_{c}"]

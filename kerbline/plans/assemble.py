@@ -16,8 +16,8 @@ from kerbline.operators.graph import (
 from kerbline.operators.routing import nearest_facility_distance
 from kerbline.operators.skew import hot_keys, salted_join
 from kerbline.operators.spatial import count_nearest, nearest_join
-from kerbline.operators.stats import minmax
-from kerbline.session import durable, together
+from kerbline.operators.stats import minmax, minmax_of
+from kerbline.session import counted, durable_with, together
 from kerbline.sources.features import vertices
 
 # Search radii in metres.
@@ -65,7 +65,7 @@ def road_attributes(segments: DataFrame, roads: DataFrame) -> DataFrame:
     mid_lon``; ``roads`` has ``road_id, lat, lon`` and the attributes.
     """
     mids = segments.select("segment_id", "route_id", F.col("mid_lat").alias("lat"), F.col("mid_lon").alias("lon"))
-    matched = durable(nearest_join(mids, roads, COUNTY_MAX_M, "road_id"), "nearest_road")
+    matched = counted(nearest_join(mids, roads, COUNTY_MAX_M, "road_id"), "nearest_road")
     attrs = roads.select(
         F.col("road_id").alias("target_id"), "county", "UrbanType", "StreetName", "RouteName", "SpeedLimit", "ThruLaneCount", "FuncClass"
     )
@@ -113,7 +113,7 @@ def facility_segments(segments: DataFrame, stations: DataFrame) -> DataFrame:
 
 def county_crash_counts(segments: DataFrame, crashes: DataFrame) -> DataFrame:
     """All crashes of the segment's county on every segment, 0 where there are none."""
-    totals = durable(
+    totals = counted(
         crashes.groupBy("county").agg(F.count("*").alias("general_crash_count_5yr_county")), "crash_totals"
     )
     return segments.join(totals, "county", "left").fillna(0, ["general_crash_count_5yr_county"])
@@ -123,7 +123,7 @@ def county_code(segments: DataFrame) -> DataFrame:
     """Adds ``county_code``: counties numbered in order of their first segment id."""
     firsts = segments.where(F.col("county").isNotNull()).groupBy("county").agg(F.min("segment_id").alias("first"))
     # One row per county: the window orders county names, not segments.
-    codes = durable(
+    codes = counted(
         firsts.select("county", (F.row_number().over(Window.orderBy("first")) - 1.0).alias("county_code")),
         "county_codes",
     )
@@ -143,33 +143,34 @@ def assemble(
     Incidents, routing and the traffic range are taken over all segments; those
     without a county are dropped only afterwards, together with their edges.
     """
-    segments = durable(segments, "segments")
+    # The range of the traffic values is taken while the segments are written.
+    segments, traffic = durable_with(segments, "segments", **minmax_of(["aadt_raw"]))
     nodes = segments.select(F.col("segment_id").alias("node"))
 
     def weigh() -> DataFrame:
-        linked = durable(adjacency_proximity(segments, tol_m), "adjacency")
-        return durable(edge_weights(linked, segments), "edges")
+        linked = counted(adjacency_proximity(segments, tol_m), "adjacency")
+        return counted(edge_weights(linked, segments), "edges")
 
     attrs, hits, weighted, facilities = together(
         segments.sparkSession,
-        lambda: durable(road_attributes(segments, roads), "road_attributes"),
-        lambda: durable(incident_counts(segments, incidents), "incident_counts"),
+        lambda: counted(road_attributes(segments, roads), "road_attributes"),
+        lambda: counted(incident_counts(segments, incidents), "incident_counts"),
         weigh,
-        lambda: durable(facility_segments(segments, stations), "facilities"),
+        lambda: counted(facility_segments(segments, stations), "facilities"),
     )
     reach = nearest_facility_distance(nodes, weighted, facilities)
 
     kept = (
-        minmax(segments.drop("vertices"), {"aadt_raw": "aadt_normalized"})
+        minmax(segments.drop("vertices"), {"aadt_raw": "aadt_normalized"}, fitted=traffic)
         .join(attrs.where(F.col("county").isNotNull()), "segment_id")
         .join(hits, "segment_id")
         .join(
             reach.select(F.col("node").alias("segment_id"), F.col("dist_m").alias("ems_distance_m")), "segment_id", "left"
         )
     )
-    kept = durable(kept, "in_district")
-    features = durable(
+    kept = counted(kept, "in_district")
+    features = counted(
         county_code(county_crash_counts(kept, general_crashes)).select(*FEATURE_COLUMNS), "features"
     )
     inside = features.select(F.col("segment_id").alias("node"))
-    return Assembled(features, durable(induced_subgraph(weighted, inside), "district_edges"))
+    return Assembled(features, counted(induced_subgraph(weighted, inside), "district_edges"))
