@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.records import lower_ascii
+from kerbline.operators.skew import hot_counted, salted_join
 from kerbline.session import durable
 
+RETURNED = ("keep_id", "group_size", "kept", "text_sha256")
 # Normalised bytes that one sorted range should hold.
 RANGE_BYTES = 32 << 20
 # Sampled rows per splitter, and characters of the text a splitter keeps.
@@ -58,8 +60,10 @@ def exact_duplicates(
     Edge cases: a null text equals an empty one. A row with a null key loses
     against any key and is kept only if the whole group has none (keep_id is
     null then). An empty table gives an empty result. Other columns are ignored
-    unless named in ``columns``, which must not clash with the returned names.
+    unless named in ``columns``; these may not have a returned name.
     """
+    if clash := {key, *RETURNED}.intersection(columns):
+        raise ValueError(f"columns that the result has itself: {sorted(clash)}")
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     rest = [c for c in columns if c != text]
@@ -79,7 +83,8 @@ def exact_duplicates(
         rows.withColumn("_range", _range_of(F.col("_point"), splitters))
         .withColumn("_cut", F.col("_point.head").isin(heads) if heads else F.lit(False))
         .drop("_point")
-        .repartition("_range")
+        # A range is one task, however many there are.
+        .repartitionById(len(splitters) + 1, F.col("_range").cast("int"))
         .withColumn("_norm", lower_ascii(F.coalesce("_given", F.lit(""))))
     )
 
@@ -144,9 +149,11 @@ def exact_duplicates(
         (F.col("_nth") == 1).alias("kept"),
         "text_sha256",
     )
+    joined = durable(joined, "cut-runs")
+    # A text that holds a share of all rows is one key here.
+    hot = hot_counted(joined, ["text_sha256"], "_all_size")
     cut = (
-        runs.where("_cut")
-        .join(durable(joined, "cut-runs"), "text_sha256")
+        salted_join(runs.where("_cut"), joined, ["text_sha256"], hot=hot, salt_by=["_id", "_range", "_nth"])
         .select(
             *names,
             F.col("_all_stays").alias("keep_id"),
