@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ WINDOW_WORDS = 10
 # A shingle of the join; windows of fewer words have shorter ones.
 SHINGLE_WORDS = 2
 # Text bytes of held-out items that one pass takes along; more items mean more passes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _shingle_length(window: int) -> int:
@@ -119,9 +120,11 @@ def decontaminate(
     place. What is left is verified word by word over the item-sized window
     (64-bit keys and byte lengths of all words).
 
-    Items are taken along in blocks of ``block_bytes`` of their text, so the
-    memory of a task does not grow with the items; each block is one pass over
-    the reports. The reports' texts are never shuffled.
+    Items are taken along in blocks of about ``block_bytes`` of their text (one
+    item at least), dealt by hash. The driver brings one block at a time and
+    hands its windows to the tasks, so neither's memory grows with the items;
+    each block is two passes over the reports, one to count and one to match.
+    The reports' texts are never shuffled.
 
     Returns per input row: ``key``, ``columns``, n_words, n_hit (words inside any occurrence
     of a window), spans (array of start, end in words; merged), items (sorted
@@ -136,17 +139,24 @@ def decontaminate(
     ship_package(spark)
     rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != text]
     texts = reports.select(F.col(key).alias("id"), F.col(text).alias("text"), *rest)
-    blocks = _blocks(held_out, item, item_text, window, block_bytes)
-    if len(blocks) > 1:
+    items = held_out.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, ceil(size / block_bytes))
+    if blocks > 1:
+        items = durable(items, "items")
         texts = durable(texts.withColumn("row", F.monotonically_increasing_id()), "reports")
     else:
         texts = texts.withColumn("row", F.lit(0).cast("long"))
     held = [F.col("text" if c == text else f"_{i}").alias(c) for i, c in enumerate(columns)]
-    # The first pass carries the kept columns along.
-    found = [
-        _matched(texts if i == 0 and columns else texts.select("id", "row", "text"), windows, _counts(texts, windows), i == 0 and text in columns)
-        for i, windows in enumerate(blocks)
-    ]
+    found = []
+    for number in range(blocks):
+        of = F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number
+        windows = Windows.of([tuple(r) for r in items.where(of).toLocalIterator()], window)
+        # The first pass carries the kept columns along.
+        given = texts if number == 0 and columns else texts.select("id", "row", "text")
+        more = _matched(given, windows, _counts(texts, windows), number == 0 and text in columns)
+        # One block's windows are held at a time.
+        found.append(durable(more, "hits") if blocks > 1 else more)
     if len(found) == 1:
         merged = found[0]
     else:
@@ -190,21 +200,6 @@ def _union_of(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def _blocks(held_out: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> list[Windows]:
-    """The items' windows in blocks; an iterator brings them one partition at a time."""
-    items = held_out.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
-    blocks, block, size = [], [], 0
-    for row in items.toLocalIterator():
-        block.append((row["item"], row["text"]))
-        size += len(row["text"].encode())
-        if size >= block_bytes:
-            blocks.append(Windows.of(block, window))
-            block, size = [], 0
-    if block or not blocks:
-        blocks.append(Windows.of(block, window))
-    return blocks
-
-
 def _counts(texts: DataFrame, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """How often each of the windows' shingles occurs in all reports."""
     shingles = windows.shingles()
