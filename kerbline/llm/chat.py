@@ -42,6 +42,9 @@ class ChatTemplate:
         every = tuple(dict.fromkeys(own + self.foreign))
         if any("&" in c or not c for c in every):
             raise ValueError("a control string is not empty and has no '&'")
+        written = ["&amp;", *(f"&c{i};" for i in range(len(every)))]
+        if any(c in w for c in every for w in written):
+            raise ValueError("a control string does not occur in what stands for another one")
         return tuple(sorted(every, key=len, reverse=True))
 
 
@@ -70,10 +73,11 @@ def dialogue_segments(
 ) -> DataFrame:
     """Dialogues as text segments with a loss flag each. General: the road records hold no dialogues.
 
-    Method: a finite-state machine over the roles walks the turns in order; it
-    accepts a turn if the state allows its role, and the template turns each
-    turn into three segments: its opening, its escaped text, its closing. Only
-    the text of a loss role carries the loss flag.
+    Method: a finite-state machine over the roles walks the turns in order. Its
+    state is the role of the turn before; it accepts a turn if that state allows
+    its role, enters the new state, and emits the turn's segments by the template
+    (opening, escaped text, closing) with their loss flags: only the text of a
+    loss role carries one.
 
     Returns per dialogue: conv_id, n_turns, segments (array of segment, loss,
     start in characters from 0), valid (every turn accepted and the last state may end) and bad_turn (place,
@@ -95,11 +99,18 @@ def dialogue_segments(
         F.coalesce(F.col(role), F.lit("")).alias("_role"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
+    accepted = F.create_map(
+        *[x for state, roles in template.follows.items() for x in (F.lit(state), F.array(*map(F.lit, roles)))]
+    )
     in_order = Window.partitionBy("conv_id").orderBy("_turn", "_role", "_text")
-    said = said.withColumn("_nth", F.row_number().over(in_order)).select(
+    said = said.withColumns(
+        {"_nth": F.row_number().over(in_order), "_state": F.lag("_role", 1, START).over(in_order)}
+    ).select(
         "conv_id",
         "_nth",
         "_role",
+        F.coalesce(F.array_contains(F.try_element_at(accepted, F.col("_state")), F.col("_role")), F.lit(False)).alias("_accepted"),
+        F.col("_role").isin(*template.loss_roles).alias("_loss"),
         F.concat(F.lit(template.opens), escape(F.col("_role"), template), F.lit(template.after_role)).alias("_head"),
         escape(F.col("_text"), template).alias("_body"),
     )
@@ -107,37 +118,28 @@ def dialogue_segments(
     so_far = F.sum(length).over(Window.partitionBy("conv_id").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0))
     said = said.withColumn("_start", (so_far - length).cast("long"))
     ordered = said.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("_nth", "_role", "_head", "_body", "_start"))).alias("_turns")
+        F.array_sort(F.collect_list(F.struct("_nth", "_loss", "_head", "_body", "_start"))).alias("_turns"),
+        F.min(F.when(~F.col("_accepted"), F.col("_nth") - 1)).alias("bad_turn"),
+        F.max_by("_role", "_nth").isin(*template.ends).alias("_may_end"),
     )
 
     def segments(t: Column) -> Column:
         head, body = F.char_length(t["_head"]), F.char_length(t["_body"])
         pieces = (
             (t["_head"], F.lit(False), t["_start"]),
-            (t["_body"], t["_role"].isin(*template.loss_roles), t["_start"] + head),
+            (t["_body"], t["_loss"], t["_start"] + head),
             (F.lit(template.closes), F.lit(False), t["_start"] + head + body),
         )
         return F.array(
             *[F.struct(s.alias("segment"), loss.alias("loss"), start.alias("start")) for s, loss, start in pieces]
         )
 
-    accepted = F.create_map(
-        *[x for state, roles in template.follows.items() for x in (F.lit(state), F.array(*map(F.lit, roles)))]
-    )
-
-    def step(machine: Column, t: Column) -> Column:
-        allowed = F.coalesce(F.array_contains(F.try_element_at(accepted, machine["state"]), t["_role"]), F.lit(False))
-        bad = F.when(machine["bad"] >= 0, machine["bad"]).when(allowed, -1).otherwise(machine["at"])
-        return F.struct(t["_role"].alias("state"), (machine["at"] + 1).alias("at"), bad.alias("bad"))
-
-    begin = F.struct(F.lit(START).alias("state"), F.lit(0).alias("at"), F.lit(-1).alias("bad"))
-    walked = ordered.withColumn("_end", F.aggregate("_turns", begin, step))
-    return walked.select(
+    return ordered.select(
         "conv_id",
         F.size("_turns").cast("long").alias("n_turns"),
         F.flatten(F.transform("_turns", segments)).alias("segments"),
-        ((F.col("_end.bad") < 0) & F.col("_end.state").isin(*template.ends)).alias("valid"),
-        F.when(F.col("_end.bad") >= 0, F.col("_end.bad")).alias("bad_turn"),
+        (F.col("bad_turn").isNull() & F.col("_may_end")).alias("valid"),
+        "bad_turn",
     )
 
 

@@ -42,10 +42,18 @@ WITH said AS (
         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
         sum({_escaped_length('role')} + {_escaped_length('text')} + 24) AS formatted_chars
     FROM said GROUP BY conv_id
+), walked AS (
+    SELECT conv_id, role, row_number() OVER w AS nth, coalesce(lag(role) OVER w, '(start)') || '>' || role AS step
+    FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), ended AS (
+    SELECT conv_id, arg_max(role, nth) IN ('user', 'assistant') AS may_end, (min(nth) FILTER (step NOT IN (
+        '(start)>system', '(start)>user', 'system>user', 'user>assistant', 'assistant>user')) - 1)::INT AS bad_turn
+    FROM walked GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars,
-    sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
-FROM joined""",
+    sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+    bad_turn IS NULL AND may_end AS valid, bad_turn
+FROM joined JOIN ended USING (conv_id)""",
     "op7_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT item_id, w, least(10, len(w)) AS l FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),

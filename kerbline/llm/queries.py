@@ -52,6 +52,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
     )
 
 

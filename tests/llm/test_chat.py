@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,3 +54,9 @@ def test_escaping_is_reversible(spark, texts):
     inside = back[1].formatted
     assert inside.count("<|turn|>") == inside.count("<|done|>") == len(texts)
     assert not any(c in inside for c in ChatTemplate().foreign)
+
+
+def test_controls_that_would_meet_an_escape_are_refused():
+    for control in ("", "a&b", ";", "c1", "amp"):
+        with pytest.raises(ValueError):
+            ChatTemplate(foreign=(control,)).controls
