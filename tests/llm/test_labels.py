@@ -34,6 +34,43 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.97 * len(rows)
 
 
+def test_language_is_the_least_out_of_place_distance(spark):
+    draw = random.Random(8)
+    size = 20
+    alphabets = {"a1": "abcdé", "b2": "cdefg", "c3": "efghß"}
+    line = lambda letters: " ".join("".join(draw.choices(letters, k=draw.randint(1, 6))) for _ in range(draw.randint(1, 8)))
+    learning = [(line(letters), name) for name, letters in alphabets.items() for _ in range(12)]
+    texts = [line("abcdefghéß") for _ in range(60)] + ["", "7 !", None, "Ab, ab; É"]
+
+    def counted(text):
+        kept = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        padded = [f" {w} " for w in kept]
+        # One run of n-grams over the text, a gap between words counted once in pairs at each side.
+        grams = Counter(c for w in kept for c in w)
+        for w in padded:
+            grams.update(w[i : i + 2] for i in range(len(w) - 1))
+            grams.update(w[i : i + 3] for i in range(len(w) - 2))
+        return grams
+
+    code = lambda gram: tuple(0x110000 if c == " " else ord(c) for c in gram)
+
+    def ranked(grams):
+        # Equal counts by code: shorter n-grams have the smaller numbers.
+        return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], len(x[0]), code(x[0])))][:size]
+
+    profiles = {name: ranked(sum((counted(t) for t, n in learning if n == name), Counter())) for name in alphabets}
+    given = spark.createDataFrame(list(enumerate(texts)), "event_id long, report string")
+    known = spark.createDataFrame(learning, "report string, language string")
+    for r in identify_languages(given, known, size=size).collect():
+        own = ranked(counted(texts[r.event_id]))
+        if not own:
+            assert (r.language_found, r.language_score) == ("und", 0.0)
+            continue
+        far = {n: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(own)) for n, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.language_found == best and abs(r.language_score - (1 - far[best] / (size * len(own)))) < 1e-12
+
+
 def test_language_of_odd_reports(spark):
     learning = spark.createDataFrame(
         [("the road is closed near the bridge", "en"), ("die straße ist an der brücke gesperrt", "de"), (None, "fr"), ("x", None)],

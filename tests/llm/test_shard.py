@@ -1,7 +1,10 @@
+import math
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
-import zlib
+import xxhash
 
 from kerbline.llm.shard import shard_segments
 from tests.llm.helpers import CLASHING, no_reports, odd_reports
@@ -52,3 +55,16 @@ def test_odd_rows(spark):
     assert len({r.shard for r in rows if r.event_id == 2}) == 1
     assert {r["size"] for r in rows if r.event_id in (3, 4)} == {1}
     assert shard_segments(no_reports(spark), [1.0], key="event_id", payload="report").count() == 0
+
+
+def test_placement_is_that_of_every_draw_taken_apart(spark):
+    weights = [1.0, 2.5, 0.5, 1.0]
+
+    def draw(key, shard):
+        seed = xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        bits = xxhash.xxh64(struct.pack("<i", shard), seed=seed).intdigest() >> 11
+        return -math.log((bits + 0.5) / 2**53) / weights[shard]
+
+    rows = placed(spark, 500, weights[:3], grown_by=weights[3])
+    assert all(r.shard == min(range(3), key=lambda s: draw(k, s)) for k, r in rows.items())
+    assert all(r.grown_shard == min(range(4), key=lambda s: draw(k, s)) for k, r in rows.items())
