@@ -23,7 +23,7 @@ ROWS = 7
 # and what these leave by a join on rare shingles.
 FULL_BUCKET = 16
 PIVOTS = 3
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 # Cells in which shingles are counted; the counts only decide which shingles are joined first.
 COUNT_CELLS = 1 << 18
 # Texts of one shingle that one salt of the join gets.
@@ -324,13 +324,15 @@ def _cell_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(token, id, class, size, rest): the rarest shingles of each set, and how many it has from there on.
+    """(token, id, class, size, rest, short): the rarest shingles of each set, and how many it has from there on.
 
     The first shingle two similar sets have in common, in the order by rarity, is
-    among these in both: what follows it must hold all they have in common.
+    among these in both: what follows it must hold all they have in common. In the
+    smaller set it is even among the ``short`` ones, since both together have more.
     """
     held = sets.sparkSession.sparkContext.broadcast(counts)
     kind = sets.schema["id"].dataType.simpleString()
+    both = 2 * similarity / (1 + similarity)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -344,26 +346,31 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFra
                 place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 # ``owner`` is in order already, so a place belongs to the same text before and after.
                 first = np.flatnonzero(place <= (1 - similarity) * sizes[owner] + ROUNDING)
-                of = pa.array(owner[first])
+                of, size = pa.array(owner[first]), sizes[owner[first]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[order[first]]), batch.column(0).take(of), batch.column(1).take(of),
-                        pa.array(sizes[owner[first]]), pa.array(sizes[owner[first]] - place[first]),
+                        pa.array(size), pa.array(size - place[first]), pa.array(place[first] <= (1 - both) * size + ROUNDING),
                     ],
-                    ["token", "id", "class", "size", "rest"],
+                    ["token", "id", "class", "size", "rest", "short"],
                 )
 
-    return sets.select("id", "class", "set").mapInArrow(cut, f"token long, id {kind}, class {kind}, size long, rest long")
+    schema = f"token long, id {kind}, class {kind}, size long, rest long, short boolean"
+    return sets.select("id", "class", "set").mapInArrow(cut, schema)
 
 
-def _by_rare_shingles(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes, among them all similar ones of these sets (id, class, set).
+def _size_class(size: Column, similarity: float) -> Column:
+    return F.floor(F.log(size) / F.lit(np.log(1 / max(min(similarity, 0.99), 0.01)))).cast("int")
 
-    ``counted`` are the sets by which shingles are held rare; any others only
-    make the join slower. Per shingle, the texts of its largest class are not
-    compared with each other, so one class of any size gives a linear number.
+
+def _meetings(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows of two sets of different classes that may be similar, where a shingle of theirs meets.
+
+    The larger set asks with all its rare shingles, the smaller one is found by its
+    ``short`` ones; both are in classes of like sizes. Per shingle, the texts of its
+    largest class are not compared with each other, so one class of any size gives a
+    linear number.
     """
-    rows = durable(_prefixes(sets, _cell_counts(counted), similarity), "prefixes")
     per_class = rows.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"))
     tokens = per_class.groupBy("token").agg(
         F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most")
@@ -374,14 +381,34 @@ def _by_rare_shingles(sets: DataFrame, counted: DataFrame, similarity: float) ->
         F.ceil((F.col("n") - F.col("most.n")) / SALT_ROWS).cast("int").alias("salts"),
     )
     met = durable(rows.join(tokens.hint("merge"), "token"), "shared-shingles")
-    left = met.where("class != most").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    right = met.select(
-        "token",
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        *[F.col(c).alias(f"{c}2") for c in ("id", "class", "size", "rest")],
+    least = F.greatest(F.col("size") * F.lit(similarity) - ROUNDING, F.lit(1.0))
+    sizes = F.sequence(_size_class(least, similarity), _size_class(F.col("size"), similarity))
+    asks = met.select("*", F.explode(sizes).alias("sizes"))
+    found = met.where("short").select("*", _size_class(F.col("size"), similarity).alias("sizes"))
+    # The side that is not in the largest class is spread; a pair has one such side at least.
+    other = F.col("class") != F.col("most")
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")
+    copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    held = ["token", "sizes", "id", "class", "size", "rest"]
+    left = asks.where(other).select(*held, salt, F.lit(True).alias("asks")).unionByName(
+        found.where(other).select(*held, salt, F.lit(False).alias("asks"))
+    )
+    right = found.select(*held, copies, F.lit(True).alias("asks")).unionByName(
+        asks.where(~other).select(*held, copies, F.lit(False).alias("asks"))
     )
+    right = right.withColumnsRenamed({c: f"{c}2" for c in ("id", "class", "size", "rest")})
     # Both sides grow with the reports.
-    both = left.join(right.hint("merge"), ["token", "salt"])
+    return left.join(right.hint("merge"), ["token", "sizes", "salt", "asks"])
+
+
+def _by_rare_shingles(sets: DataFrame, counted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes, among them all similar ones of these sets (id, class, set).
+
+    ``counted`` are the sets by which shingles are held rare; any others only
+    make the join slower.
+    """
+    rows = durable(_prefixes(sets, _cell_counts(counted), similarity), "prefixes")
+    both = _meetings(rows, similarity)
     least = similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - ROUNDING
     both = both.where((F.col("class") != F.col("class2")) & (F.least("rest", "rest2") >= least))
     return _pairs(both.where(_close_sizes("size", "size2", similarity)), "id", "id2")

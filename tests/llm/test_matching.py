@@ -8,12 +8,22 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
 from kerbline.llm.decontaminate import decontaminate
 from kerbline.llm.exactdup import exact_duplicates
-from kerbline.llm.neardup import dart_sketches, near_duplicates
+from kerbline.llm.neardup import (
+    _by_rare_shingles,
+    _cell_counts,
+    _meetings,
+    _prefixes,
+    _shingle_sets,
+    dart_sketches,
+    near_duplicates,
+)
 from kerbline.llm.words import chunks, mixed, words_of
+from kerbline.session import durable
 from tests.llm.helpers import no_reports, odd_reports, words
 
 
@@ -135,6 +145,46 @@ def test_near_pairs_in_a_family_on_one_template(spark):
     assert got == {i: (i - i % 2, 2) for i, _ in rows}
 
 
+def family(n):
+    # 204 common and 31 own words each: 0.76, no pair.
+    common = " ".join(f"t{i}" for i in range(204))
+    return [(i, f"{common} " + " ".join(f"u{i}x{j}" for j in range(31))) for i in range(n)]
+
+
+def test_candidates_of_a_template_family_grow_with_it(spark):
+    met = {}
+    for n in (200, 400):
+        given = spark.createDataFrame(family(n), "id long, report string")
+        sets = _shingle_sets(given, False).withColumn("class", F.col("id"))
+        rows = _prefixes(sets, _cell_counts(sets), 0.8)
+        met[n] = _meetings(rows, 0.8).count()
+    assert met[400] <= 2 * met[200] + 100 and met[400] < 400
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_shingles_find_every_similar_pair(spark, seed):
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(25):
+        base = [draw.choice(words) for _ in range(draw.randint(8, 90))]
+        for j in range(6):
+            copy = list(base)
+            for _ in range(draw.randint(0, 3)):
+                copy[draw.randrange(len(copy))] = draw.choice(words)
+            rows.append((10 * i + j, " ".join(copy[: len(copy) - draw.randint(0, 3)])))
+    given = spark.createDataFrame(rows, "id long, report string")
+    sets = durable(_shingle_sets(given, False).withColumn("class", F.when(F.col("id") % 10 < 2, 0).otherwise(F.col("id"))), "sets")
+    got = {(r.a, r.b) for r in _by_rare_shingles(sets, sets, 0.8).collect()}
+    held = {r.id: (r["class"], set(r.set)) for r in sets.collect()}
+    similar = set()
+    for (a, (c, x)), (b, (d, y)) in combinations(sorted(held.items()), 2):
+        common = len(x & y)
+        if c != d and 5 * common >= 4 * (len(x) + len(y) - common):
+            similar.add((a, b))
+    assert similar and similar <= got
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(no_reports(spark)).count() == 0
 
